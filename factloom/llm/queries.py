@@ -8,8 +8,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table
+from factloom.llm.decontaminate import contamination
+from factloom.llm.license_scan import scan_licenses
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.sharding import shard_documents
+from factloom.llm.simhash import hex_digits, near_duplicates
+from factloom.llm.url_filter import BLOCK_GLOBS, judge_urls
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+itm AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item_id, w[i:i + least(10, len(w)) - 1] AS g, least(10, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM itm WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (
+  SELECT doc_id, i, n, w[i:i + n - 1] AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n, -1) + 2)) AS i FROM low, sizes)),
+hit AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM place p JOIN win ON p.n = win.n AND p.g = win.g),
+marked AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT l.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low l LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM parts LEFT JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {" OR ".join(f"(host || path) GLOB '{g}'" for g in BLOCK_GLOBS)}
+       THEN 'block' ELSE 'allow' END) AS verdict FROM fit
+"""
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +97,16 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op4_decontamination": op4_decontamination,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_sharding": op8_sharding,
+    "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+    "op9_url_filter": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
