@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.bpe import encode_documents
 from factloom.llm.common import table
 from factloom.llm.decontaminate import contamination
 from factloom.llm.license_scan import scan_licenses
 from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.quality import score_quality
 from factloom.llm.sharding import shard_documents
 from factloom.llm.simhash import hex_digits, near_duplicates
+from factloom.llm.topk import top_k
 from factloom.llm.url_filter import BLOCK_GLOBS, judge_urls
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
@@ -45,6 +70,10 @@ FROM low l LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -97,8 +126,11 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_license_scan": op2_license_scan,
+    "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
@@ -106,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
     "op4_decontamination": OP4_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
