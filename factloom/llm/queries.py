@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import encode_documents
 from factloom.llm.common import table
 from factloom.llm.decontaminate import contamination
+from factloom.llm.html_extract import extract_text
 from factloom.llm.license_scan import scan_licenses
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.quality import score_quality
@@ -97,6 +98,10 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {" OR ".join(f"(host ||
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
