@@ -237,7 +237,7 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:
-    """The text less the marked words and what stands between them; blanks at a cut become one."""
+    """The text less the marked words and what stands between them."""
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in _WORD.finditer(raw)]
     out, at = [], 0

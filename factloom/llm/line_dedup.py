@@ -100,3 +100,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """
     mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return apply_bitmaps(mine, drop_bitmaps(mine, min_chars, min_docs)).select("doc_id", "n_lines", "n_dropped", "kept")
+
+
+def without_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """docs (its columns) with the kept text; a document all of whose lines went stays with an empty text."""
+    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs)).select(
+        *(F.col("kept").alias("text") if c == "text" else F.col(c) for c in docs.columns)
+    )
