@@ -10,9 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from factloom.llm.common import word_list
@@ -172,15 +175,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, extra: tu
     The automaton of at most MAX_CHARS of items is broadcast; more items are taken in such parts, one
     after the other, each adding its spans and items to the rows.
     """
-    import pyspark.sql.types as T
-
     keep = docs.select("doc_id", "text", *extra)
     schema = StructType(
         [*keep.schema.fields, *(StructField(f.name, f.dataType) for f in HITS.fields[2:])]
     )
     found = keep.withColumns({f.name: F.lit(None).cast(f.dataType) for f in HITS.fields[2:]})
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     spark = docs.sparkSession
     for group in [*_item_groups(benchmark)] or [[]]:
@@ -201,7 +200,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, extra: tu
                 made = [pa.array(v, f.type) for v, f in zip((n_words, spans, items), list(arrow)[-3:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
 
-        found = found.mapInArrow(run, T.StructType(schema.fields))
+        found = found.mapInArrow(run, schema)
     return found
 
 
@@ -252,12 +251,9 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5
 ) -> DataFrame:
     """docs (its columns) with hit spans cut from the texts; a document hit in over max_coverage of its words goes."""
-    from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("string")
-    def cut_spans(text: "pd.Series", spans: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def cut_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series(
             [t if t is None or not len(s) else without_spans(t, [list(x) for x in s]) for t, s in zip(text, spans, strict=True)],
             dtype=object,
