@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from factloom.plans import temporal
+from factloom.plans import temporal, world
 from factloom.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "temporal", "world"]

@@ -16,6 +16,17 @@ ORACLES: dict[str, str] = {}
 NOW = "TIMESTAMP '1999-06-01 00:00:00'"
 
 
+def _counts(sql: str) -> str:
+    """DuckDB's count_if gives 128-bit numbers; count over a CASE gives longs as Spark does."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + 9, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 class World:
     """The tables and views of one directory."""
 
@@ -40,7 +51,7 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
                 head, body = head.replace("WITH ", "WITH RECURSIVE ", 1), ", " + body[15:]
             elif head and body.upper().startswith("WITH "):
                 body = ", " + body[5:]
-            ORACLES[name] = f"{head}\n{body}"
+            ORACLES[name] = _counts(f"{head}\n{body}")
         return fn
 
     return register
