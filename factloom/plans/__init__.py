@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from factloom.plans import search, temporal, world
+from factloom.plans import graphs, search, temporal, world
 from factloom.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "search", "temporal", "world"]
+__all__ = ["ORACLES", "QUERIES", "graphs", "search", "temporal", "world"]
