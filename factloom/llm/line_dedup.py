@@ -33,7 +33,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
     Hashes are range-partitioned with the document as second key, so a line that a third of all
     documents hold is spread over many ranges; each range streams its (hash, document) groups in
-    order and gives one count and one largest document per hash before anything meets by hash alone.
+    order and gives one count and one largest document per hash before anything meets by hash alone. Lines
+    meet their hash again on one struct column, for which both sides are shuffled, so that Spark can split
+    a hash with very many lines.
     """
     lines = cut(line_index(docs, min_chars))
     held = (
@@ -46,9 +48,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         held.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select(F.struct("h1", "h2").alias("key"), "keeper")
     )
-    gone = lines.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    gone = lines.withColumn("key", F.struct("h1", "h2")).join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bit = F.expr("shiftleft(1L, pos % 64)")
     return (
         gone.groupBy("doc_id", "body", (F.col("pos") / 64).cast("int").alias("word"))
