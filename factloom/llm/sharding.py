@@ -10,24 +10,25 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A leaf: (region, rack, shard number, weight).
 Leaf = tuple[str, str, int, float]
 
 
-def default_tree(shards: int, per_rack: int = 2, racks: int = 2, base: int = 8) -> list[Leaf]:
-    """The first `base` shards fill racks of regions; each further shard opens a region of its own.
-
-    So tree(n + 1) is tree(n) with one more region, whose only shard takes every row that moves.
-    """
+def default_tree(shards: int, per_rack: int = 2, racks: int = 2) -> list[Leaf]:
+    """A founding tree: racks of `per_rack` shards in regions of `racks` racks, all of weight 1."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    leaves = []
-    for s in range(shards):
-        rack, region = (s // per_rack, s // (per_rack * racks)) if s < base else (s, s)
-        leaves.append((f"region{region}", f"rack{rack}", s, 1.0))
-    return leaves
+    return [(f"region{s // (per_rack * racks)}", f"rack{s // per_rack}", s, 1.0) for s in range(shards)]
+
+
+def grow(tree: list[Leaf]) -> list[Leaf]:
+    """The tree with one more shard, in a region of its own: no other region's weights change, so every row that moves
+    moves into that shard."""
+    new = 1 + max(shard for _, _, shard, _ in tree)
+    return [*tree, (f"added{new}", "rack0", new, 1.0)]
 
 
 def _levels(tree: list[Leaf]) -> list[dict[str, dict[str, float]]]:
@@ -87,8 +88,6 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         .withColumn("shard", place(key, default_tree(shards)))
         .withColumn("bucket", F.pmod(F.xxhash64(*same), F.lit(buckets)))
     )
-    from pyspark.sql import Window as W
-
     starts = (
         counted.groupBy("shard", "bucket")
         .agg(F.sum("copies").alias("n"))
@@ -108,5 +107,5 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.lit("key").alias("law"),
         "shard",
         F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"),
-        place(key, default_tree(shards + 1)).alias("grown_shard"),
+        place(key, grow(default_tree(shards))).alias("grown_shard"),
     )
