@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Stop words by language, ranges of scripts with their thresholds, month names.
 STOP_WORDS = {
@@ -39,7 +40,7 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 DIGITS = r"\+?\d[\d\s().-]{7,}\d"
 
 
-@pandas_udf("text string, classes array<string>")
+@pandas_udf(StructType([StructField("text", StringType()), StructField("classes", ArrayType(StringType()))]))
 def _redact(texts: pd.Series) -> pd.DataFrame:
     import re
 

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-FACT_SCHEMA = StructType.fromDDL(
+FACT_SCHEMA = (
     "tenant string, fact_id string, entity_id string, predicate string, predicate_alias string, object string, confidence double, "
     "valid_from timestamp, valid_until timestamp, prior_valid_until timestamp, recorded_at timestamp, retracted_at timestamp, "
     "retraction_reason string, superseded_by string, corroborates string, derived_from array<string>, status string, user_id string, "
     "derived_version string, lang string, vertical string, recorder string, origin_key string"
 )
-TURN_SCHEMA = StructType.fromDDL("tenant string, turn_id string, conversation_id string, speaker string, text string, occurred_at timestamp, recorded_at timestamp, user_id string")
-EDGE_SCHEMA = StructType.fromDDL("tenant string, src string, dst string, kind string, weight double, created_at timestamp, invalidated_at timestamp, user_id string")
-ENTITY_SCHEMA = StructType.fromDDL("tenant string, entity_id string, type string, canonical_name string, merged_into string, external_refs map<string,string>, created_at timestamp")
+TURN_SCHEMA = "tenant string, turn_id string, conversation_id string, speaker string, text string, occurred_at timestamp, recorded_at timestamp, user_id string"
+EDGE_SCHEMA = "tenant string, src string, dst string, kind string, weight double, created_at timestamp, invalidated_at timestamp, user_id string"
+ENTITY_SCHEMA = "tenant string, entity_id string, type string, canonical_name string, merged_into string, external_refs map<string,string>, created_at timestamp"
 SCHEMAS = {"facts": FACT_SCHEMA, "turns": TURN_SCHEMA, "edges": EDGE_SCHEMA, "entities": ENTITY_SCHEMA}
 
 
