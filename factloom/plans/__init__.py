@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from factloom.plans import graphs, search, temporal, upkeep, world
+from factloom.plans import composed, graphs, search, temporal, upkeep, world
 from factloom.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "search", "temporal", "upkeep", "world"]
+__all__ = ["ORACLES", "QUERIES", "composed", "graphs", "search", "temporal", "upkeep", "world"]
