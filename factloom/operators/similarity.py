@@ -25,8 +25,8 @@ def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") ->
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, min_sim: float | None = None) -> DataFrame:
     """query_id, fact_id, similarity, rank by cosine. queries: query_id, q; vectors: fact_id, embedding.
 
-    Norms are computed once a row. Few queries are broadcast; many are dealt in blocks, each vector going
-    to every block, so no task holds all queries.
+    Norms are computed once a row. Few queries are broadcast; many are dealt in blocks that meet salted parts of
+    the vectors, so no task holds all queries or all vectors.
     """
     q = queries.select("query_id", "q", norm(F.col("q")).alias("qn"))
     v = vectors.select("fact_id", "embedding", norm(F.col("embedding")).alias("vn"))
@@ -35,8 +35,12 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, min_sim: float | N
         pairs = v.join(F.broadcast(q))
     else:
         blocks = -(-n // BROADCAST_QUERIES)
-        left = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = left.join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
+        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = v.withColumn("salt", dealt("fact_id", salts)).withColumn("block", every(blocks))
+        right = q.withColumn("block", dealt("query_id", blocks)).withColumn("salt", every(salts))
+        pairs = left.join(right, ["block", "salt"])
     whole = F.col("qn") * F.col("vn")
     scored = pairs.select("query_id", "fact_id", F.when(whole > 0, dot(F.col("q"), F.col("embedding")) / whole).otherwise(0.0).alias("similarity"))
     return top_k_per_query(scored if min_sim is None else scored.where(F.col("similarity") >= min_sim), "similarity", k)

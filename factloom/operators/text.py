@@ -77,6 +77,15 @@ def pii_report(redacted: DataFrame) -> DataFrame:
     return redacted.select("source", F.explode("pii_classes").alias("pii_class")).groupBy("source", "pii_class").agg(F.count("*").alias("n"))
 
 
+@pandas_udf(StringType())
+def fold_object(texts: pd.Series) -> pd.Series:
+    """Trimmed, in lower case and without accents."""
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.strip().lower()) if not unicodedata.combining(c))
+    return texts.map(lambda t: None if t is None else plain(t))
+
+
 def letter_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda t: t != "")
 

@@ -92,6 +92,11 @@ def u4(w: World) -> DataFrame:
     return X.dedupe_mentions(lines).select("query_id", "seq")
 
 
+@query("h16_folded_texts", "SELECT doc_id, sha256(strip_accents(lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS sha FROM documents")
+def h16(w: World) -> DataFrame:
+    return w.documents.select("doc_id", F.sha2(X.fold_object("text"), 256).alias("sha"))
+
+
 @query("h19_prefix_table", """
 WITH n AS (SELECT p_partkey AS e, p_name AS name, p_size AS weight FROM part), p AS (SELECT e, name, weight, unnest(range(2, least(15, length(name)) + 1)) AS k FROM n)
 SELECT lower(name)[1:k] AS prefix, row_number() OVER (PARTITION BY lower(name)[1:k] ORDER BY weight DESC, name, e)::INTEGER AS rank, e AS entity_id FROM p QUALIFY rank <= 10""")

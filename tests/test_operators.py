@@ -189,3 +189,13 @@ def test_files(spark, tmp_path):
     readers.promote_world(world, str(tmp_path / "w"), ["derived_version"])
     readers.promote_world(spark.createDataFrame([("v1", "c")], world.schema), str(tmp_path / "w"), ["derived_version"])
     assert sorted(r.fact_id for r in spark.read.parquet(str(tmp_path / "w")).collect()) == ["b", "c"]
+
+
+def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch, rows):
+    from factloom.operators import similarity
+
+    vectors = spark.range(60).selectExpr("id AS fact_id", "array(sin(id), cos(id), id % 3 + 0.5D) AS embedding")
+    queries = vectors.selectExpr("fact_id AS query_id", "embedding AS q")
+    whole = rows(similarity.exact_knn(queries, vectors, 4))
+    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 7)
+    assert rows(similarity.exact_knn(queries, vectors, 4)) == whole
