@@ -8,6 +8,7 @@ accepted place of the same or a higher priority contains its interval.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -145,10 +146,6 @@ def rules() -> dict[str, tuple[Rule, ...]]:
     return {k: tuple(v) for k, v in by.items()}
 
 
-#: Each base phrase has one of these words.
-_BASE_WORDS = (b"mit", b"apache", b"nc")
-
-
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a base phrase's words stand consecutively."""
     found = []
@@ -181,25 +178,17 @@ def detections(words: list[bytes]) -> list[tuple[int, int, str, float]]:
     for _, _, _, m, rule in found:
         a, b = m.span()
         if not any(x <= a and b <= y for x, y in _near(intervals, a)):
-            _insert(intervals, (a, b))
+            insort(intervals, (a, b))
             start = text.count(" ", 0, a)
             kept.append((start, start + text.count(" ", a, b) + 1, rule.label, rule.score))
     return sorted(kept)
 
 
-def _insert(intervals: list[tuple[int, int]], new: tuple[int, int]) -> None:
-    from bisect import insort
-
-    insort(intervals, new)
-
-
 #: No rule's match is longer, so a containing interval starts at most so far before.
 _REACH = 400
 
 
 def _near(intervals: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left, bisect_right
-
     return intervals[bisect_left(intervals, (at - _REACH, 0)) : bisect_right(intervals, (at, 1 << 62))]
 
 

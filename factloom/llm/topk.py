@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Dimensions accumulated between two prunings, queries that share a list of survivors, and vectors
 #: (those with the largest norms) that are scored in full to get first thresholds.
 DIMENSIONS, TILE, SEEDS = 8, 64, 128
-#: Sizes of a block: a share of all rows within these bounds, so a task's memory is bounded.
-VECTOR_BLOCK, QUERY_BLOCK = (1_024, 65_536), (1_024, 16_384)
+#: Rows of a block: a share of all rows within these bounds and of at most so many components, so a task's memory is bounded.
+VECTOR_BLOCK, QUERY_BLOCK, COMPONENTS = (1_024, 65_536), (1_024, 16_384), 8_000_000
 
 
 def _vertical(column: pa.ChunkedArray) -> np.ndarray:
@@ -91,9 +91,10 @@ def search_block(
     return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((),) * 3))
 
 
-def _spread(n: int, share: int, bounds: tuple[int, int]) -> int:
-    """How many blocks n rows make."""
-    return max(1, -(-n // min(bounds[1], max(bounds[0], n // share))))
+def _spread(n: int, share: int, bounds: tuple[int, int], dims: int) -> int:
+    """How many blocks n rows of at most `dims` components make."""
+    rows = min(bounds[1], max(bounds[0], n // share))
+    return max(1, -(-n // max(1, min(rows, COMPONENTS // max(1, dims)))))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) -> DataFrame:
@@ -113,9 +114,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
         .select("vec_id", F.expr(f"transform(embedding, x -> floor({int(scale)} * double(x)))").alias("v"))
         .groupBy("vec_id").agg(F.min("v").alias("v"))
     )
-    n = vectors.count()
-    across = _spread(n, 64, VECTOR_BLOCK)
-    down = _spread(vectors.where(queries).count(), 8, QUERY_BLOCK)
+    size = vectors.agg(F.count("vec_id").alias("n"), F.count_if(queries).alias("asked"), F.max(F.size("embedding")).alias("dims")).first()
+    across = _spread(size["n"], 64, VECTOR_BLOCK, size["dims"] or 0)
+    down = _spread(size["asked"], 8, QUERY_BLOCK, size["dims"] or 0)
     at = F.xxhash64("vec_id")
     cell = lambda i, j: (i * F.lit(down) + j).cast("long").alias("cell")
     left = whole.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(
