@@ -14,7 +14,7 @@ from factloom.llm.common import shared_folder, table
 from factloom.llm.decontaminate import decontaminate
 from factloom.llm.line_dedup import without_common_lines
 from factloom.llm.quality import keep_good
-from factloom.llm.simhash import keep_one
+from factloom.llm.near_text import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group stays; texts are near from a similarity of 0.8 of their five-word shingles."""
     return keep_one(docs.select(*COLUMNS))
 
 
@@ -54,12 +54,12 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("BPE encoding", encoding),
 ]
 
-#: SQL can't express the classifier, the fingerprints or BPE.
+#: SQL can't express the classifier or BPE.
 ORACLE_SQL = None
 
 
