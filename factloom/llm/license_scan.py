@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over word text, gated by keywords, with overlaps resolved.
 
-A rule is a regular expression over the words of a text joined by one space. Only rules whose
-keyword occurs among the text's words run. Of the places found, a place is suppressed if another
+A rule is a regular expression over the words of a text joined by one space. Only rules of which
+a keyword occurs among the text's words run; each match of a rule holds one of its keywords. Of the places found, a place is suppressed if another
 accepted place of the same or a higher priority contains its interval.
 """
 
@@ -24,32 +24,32 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Hand-written families: label, keyword, names as they stand in word text (a regular expression).
+#: Hand-written families: label, keywords, names as they stand in word text (a regular expression).
 FAMILIES: list[tuple[str, str, str]] = [
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "mit expat", r"mit|expat"),
     ("mit-0", "mit", r"mit (?:0|no attribution)"),
     ("x11", "x11", r"x11"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? (?:v ?)?1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "0bsd", r"0bsd"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("libpng", "libpng", r"libpng"),
-    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?1(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?3(?: 0)?"),
+    ("gpl-1.0", "gpl gplv gpl1 gplv1", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?1(?: 0)?"),
+    ("gpl-2.0", "gpl gplv gpl2 gplv2", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?2(?: 0)?"),
+    ("gpl-3.0", "gpl gplv gpl3 gplv3", r"(?:gnu )?gpl(?: version)? ?(?:v ?)?3(?: 0)?"),
     ("gpl-2.0", "gnu", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version ?)2"),
     ("gpl-3.0", "gnu", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version ?)3"),
     ("gpl", "gnu", r"gnu general public"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version)? ?(?:v ?)?2 1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version)? ?(?:v ?)?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl lgplv lgpl2 lgplv2", r"(?:gnu )?lgpl(?: version)? ?(?:v ?)?2 1"),
+    ("lgpl-3.0", "lgpl lgplv lgpl3 lgplv3", r"(?:gnu )?lgpl(?: version)? ?(?:v ?)?3(?: 0)?"),
     ("lgpl-2.1", "gnu", r"gnu (?:lesser|library) general public license version 2(?: 1)?"),
     ("lgpl-3.0", "gnu", r"gnu lesser general public license version 3"),
     ("lgpl", "gnu", r"gnu (?:lesser|library) general public"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version)? ?(?:v ?)?3(?: 0)?"),
+    ("agpl-3.0", "agpl agplv agpl3 agplv3", r"(?:gnu )?agpl(?: version)? ?(?:v ?)?3(?: 0)?"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: version)? ?3"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("gfdl-1.3", "gnu", r"gnu free documentation"),
@@ -108,16 +108,16 @@ FORMS: list[tuple[int, float, str]] = [
     (60, 0.85, r"licen[cs]e (?:is |type )?(?:the )?(?:{n})"),
 ]
 
-#: Rules of their own: label, keyword, priority, score, pattern.
+#: Rules of their own: label, keywords, priority, score, pattern.
 SINGLES: list[tuple[str, str, int, float, str]] = [
-    ("mit", "sublicense", 85, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "hereby", 85, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("bsd-unspecified", "redistribution", 75, 0.8, r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc", "permission", 75, 0.8, r"permission to use copy modify and or distribute this software for any purpose"),
     ("zlib", "misrepresented", 75, 0.8, r"the origin of this software must not be misrepresented"),
     ("public-domain", "domain", 50, 0.7, r"(?:released into|dedicated to|in) the public domain"),
     ("unlicense", "unencumbered", 85, 0.95, r"free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "reserved", 40, 0.6, r"all rights reserved"),
-    ("as-is", "warranty", 20, 0.3, r"without warrant(?:y|ies) of any kind"),
+    ("as-is", "warranty warranties", 20, 0.3, r"without warrant(?:y|ies) of any kind"),
     ("copyright", "copyright", 10, 0.2, r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
 ]
 
@@ -125,7 +125,7 @@ SINGLES: list[tuple[str, str, int, float, str]] = [
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: str
     priority: int
     score: float
     pattern: re.Pattern[str]
@@ -135,14 +135,15 @@ class Rule:
 def rules() -> dict[str, tuple[Rule, ...]]:
     """The rules by keyword, strongest first."""
     every = [
-        Rule(label, keyword, priority, score, re.compile(rf"(?<!\S){form.format(n=name)}(?!\S)"))
+        Rule(label, keywords, priority, score, re.compile(rf"(?<!\S){form.format(n=name)}(?!\S)"))
         for priority, score, form in FORMS
-        for label, keyword, name in FAMILIES
+        for label, keywords, name in FAMILIES
     ]
     every += [Rule(l, k, p, s, re.compile(rf"(?<!\S){x}(?!\S)")) for l, k, p, s, x in SINGLES]
     by: dict[str, list[Rule]] = {}
     for r in sorted(every, key=lambda r: -r.priority):
-        by.setdefault(r.keyword, []).append(r)
+        for keyword in r.keywords.split():
+            by.setdefault(keyword, []).append(r)
     return {k: tuple(v) for k, v in by.items()}
 
 
@@ -162,16 +163,17 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return found
 
 
+def gates(text: str) -> set[str]:
+    """The keywords in a text, between any blanks that the rules take as the end of a word."""
+    return rules().keys() & set(text.split())
+
+
 def detections(words: list[bytes]) -> list[tuple[int, int, str, float]]:
     """(first word, word after the last, label, score) that hold after suppression, in page order."""
-    gates = rules().keys() & {w.decode("utf-8", "surrogatepass") for w in _KEYWORDS.intersection(words)}
-    if not gates:
-        return []
     text = b" ".join(words).decode("utf-8", "surrogatepass")
     found = []
-    for gate in gates:
-        for rule in rules()[gate]:
-            found += [(rule.priority, m.end() - m.start(), -m.start(), m, rule) for m in rule.pattern.finditer(text)]
+    for rule in {id(rule): rule for gate in gates(text) for rule in rules()[gate]}.values():
+        found += [(rule.priority, m.end() - m.start(), -m.start(), m, rule) for m in rule.pattern.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
     found.sort(key=lambda f: (-f[0], -f[1], -f[2], f[4].label))
     intervals: list[tuple[int, int]] = []
@@ -192,8 +194,6 @@ def _near(intervals: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
     return intervals[bisect_left(intervals, (at - _REACH, 0)) : bisect_right(intervals, (at, 1 << 62))]
 
 
-_KEYWORDS = frozenset(k.encode() for k in {f[1] for f in FAMILIES} | {s[1] for s in SINGLES})
-
 SCAN = StructType(
     [
         StructField("doc_id", LongType()),

@@ -248,6 +248,20 @@ def test_license_rules_suppress_contained_places():
     assert len(license_scan.detections(words_b("gpl 3 licensed work " * 3000))) == 3000
 
 
+def test_license_gates_lose_no_place(monkeypatch):
+    rng = random.Random(9)
+    names = [f"{a}gpl{b}{c}" for a in ("", "l", "a") for b in ("", " ", "v", "v ", " v", " v ", " version ", " version") for c in ("1", "1 0", "2", "2 1", "3", "3 0")]
+    names += "expat,mit,freebsd,simplified bsd,gnu general public license v3,affero general public license 3,openrail m,cc0 1 0,cc by 4 0".split(",")
+    texts = [f"licensed under the {n}" for n in names] + [f"{n} license" for n in names] + [f"x\u00a0{n}\u00a0license" for n in names]
+    texts += ["permission is hereby granted free of charge to any person obtaining a copy", "without warranties of any kind", "without warranty of any kind", "all rights reserved"]
+    texts += [" ".join(rng.choices(texts, k=5)) for _ in range(100)]
+    gated = [license_scan.detections(words_b(t)) for t in texts]
+    for text, label in (("licensed under the gplv3", "gpl-3.0"), ("lgplv3 license", "lgpl-3.0"), ("agplv3 license", "agpl-3.0"), ("gpl2 license", "gpl-2.0"), ("freebsd license", "bsd-2-clause"), ("expat license", "mit")):
+        assert [f[2] for f in license_scan.detections(words_b(text))] == [label]
+    monkeypatch.setattr(license_scan, "gates", lambda text: set(license_scan.rules()))
+    assert [license_scan.detections(words_b(t)) for t in texts] == gated
+
+
 def words_b(text):
     return text.encode().split()
 
