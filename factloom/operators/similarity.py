@@ -14,6 +14,8 @@ from factloom.functions.vectors import dot, norm
 K1, B = 1.2, 0.75
 #: Queries are broadcast only up to so many; more are met in so many salted groups by a shuffle.
 BROADCAST_QUERIES = 2_000
+#: Beyond any distance of two unit vectors.
+FARTHEST = 3.0
 
 
 def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") -> DataFrame:
@@ -46,17 +48,18 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, min_sim: float | N
     return top_k_per_query(scored if min_sim is None else scored.where(F.col("similarity") >= min_sim), "similarity", k)
 
 
-def approx_knn(queries: DataFrame, vectors: DataFrame, k: int, over: int = 4, distance: float = 1.0) -> DataFrame:
-    """As exact_knn by locality-sensitive hashing with an exact re-score; queries that find nothing fall back to exact_knn."""
-    unit = lambda c: array_to_vector(F.transform(F.col(c), lambda x: x.cast("double") / norm(F.col(c))))
+def approx_knn(queries: DataFrame, vectors: DataFrame, k: int, over: int = 4) -> DataFrame:
+    """As exact_knn by locality-sensitive hashing with an exact re-score; queries that find fewer than k fall back to exact_knn."""
+    unit = lambda c: array_to_vector(F.transform(F.col(c), lambda x: x.cast("double") / F.when(norm(F.col(c)) > 0, norm(F.col(c))).otherwise(1.0)))
     v = vectors.where(norm(F.col("embedding")) > 0).select("fact_id", "embedding", unit("embedding").alias("unit"))
     q = queries.where(norm(F.col("q")) > 0).select("query_id", "q", unit("q").alias("unit"))
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.6, numHashTables=6, seed=3).fit(v)
-    near = model.approxSimilarityJoin(q, v, distance, "distance").select("datasetA.query_id", "datasetB.fact_id", "distance")
+    near = model.approxSimilarityJoin(q, v, FARTHEST, "distance").select("datasetA.query_id", "datasetB.fact_id", "distance")
     found = near.select("query_id", "fact_id", (1 - F.col("distance") ** 2 / 2).alias("similarity"))
     first = top_k_per_query(top_k_per_query(found, "similarity", min(over * k, 1000)), "similarity", k)
-    missed = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.unionByName(exact_knn(missed, vectors, k))
+    full = first.where(F.col("rank") == k).select("query_id")
+    missed = queries.join(full, "query_id", "left_anti")
+    return first.join(full, "query_id", "left_semi").unionByName(exact_knn(missed, vectors, k))
 
 
 def tokens(text: str) -> Column:
