@@ -8,21 +8,20 @@ shorter item, is a hit: all its words are marked and the items that hold the win
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from factloom.llm.common import word_list
+from factloom.llm.common import cut, word_list
 
-#: Items are joined into automata of at most so many characters; more items make more automata,
+#: Items are joined into automata of about so many characters (near 0.2 GB each); more items make more automata,
 #: through which the documents pass one after the other.
-MAX_CHARS = 8_000_000
+MAX_CHARS = 2_000_000
 
 
 class ItemAutomaton:
@@ -38,6 +37,7 @@ class ItemAutomaton:
             last = 0
             for word in words:
                 last = self._extend(last, word)
+        self.at_window = self._at_windows()
         self.items: list[set[int]] = [set() for _ in self.next]
         self.short: list[dict[int, set[int]]] = [{} for _ in self.next]
         for item, words in items:
@@ -81,18 +81,20 @@ class ItemAutomaton:
             at = self.link[at]
         return part
 
-    def _at_window(self, state: int) -> int:
-        """The state of the last `window` words of a state's sequences."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
+    def _at_windows(self) -> list[int]:
+        """For each state that stands for `window` words or more, the state of the last `window` of them."""
+        at = list(range(len(self.next)))
+        for state in sorted(at, key=self.length.__getitem__):
+            if state and self.length[self.link[state]] >= self.window:
+                at[state] = at[self.link[state]]
+        return at
 
     def _mark_windows(self, item: int | None, words: list[bytes]) -> None:
         state = 0
         for n, word in enumerate(words, 1):
             state = self.next[state][word]
             if n >= self.window and item is not None:
-                self.items[self._at_window(state)].add(item)
+                self.items[self.at_window[state]].add(item)
 
     def _mark_short(self, item: int | None, words: list[bytes]) -> None:
         state = 0
@@ -130,7 +132,7 @@ class ItemAutomaton:
                 state, length = step, length + 1
                 if length >= self.window:
                     self._mark(spans, at + 1 - length, at + 1)
-                    items |= self.items[self._at_window(state)]
+                    items |= self.items[self.at_window[state]]
                 short = self.up[state]
                 while short != -1:
                     for n, which in self.short[short].items():
@@ -148,59 +150,70 @@ class ItemAutomaton:
         spans.append([start, end])
 
 
-def _item_groups(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """The items in groups of MAX_CHARS at most (a single longer item is a group), read one group at a time."""
+def _item_groups(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int | None, list[bytes]]], bool]]:
+    """The items in groups of about MAX_CHARS (a single longer item is a group), read one at a time, and whether it is the last."""
     sized = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = sized.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = -(-total // MAX_CHARS)
+    parts = max(1, -(-total // MAX_CHARS))
     for part in range(parts):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else sized
-        yield [(r["item_id"], word_list(r["text"])) for r in rows.collect()]
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
+        yield [(r["item_id"], word_list(r["text"])) for r in rows.collect()], part + 1 == parts
 
 
-HITS = StructType(
+FOUND = StructType(
     [
-        StructField("doc_id", LongType()),
-        StructField("body", LongType()),
         StructField("n_words", LongType()),
         StructField("spans", ArrayType(ArrayType(IntegerType()))),
         StructField("items", ArrayType(LongType())),
     ]
 )
 
+#: The automaton that a worker has built last, by its name.
+_AUTOMATA: dict[str, ItemAutomaton] = {}
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs' doc_id, text, the `extra` columns and n_words, spans (disjoint [from, to) word intervals), items (sorted ids).
 
-    The automaton of at most MAX_CHARS of items is broadcast; more items are taken in such parts, one
-    after the other, each adding its spans and items to the rows.
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, cutting: bool = False) -> DataFrame:
+    """docs' columns as c0, c1, ... in their order, then n_words, spans (disjoint [from, to) word intervals), items (sorted ids).
+
+    With cutting the text comes without its spans. The automaton of about MAX_CHARS of items is broadcast and built once a
+    worker; more items are taken in such parts, each of which adds its spans and items to the rows and is written to the
+    shared folder before the next, so that one automaton at a time is in memory.
     """
-    keep = docs.select("doc_id", "text", *extra)
-    schema = StructType(
-        [*keep.schema.fields, *(StructField(f.name, f.dataType) for f in HITS.fields[2:])]
-    )
-    found = keep.withColumns({f.name: F.lit(None).cast(f.dataType) for f in HITS.fields[2:]})
+    names, at_text = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+    found = docs.toDF(*names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
+    schema = found.schema
     arrow = to_arrow_schema(schema)
     spark = docs.sparkSession
-    for group in [*_item_groups(benchmark)] or [[]]:
-        shared = spark.sparkContext.broadcast(group)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = ItemAutomaton(shared.value, window)
+    for group, last in _item_groups(benchmark):
+        shared, name = spark.sparkContext.broadcast(group), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, last=last) -> Iterator[pa.RecordBatch]:
+            if name not in _AUTOMATA:
+                _AUTOMATA.clear()
+                _AUTOMATA[name] = ItemAutomaton(shared.value, window)
+            automaton = _AUTOMATA[name]
             for batch in batches:
-                n_words, spans, items = [], [], []
-                text, old, held = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "spans", "items"))
+                n_words, spans, items, clean = [], [], [], []
+                text, (_, old, held) = batch.column(at_text), batch.columns[len(names) :]
                 for i in range(batch.num_rows):
-                    words = word_list(text[i].as_py())
+                    mine = text[i].as_py()
+                    words = word_list(mine)
                     s, x = automaton.hits(words)
                     n_words.append(len(words))
                     spans.append(merged(s + (old[i].as_py() or [])) if old[i].is_valid else s)
                     items.append(sorted(x.union(held[i].as_py() or ())))
-                kept = batch.columns[: len(arrow) - 3]
+                    if cutting and last:
+                        clean.append(without_spans(mine, spans[-1]) if spans[-1] else mine)
+                kept = batch.columns[: len(names)]
+                if cutting and last:
+                    kept[at_text] = pa.array(clean, kept[at_text].type)
                 made = [pa.array(v, f.type) for v, f in zip((n_words, spans, items), list(arrow)[-3:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
 
         found = found.mapInArrow(run, schema)
+        if not last:
+            found = cut(found)
+            shared.unpersist()
     return found
 
 
@@ -222,8 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     columns are not read.
     """
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s[1] - s[0]).cast("long"))
-    return find_hits(docs, benchmark, window).select(
-        "doc_id",
+    return find_hits(docs.select("doc_id", "text"), benchmark, window).select(
+        F.col("c0").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -250,17 +263,12 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5
 ) -> DataFrame:
-    """docs (its columns) with hit spans cut from the texts; a document hit in over max_coverage of its words goes."""
+    """docs (its columns) with hit spans cut from the texts; a document hit in over max_coverage of its words goes.
 
-    @pandas_udf("string")
-    def cut_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(
-            [t if t is None or not len(s) else without_spans(t, [list(x) for x in s]) for t, s in zip(text, spans, strict=True)],
-            dtype=object,
-        )
-
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    A null text has no words, is hit nowhere and stays null; an empty one stays too. A text of hits alone goes. Rows with
+    null or repeated ids are each judged by their own text. A null item has no window. With no items, or an empty table,
+    nothing changes. Columns may have any names.
+    """
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s[1] - s[0]).cast("long"))
-    found = find_hits(docs, benchmark, window, others).where(n_hit <= max_coverage * F.col("n_words"))
-    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(cut_spans("text", "spans"))
-    return found.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    found = find_hits(docs, benchmark, window, cutting=True).where(n_hit <= max_coverage * F.col("n_words"))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
