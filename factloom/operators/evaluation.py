@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def retrieval_metrics(results: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
@@ -63,11 +66,32 @@ def auc(scored: DataFrame, buckets: int = 200) -> DataFrame:
 
 
 def answer_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"\b(a|an|the)\b|[^\w\s]", " "), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?<!\w)(?:a|an|the)(?!\w)|[^\w\s]", " "), r"\s+"), lambda t: t != "")
+
+
+@pandas_udf(DoubleType())
+def rouge_l(answers: pd.Series, expected: pd.Series) -> pd.Series:
+    """Twice the longest common subsequence of two word arrays over their lengths: 1 if both are empty, 0 if one is.
+
+    Bit i of `open_` is cleared once the common subsequence grows at word i, for all places of a word at once.
+    """
+    out = []
+    for a, e in zip(answers, expected, strict=True):
+        places: dict[str, int] = {}
+        for i, word in enumerate(e):
+            places[word] = places.get(word, 0) | 1 << i
+        whole = (1 << len(e)) - 1
+        open_ = whole
+        for word in a:
+            met = open_ & places.get(word, 0)
+            open_ = (open_ + met | open_ - met) & whole
+        longest = len(e) - open_.bit_count()
+        out.append(1.0 if not len(a) and not len(e) else 2.0 * longest / (len(a) + len(e)))
+    return pd.Series(out, dtype=float)
 
 
 def token_overlap(answers: DataFrame) -> DataFrame:
-    """id, exact, f1, bleu1 of answer against expected, by bags of words."""
+    """id, exact, f1, bleu1, rouge_l of answer against expected: bags of words, and their order for rouge_l."""
     bags = answers.select("id", answer_tokens(F.col("answer")).alias("a"), answer_tokens(F.col("expected")).alias("e"))
     count = lambda side: bags.select("id", F.explode(side).alias("t")).groupBy("id", "t").agg(F.count("*").alias(f"n_{side}"))
     common = count("a").join(count("e"), ["id", "t"]).groupBy("id").agg(F.sum(F.least("n_a", "n_e")).alias("common"))
@@ -77,9 +101,34 @@ def token_overlap(answers: DataFrame) -> DataFrame:
         "id", (F.col("a") == F.col("e")).alias("exact"),
         F.when(c > 0, 2.0 * c / (na + ne)).otherwise(0.0).alias("f1"),
         F.when(na > 0, brevity * c / na).otherwise(0.0).alias("bleu1"),
+        rouge_l(F.col("a"), F.col("e")).alias("rouge_l"),
     )
 
 
+def joint_f1(found: DataFrame) -> DataFrame:
+    """id with exact match, precision, recall and f1 of answers, of support and of both together.
+
+    found: id, answers, expected_answers, support, expected_support (arrays, as sets). Nothing found where nothing is expected is
+    perfect; with only one side empty, precision and f1 are 0, and recall is 1 where nothing was expected.
+    """
+
+    def of(mine: str, want: str) -> list[Column]:
+        x, y = F.array_distinct(mine), F.array_distinct(want)
+        n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+        share = lambda d: F.when((n == 0) & (m == 0), 1.0).when(d > 0, both / d)
+        precision, recall = share(n).otherwise(0.0), share(m).otherwise(1.0)
+        return [((n == m) & (both == n)).cast("double"), precision, recall]
+
+    f1 = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    out, product = ["id"], [F.lit(1.0)] * 3
+    for name, mine, want in (("answer", "answers", "expected_answers"), ("support", "support", "expected_support")):
+        parts = of(mine, want)
+        product = [x * y for x, y in zip(product, parts, strict=True)]
+        out += [c.alias(f"{name}_{k}") for c, k in zip([*parts, f1(*parts[1:])], ("em", "precision", "recall", "f1"), strict=True)]
+    out += [c.alias(f"joint_{k}") for c, k in zip([*product, f1(*product[1:])], ("em", "precision", "recall", "f1"), strict=True)]
+    return found.select(*out)
+
+
 def regression_gate(run: DataFrame, baseline: DataFrame, tolerance: float = 0.03) -> DataFrame:
     """metric, value, baseline, blocked (it fell by more than the tolerance)."""
     return run.join(baseline.withColumnRenamed("value", "baseline"), "metric").withColumn("blocked", F.col("baseline") - F.col("value") > tolerance)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,17 +12,24 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df as a table in spark.checkpoint.dir. It is computed once, outlives lost executors and has a size of its own, while a
+    checkpoint keeps the product of all sizes joined so far, with which planning gets slower each round."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root (the least node it is linked with) for every node of links (a, b); labels jump to their labels' labels."""
     both = _cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         top = lower.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
@@ -83,18 +92,30 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def community_signature(members: DataFrame) -> DataFrame:
-    """community, signature over its members (community, node), without gathering them."""
-    return members.groupBy("community").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).select("community", F.concat_ws(":", "n", "s").alias("signature"))
+def community_signature(members: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """community, signature over its members (community, node) and, with edges (src, dst, created_at), its newest edge, without gathering them."""
+    per = members.groupBy("community").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    if edges is None:
+        return per.select("community", F.concat_ws(":", "n", "s").alias("signature"))
+    ends = edges.select(F.col("src").alias("node"), "created_at").union(edges.select("dst", "created_at"))
+    newest = members.join(ends.groupBy("node").agg(F.max("created_at").alias("at")), "node").groupBy("community").agg(F.max("at").alias("at"))
+    return per.join(newest, "community", "left").select("community", F.concat_ws(":", "n", "s", F.col("at").cast("string")).alias("signature"))
 
 
-def community_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """community, change: rebuild where the member set is new or other, drop where it is gone."""
-    a, b = community_signature(old).withColumnRenamed("signature", "was"), community_signature(new)
+def community_diff(old: DataFrame, new: DataFrame, old_edges: DataFrame | None = None, new_edges: DataFrame | None = None) -> DataFrame:
+    """community, change: rebuild where the member set is new or other, or, with edges, where a member's newest edge is; drop where it is gone."""
+    a, b = community_signature(old, old_edges).withColumnRenamed("signature", "was"), community_signature(new, new_edges)
     change = F.when(F.col("signature").isNull(), "drop").when(~F.col("signature").eqNullSafe(F.col("was")), "rebuild")
     return a.join(b, "community", "full").select("community", change.alias("change")).where("change IS NOT NULL")
 
 
+def community_facts(members: DataFrame, facts: DataFrame, n: int = 20) -> DataFrame:
+    """community, rank, fact_id: the n active facts of a community's members that are most trusted (ties: newest, then id)."""
+    rows = facts.where("status = 'active' AND retracted_at IS NULL").join(members.select("community", F.col("node").alias("entity_id")), "entity_id")
+    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("confidence"), F.desc("valid_from"), "fact_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("community", "rank", "fact_id")
+
+
 def community_profile(members: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """community, size, label: the name of its member with most edges (ties: the least node)."""
     degree = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))

@@ -49,6 +49,35 @@ def forget_episodes(episodes: DataFrame, segments: DataFrame, gone: DataFrame) -
     return episodes.join(gone, "episode_id", "left_anti"), segments.join(hit, "segment_id", "left_anti")
 
 
+def forget_users(tables: dict[str, tuple[DataFrame, dict[str, str]]], users: DataFrame, secret: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table without what belongs to users (user_id), and tombstones: hash, facts, entities.
+
+    A table comes with its columns by what they name: `user` (an owner), `fact` or `entity` (rows of the tables `facts` and
+    `entities`). Rows go that a user owns, that name one of the users' facts or entities, and of `artifacts` also those of
+    any entity that a user had a fact on, since its text may be in them.
+    """
+    gone = users.select("user_id").where("user_id IS NOT NULL").distinct()
+    owned = lambda name, key: tables[name][0].join(gone, "user_id", "left_semi").select(key).distinct() if name in tables else None
+    hit = {"user": gone, "fact": owned("facts", "fact_id"), "entity": owned("entities", "entity_id")}
+    key = {"user": "user_id", "fact": "fact_id", "entity": "entity_id"}
+    touched = tables["facts"][0].join(gone, "user_id", "left_semi").select("entity_id").distinct() if "facts" in tables else None
+    kept = {}
+    for name, (df, columns) in tables.items():
+        out = df
+        for kind, column in columns.items():
+            rows = touched if name == "artifacts" and kind == "entity" else hit[kind]
+            if rows is not None:
+                out = out.join(rows.select(F.col(key[kind]).alias(column)), column, "left_anti").select(*df.columns)
+        kept[name] = out
+    stones = gone
+    for name, count in (("facts", "facts"), ("entities", "entities")):
+        if name in tables and "user_id" in tables[name][0].columns:
+            stones = stones.join(tables[name][0].groupBy("user_id").agg(F.count("*").alias(count)), "user_id", "left")
+        else:
+            stones = stones.withColumn(count, F.lit(0))
+    return kept, stones.select(hmac_sha256(secret, F.col("user_id")).alias("hash"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("facts", "entities")))
+
+
 def world_union(facts: DataFrame, versions: list[str]) -> DataFrame:
     return facts.where(F.col("derived_version").isin(*versions))
 

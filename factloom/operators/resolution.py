@@ -1,7 +1,11 @@
 """Resolution of incoming facts against stored ones, slot by slot.
 
-A slot is (entity_id, predicate, user_id, derived_version). append_only predicates need no fold and are done with
-windows; the others fold their facts in arrival order (recorded_at, fact_id), one slot at a time.
+A slot is (entity_id, predicate, user_id, derived_version), where a predicate's alias stands for it. append_only predicates
+need no fold and are done with windows; the others fold their facts in arrival order (recorded_at, fact_id), one slot at a time.
+
+Facts may come with `stored` (true: it is in the table already, with a `status`), `retracted_at` and `predicate_alias`.
+Retracted facts, and stored ones that are neither active nor competing, take no part and give no row. Stored facts come
+before all incoming ones, keep what they are and give a row without an outcome that says what they have become.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -43,17 +47,42 @@ class Config:
     clamp_end: bool = False
 
 
+def taking_part(facts: DataFrame) -> DataFrame:
+    """The facts that resolution looks at, with canonical predicates, and with stored and status (null: incoming)."""
+    rows = facts
+    if "predicate_alias" in facts.columns:
+        rows = rows.withColumn("predicate", F.coalesce("predicate_alias", "predicate"))
+    if "retracted_at" in facts.columns:
+        rows = rows.where("retracted_at IS NULL")
+    if "stored" not in facts.columns:
+        return rows.withColumns({"stored": F.lit(False), "status": F.lit(None).cast("string")})
+    rows = rows.withColumn("stored", F.coalesce("stored", F.lit(False)))
+    return rows.withColumn("status", F.when(F.col("stored"), F.col("status"))).where("NOT stored OR status IN ('active', 'competing')")
+
+
 def append_only(facts: DataFrame) -> DataFrame:
-    """Outcome of each fact of append-only slots: the first of an object is INSERTED; later ones of another origin corroborate
-    the latest earlier one of that object whose origin differs (here the first of its slot and object), same origins are INSERTED."""
-    order = W.partitionBy(*SLOT, "object").orderBy("recorded_at", "fact_id")
-    first_id, first_origin = F.first("fact_id").over(order), F.first("origin_key").over(order)
-    other = ~F.col("origin_key").eqNullSafe(F.col("__origin"))
-    return facts.withColumn("__first", first_id).withColumn("__origin", first_origin).select(
+    """fact_id, outcome, status, corroborates of each incoming fact of append-only slots.
+
+    A fact corroborates the latest earlier active fact of its slot and object whose origin is another one; without such it is
+    INSERTED and active. So among incoming facts only those of one origin stay active: that of the first, unless a stored active
+    fact came before. Where stored active facts have several origins, every incoming fact finds one of another origin.
+    """
+    group = W.partitionBy(*SLOT, "object")
+    order = group.orderBy(F.desc("stored"), "recorded_at", "fact_id")
+    held = F.when(F.col("stored") & (F.col("status") == "active"), F.struct("recorded_at", "fact_id", F.col("origin_key").alias("o")))
+    rows = taking_part(facts).where("NOT stored OR status = 'active'").withColumn("__top", F.max(held).over(group))
+    elsewhere = F.when(~F.col("origin_key").eqNullSafe(F.col("__top.o")), held)
+    rows = rows.withColumns({"__second": F.max(elsewhere).over(group), "__origin": F.first("origin_key").over(order)})
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("origin_key").eqNullSafe(F.col("__origin"))
+    latest = F.last(F.when(same, F.col("fact_id")), ignorenulls=True).over(earlier)
+    several = F.when(F.col("origin_key").eqNullSafe(F.col("__top.o")), F.col("__second.fact_id")).otherwise(F.col("__top.fact_id"))
+    target = F.when(F.col("__second").isNotNull(), several).when(~same, latest)
+    return rows.withColumn("__target", target).where("NOT stored").select(
         "fact_id",
-        F.when(other, "CORROBORATED").otherwise("INSERTED").alias("outcome"),
-        F.when(other, "corroborating").otherwise("active").alias("status"),
-        F.when(other, F.col("__first")).alias("corroborates"),
+        F.when(F.col("__target").isNotNull(), "CORROBORATED").otherwise("INSERTED").alias("outcome"),
+        F.when(F.col("__target").isNotNull(), "corroborating").otherwise("active").alias("status"),
+        F.col("__target").alias("corroborates"),
     )
 
 
@@ -70,35 +99,41 @@ def _cosine(a, b) -> float:
     return sum(v * w for v, w in zip(x, y, strict=True)) / size if size else 0.0
 
 
-def fold_slot(rows: Iterable[dict], now: datetime, cfg: Config) -> list[dict]:
-    """The rows of one slot, in arrival order, with what became of each."""
+def fold_slot(rows: Iterable[dict], now: datetime, cfg: Config) -> Iterator[dict]:
+    """The rows of one slot, in arrival order, with what became of each.
+
+    Only facts that are active or competing are held; the others are settled and go out as soon as they are.
+    """
     held: list[dict] = []
     year = 365 * 86400.0
     for new in rows:
         kind, event = new["semantics"], new["semantics"] == "events"
         age = lambda moment: math.exp(-(now - moment).total_seconds() / year)
+        blank = {"score": None, "outcome": None, "superseded_by": None, "corroborates": None, "prior_valid_until": None, "best_opponent": None, "dominant": None}
+        if new.get("stored"):
+            held.append(new | blank)
+            continue
         parts = (cfg.confidence * new["confidence"], cfg.trust * new["declared_trust"], cfg.recency * (age(new["valid_from"]) if event else 1.0), cfg.authority * new["authority"])
-        new |= {"score": sum(parts), "status": "active", "outcome": "INSERTED", "superseded_by": None, "corroborates": None, "prior_valid_until": None, "best_opponent": None, "dominant": None}
+        new |= blank | {"score": sum(parts), "status": "active", "outcome": "INSERTED"}
         if kind in ("bitemporal", "events") and new["score"] < cfg.reject:
-            new |= {"outcome": "REJECTED", "status": "rejected"}
-            held.append(new)
+            yield new | {"outcome": "REJECTED", "status": "rejected"}
             continue
-        pool = [f for f in held if f["status"] == "active" or event and f["status"] == "competing"]
+        pool = [f for f in held if f["status"] == "active" or event]
         if kind != "single_active":
             gate = cfg.event_similarity if event else cfg.similarity
-            pool = [f for f in pool if _cosine(f["embedding"], new["embedding"]) >= gate and _overlaps(f, new)]
-        held.append(new)
+            pool = [f for f in pool if _overlaps(f, new) and _cosine(f["embedding"], new["embedding"]) >= gate]
         same = [f for f in pool if f["object"] == new["object"] and f["origin_key"] != new["origin_key"]]
         if same:
-            new |= {"outcome": "CORROBORATED", "status": "corroborating", "corroborates": max(same, key=lambda f: (f["recorded_at"], f["fact_id"]))["fact_id"]}
+            yield new | {"outcome": "CORROBORATED", "status": "corroborating", "corroborates": max(same, key=lambda f: (f["recorded_at"], f["fact_id"]))["fact_id"]}
             continue
         if not pool:
+            held.append(new)
             continue
         day = lambda f: f["valid_from"].date() if event else f["valid_from"]
         later = [f for f in pool if day(f) > day(new)] if kind != "bitemporal" else []
         if later:
             after = min(later, key=lambda f: (f["valid_from"], f["fact_id"]))
-            new |= {"outcome": "INSERTED_HISTORICAL", "status": "superseded", "superseded_by": after["fact_id"], "prior_valid_until": new["valid_until"], "valid_until": after["valid_from"]}
+            yield new | {"outcome": "INSERTED_HISTORICAL", "status": "superseded", "superseded_by": after["fact_id"], "prior_valid_until": new["valid_until"], "valid_until": after["valid_from"]}
             continue
         scored = [
             (cfg.confidence * f["confidence"], cfg.trust * f["learned_trust"], cfg.recency * age(f["valid_from"] if event else f["recorded_at"]), cfg.authority * f["authority"])
@@ -118,15 +153,18 @@ def fold_slot(rows: Iterable[dict], now: datetime, cfg: Config) -> list[dict]:
             for f in pool:
                 if event and day(f) >= day(new):
                     f["status"] = "competing"
+            yield from losers
+            held = [f for f in held if f["status"] != "superseded"]
         else:
             new |= {"outcome": "COMPETING", "status": "competing"}
             for f in pool:
                 f["status"] = "competing"
-    return held
+        held.append(new)
+    yield from held
 
 
 def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config()) -> DataFrame:
-    """OUT columns for each fact of slots that are not append-only.
+    """OUT columns for each fact of slots that are not append-only, as taking_part() has them.
 
     facts: SLOT, fact_id, object, semantics (single_active, bitemporal or events), confidence, declared_trust, learned_trust,
     authority, origin_key, embedding, valid_from, valid_until, recorded_at. Scores and trust are joined on before; only the
@@ -138,7 +176,9 @@ def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config()) -> DataFra
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in batch.to_pylist())
         for _, slot in groupby(rows, key=lambda r: tuple(r[c] for c in SLOT)):
-            yield pa.RecordBatch.from_pylist(fold_slot(slot, cut, cfg), schema=arrow)
+            done = fold_slot(slot, cut, cfg)
+            while some := list(islice(done, 5_000)):
+                yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slots are small; a few thousand rows make a batch."""
@@ -151,7 +191,8 @@ def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config()) -> DataFra
         yield from pa.Table.from_batches(some, schema=arrow).combine_chunks().to_batches()
 
     stamps = {c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_until", "recorded_at")}
-    sorted_slots = facts.select(*SLOT, *NEEDED).withColumns(stamps).repartition(*SLOT).sortWithinPartitions(*SLOT, "recorded_at", "fact_id")
+    rows = taking_part(facts).select(*SLOT, *NEEDED, "stored", "status").withColumns(stamps)
+    sorted_slots = rows.repartition(*SLOT).sortWithinPartitions(*SLOT, F.desc("stored"), "recorded_at", "fact_id")
     return sorted_slots.mapInArrow(gathered, OUT)
 
 
@@ -162,14 +203,25 @@ def explain_conflicts(resolved: DataFrame) -> DataFrame:
 
 
 def predict_outcomes(current: DataFrame, candidates: DataFrame, now: str, cfg: Config = Config()) -> DataFrame:
-    """The outcome each candidate alone would meet, nothing written: each gets its own copy of its slot."""
-    copies = candidates.select(*SLOT, F.col("fact_id").alias("__case"))
-    match = [F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in SLOT]
-    stored = current.alias("f").join(copies.alias("c"), match).select("f.*", "c.__case")
-    every = stored.unionByName(candidates.withColumn("__case", F.col("fact_id")))
-    own = every.withColumn("derived_version", F.concat_ws("\u0001", "derived_version", "__case"))
-    resolved = resolve_facts(own.drop("__case"), now, cfg)
-    return resolved.join(candidates.select("fact_id"), "fact_id", "left_semi").select("fact_id", "outcome", "score", "best_opponent", "dominant")
+    """The outcome each candidate alone would meet, nothing written: each meets its own copy of what its slot has open.
+
+    current: stored facts as resolve_facts takes them. Without `stored` they are first resolved among themselves, once, so
+    that only facts that are still active or competing are copied, not whole slots.
+    """
+    if "stored" not in current.columns:
+        ended = resolve_facts(current, now, cfg).where("status IN ('active', 'competing')").select("fact_id", "status", F.col("valid_until").alias("__until"))
+        plain = current.drop("status", "retracted_at").join(ended, "fact_id")
+        current = plain.withColumn("valid_until", F.col("__until").cast(current.schema["valid_until"].dataType)).drop("__until").withColumn("stored", F.lit(True))
+    stored = taking_part(current)
+    asked = taking_part(candidates.drop("stored"))
+    copies = asked.select(*(F.col(c).alias(f"__{c}") for c in SLOT), F.col("fact_id").alias("__case"))
+    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SLOT]
+    columns = [*SLOT, *NEEDED, "stored", "status", "__case"]
+    copied = stored.join(copies, match).select(columns)
+    every = copied.unionByName(asked.withColumn("__case", F.col("fact_id")).select(columns))
+    own = every.withColumn("derived_version", F.concat_ws("\u0001", "derived_version", "__case")).drop("__case")
+    resolved = resolve_facts(own, now, cfg).where("outcome IS NOT NULL")
+    return resolved.select("fact_id", "outcome", "score", "best_opponent", "dominant")
 
 
 def retract(facts: DataFrame, ids: DataFrame, now: Column, reason: str) -> DataFrame:

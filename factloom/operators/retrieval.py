@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.trust import calibrate
+
 #: Weights by salience 0 to 3; half-life and floor of distance in time; weight of supplementary facts.
 SALIENCE = (0.8, 1.0, 1.1, 1.25)
 HALF_LIFE_DAYS, FLOOR, DEGREE_WEIGHT, SUPPLEMENTS, CORROBORATION_CAP = 90.0, 0.25, 0.3, 2, 3
 
 
+#: Fixed value: predicates of small talk.
+CHATTER = ("said",)
+
+
 def clamp01(x: Column) -> Column:
     return F.when(x <= 0, 0.0).when(x > 1, 1.0).otherwise(x)
 
@@ -80,15 +86,38 @@ def diversity_key(predicate: Column, text: Column) -> Column:
     return F.concat_ws("|", predicate, F.array_join(F.array_sort(F.slice(words, 1, 3)), " "))
 
 
-def score_facts(fused: DataFrame, registry: DataFrame, now: Column, moment: Column | None = None) -> DataFrame:
-    """fused rows joined with their facts get score: fused x decay x confidence x distance in time."""
-    half = registry.select("predicate", "half_life_days")
-    rows = fused.join(half, "predicate", "left")
-    last = F.col("last_read_at") if "last_read_at" in fused.columns else F.lit(None)
-    score = F.col("fused") * read_decay(now, F.col("recorded_at"), last, F.col("half_life_days")) * F.col("confidence")
+def score_facts(
+    fused: DataFrame, registry: DataFrame, now: Column, moment: Column | None = None, period: tuple[Column, Column] | None = None,
+    steps: DataFrame | None = None, chatter: float = 1.0, beta: float = 0.0, gamma: float = 0.0, delta: float = 0.0, salience: bool = False,
+) -> DataFrame:
+    """fused rows joined with their facts get score, the product of fused and ten factors, each 1 where it is not asked for.
+
+    Decay since recorded_at or last_read_at by the predicate's half-life; confidence, rewritten by calibration steps (one row:
+    thresholds, values); a penalty for CHATTER predicates, if within 0 and 1; trust (learned_trust unless it is a neutral half, else
+    declared_trust), corroborations (corroboration_count) and authority with the weights beta, gamma, delta; distance from a moment
+    and from a query's period; salience (a whole number from 0 to 3). A canonical predicate_alias stands for its predicate.
+    Columns that facts lack count as null.
+    """
+    held = lambda c: F.col(c) if c in fused.columns else F.lit(None)
+    rows = fused.withColumn("__canon", F.coalesce(held("predicate_alias").cast("string"), F.col("predicate")))
+    rows = rows.join(registry.select(F.col("predicate").alias("__canon"), F.col("half_life_days").alias("__half")), "__canon", "left")
+    confidence = F.col("confidence")
+    if steps is not None:
+        rows = rows.crossJoin(F.broadcast(steps.limit(1).select(F.col("thresholds").alias("__at"), F.col("values").alias("__to"))))
+        confidence = calibrate(confidence, F.col("__at"), F.col("__to"))
+    learned, declared = held("learned_trust").cast("double"), held("declared_trust").cast("double")
+    reputation = F.coalesce(F.when(learned != 0.5, learned), declared, F.lit(0.5))
+    score = F.col("fused") * read_decay(now, F.col("recorded_at"), held("last_read_at"), F.col("__half")) * confidence
+    if 0 < chatter < 1:
+        score = score * F.when(F.col("__canon").isin(*CHATTER), chatter).otherwise(1.0)
+    score = score * trust_factor(reputation, F.coalesce(held("corroboration_count").cast("double"), F.lit(0.0)), F.coalesce(held("authority").cast("double"), F.lit(0.0)), beta, gamma, delta)
     if moment is not None:
         score = score * overlap_factor(moment)
-    return rows.withColumn("score", score).drop("half_life_days")
+    if period is not None:
+        score = score * period_factor(*period, held("mentioned_at").cast("timestamp"))
+    if salience:
+        score = score * salience_factor(held("salience").cast("double"))
+    return rows.withColumn("score", score).drop("__canon", "__half", "__at", "__to")
 
 
 def bucket_entities(scored: DataFrame) -> DataFrame:
@@ -176,11 +205,12 @@ def rescore_window(facts: DataFrame, external: DataFrame, window: int) -> DataFr
 
 
 def expansion_terms(hits: DataFrame, queries: DataFrame, names: DataFrame, n: int = 3) -> DataFrame:
-    """query_id, text with the names of up to n best entities that the query doesn't mention."""
-    named = hits.join(names, "entity_id").join(queries, "query_id").where(~F.contains(F.lower("text"), F.lower("canonical_name")))
+    """query_id, text of every query, with the names of up to n best entities that it doesn't mention; a query without such stays as it is."""
+    named = hits.join(names, "entity_id").join(queries.select("query_id", "text"), "query_id").where(~F.contains(F.lower("text"), F.lower("canonical_name")))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "entity_id"))
-    top = named.withColumn("r", rank).where(F.col("r") <= n).groupBy("query_id", "text").agg(F.array_sort(F.collect_list(F.struct("r", "canonical_name"))).alias("c"))
-    return top.select("query_id", F.concat_ws(" ", "text", F.transform("c", lambda x: x["canonical_name"])).alias("text"))
+    top = named.withColumn("r", rank).where(F.col("r") <= n).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", "canonical_name"))).alias("c"))
+    told = queries.select("query_id", "text").join(top, "query_id", "left")
+    return told.select("query_id", F.concat_ws(" ", "text", F.transform(F.coalesce("c", F.array()), lambda x: x["canonical_name"])).alias("text"))
 
 
 def assemble_hits(scored: DataFrame, buckets: DataFrame, limit: int, per_entity: int = 5) -> DataFrame:

@@ -8,31 +8,60 @@ from pyspark.sql import functions as F
 
 from factloom.operators import retrieval as R
 from factloom.operators import similarity as S
-from factloom.operators.filters import only_atomic, scope_gate, user_scope, world_fence
+from factloom.operators.filters import lang_backoff, only_atomic, scope_gate, user_scope, world_fence
 from factloom.operators.graph import expand_edges, pagerank_boost, personalized_pagerank
 from factloom.operators.joins import reattribute_merged
-from factloom.operators.policy import apply_policy
+from factloom.operators.neighbours import within
+from factloom.operators.policy import apply_policy, policy_meta_union
 from factloom.operators.sessions import best_mention_per_session
 from factloom.operators.temporal import current_facts
 from factloom.operators.text import dedupe_mentions
 
 
-def search(
-    queries: DataFrame, facts: DataFrame, entities: DataFrame, edges: DataFrame, registry: DataFrame, now: Column,
-    user: str | None = None, scopes: tuple[str, ...] = (), sets: tuple[dict, ...] = (), limit: int = 10, alpha: float = 0.0, rank_graph: bool = False,
+def scored_facts(
+    queries: DataFrame, facts: DataFrame, entities: DataFrame, registry: DataFrame, now: Column, user: str | None = None, scopes: tuple[str, ...] = (), sets: tuple[dict, ...] = (),
+    limit: int = 10, lang: str | None = None, docs: DataFrame | None = None, expand: bool = False, **factors,
 ) -> DataFrame:
-    """query_id, entity_rank, entity_id, rank_score, facts. queries: query_id, text, q (vector); facts have embedding and haystack.
+    """The facts that answer queries (query_id, text, q), with score: the pipeline of search() up to ranking.
 
-    Current facts in scope are searched by vector and by words, fused, re-keyed to survivors of merges, gated by scopes and
-    policies, scored, gathered by entity, widened along edges (alpha > 0) and by PageRank (rank_graph), and assembled.
+    lang: facts in that language or none come first, others only where these are fewer than half of what is asked for. docs
+    (origin_key and what policies look at): facts with a document that a policy denies drop out. expand: queries are asked
+    again with the names of their best entities, and the better facts that this finds are merged in. factors: as in score_facts.
     """
     k = min(5 * limit, 200)
     pool = world_fence(user_scope(current_facts(facts, now), user), [None])
-    near = S.exact_knn(queries.select("query_id", "q"), pool.where("embedding IS NOT NULL"), k)
-    said = S.bm25_fields(queries.select("query_id", "text"), pool, ["haystack", "object"], k)
-    fused = R.fuse(near, said).join(reattribute_merged(pool, entities), "fact_id")
-    allowed = apply_policy(scope_gate(fused, registry, list(scopes)), list(sets)).where("decision <> 'deny'")
-    scored = R.score_facts(allowed, registry, now)
+
+    def ask(queries: DataFrame) -> DataFrame:
+        near = S.exact_knn(queries.select("query_id", "q"), pool.where("embedding IS NOT NULL"), k)
+        said = S.bm25_fields(queries.select("query_id", "text"), pool, ["haystack", "object"], k)
+        fused = R.fuse(near, said).join(reattribute_merged(pool, entities), "fact_id")
+        if lang is not None:
+            fused = lang_backoff(fused, lang, k)
+        allowed = apply_policy(scope_gate(fused, registry, list(scopes)), list(sets)).where("decision <> 'deny'")
+        if docs is not None:
+            keyed = allowed.withColumn("origin_keys", F.array("origin_key"))
+            allowed = policy_meta_union(keyed, docs, list(sets)).drop("origin_keys")
+        return R.score_facts(allowed, registry, now, **factors)
+
+    first = ask(queries)
+    if not expand:
+        return first
+    more = R.expansion_terms(R.bucket_entities(first), queries, entities.select("entity_id", "canonical_name"))
+    again = ask(queries.drop("text").join(more, "query_id"))
+    return R.merge_evidence(first, again, k).drop("source")
+
+
+def search(
+    queries: DataFrame, facts: DataFrame, entities: DataFrame, edges: DataFrame, registry: DataFrame, now: Column, user: str | None = None, scopes: tuple[str, ...] = (),
+    sets: tuple[dict, ...] = (), limit: int = 10, alpha: float = 0.0, rank_graph: bool = False, **more,
+) -> DataFrame:
+    """query_id, entity_rank, entity_id, rank_score, facts. queries: query_id, text, q (vector); facts have embedding and haystack.
+
+    Current facts in scope are searched by vector and by words, fused, re-keyed to survivors of merges, gated by language, scopes
+    and policies, scored, gathered by entity, widened along edges (alpha > 0) and by PageRank (rank_graph), and assembled.
+    more: as in scored_facts.
+    """
+    scored = scored_facts(queries, facts, entities, registry, now, user, scopes, sets, limit, **more)
     buckets = R.bucket_entities(scored).select("query_id", "entity_id", "rank_score")
     if alpha > 0:
         buckets = buckets.unionByName(expand_edges(buckets, edges, alpha).withColumnRenamed("score", "rank_score"))
@@ -42,13 +71,17 @@ def search(
     return R.assemble_hits(scored, buckets, limit)
 
 
+def search_facts(queries: DataFrame, facts: DataFrame, entities: DataFrame, registry: DataFrame, now: Column, budget: int = 20, limit: int = 10, **more) -> DataFrame:
+    """query_id, fact_rank, fact_id, entity_rank, entity_id, score: search() by facts, the best `budget` under at most `limit` entities."""
+    scored = scored_facts(queries, facts, entities, registry, now, limit=limit, **more)
+    return R.fact_centric(scored, budget, limit).select("query_id", "fact_rank", "fact_id", "entity_rank", "entity_id", "score")
+
+
 def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, share: float = 0.9, most: int = 60) -> DataFrame:
     """query_id, seq, text: for each topic (query_id, text, q) the lines of segments (fact_id, session_key, occurred_at, text, embedding)
     that match by word or are near enough to the topic's nearest; one a session, near-repeats dropped, oldest first."""
-    near = S.exact_knn(topics.select("query_id", "q"), segments, 1 << 30, floor)
-    best = F.max("similarity").over(W.partitionBy("query_id"))
-    close = near.withColumn("b", best).where(F.col("similarity") >= share * F.col("b"))
-    said = S.bm25_any_term(topics.select("query_id", "text"), segments, ["text"], 1 << 30)
+    close = within(topics.select("query_id", "q"), segments, floor, share)
+    said = S.any_term_scores(topics.select("query_id", "text"), segments, ["text"])
     both = close.select("query_id", "fact_id", "similarity").join(said.select("query_id", "fact_id", F.col("bm25").alias("lexical")), ["query_id", "fact_id"], "full")
     held = best_mention_per_session(both.na.fill(0.0, ["similarity", "lexical"]).join(segments.drop("embedding"), "fact_id"))
     seq = F.row_number().over(W.partitionBy("query_id").orderBy("occurred_at", "fact_id"))
@@ -60,7 +93,7 @@ def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, sh
 def query_arcs(topics: DataFrame, facts: DataFrame, floor: float = 0.35, beats: int = 12) -> DataFrame:
     """topic, fact_id, seq: the most topical atomic facts of each topic, in time order. facts: fact_id, predicate, recorder, valid_from, embedding."""
     atomic = only_atomic(facts)
-    near = S.exact_knn(topics.select("query_id", "q"), atomic.select("fact_id", "embedding"), 1 << 30, floor)
+    near = S.exact_knn(topics.select("query_id", "q"), atomic.select("fact_id", "embedding"), beats, floor)
     rows = near.join(atomic.select("fact_id", "valid_from"), "fact_id").select(F.col("query_id").alias("topic"), "fact_id", "valid_from", F.col("similarity").alias("topicality"))
     return R.arc_beats(rows, beats).select("topic", "fact_id", "seq")
 
@@ -74,9 +107,9 @@ def match_entities(names: DataFrame, entities: DataFrame, min_sim: float = 0.9)
     exact = names.select("name_id", "type", fold("name").alias("k")).join(entities.select("entity_id", "type", fold("canonical_name").alias("k")), ["type", "k"])
     first = exact.groupBy("name_id").agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("name"))
     rest = names.join(first, "name_id", "left_anti")
-    near = S.exact_knn(rest.select(F.col("name_id").alias("query_id"), "q"), entities.select(F.col("entity_id").alias("fact_id"), "embedding"), 20, min_sim)
-    typed = near.join(rest.select(F.col("name_id").alias("query_id"), "type"), "query_id").join(entities.select(F.col("entity_id").alias("fact_id"), "type"), ["fact_id", "type"])
-    best = S.top_k_per_query(typed.drop("rank"), "similarity", 1).select(F.col("query_id").alias("name_id"), F.col("fact_id").alias("entity_id"), F.lit("vector").alias("how"))
+    asked = rest.select(F.col("name_id").alias("query_id"), "type", "q")
+    near = S.exact_knn(asked, entities.select(F.col("entity_id").alias("fact_id"), "type", "embedding"), 1, min_sim, by="type")
+    best = near.select(F.col("query_id").alias("name_id"), F.col("fact_id").alias("entity_id"), F.lit("vector").alias("how"))
     return first.unionByName(best)
 
 

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.vectors import dot, norm
+from factloom.functions.vectors import norm
+from factloom.operators.neighbours import exact_knn
 
 #: BM25's constants; the usual ones.
 K1, B = 1.2, 0.75
-#: Queries are broadcast only up to so many; more are met in so many salted groups by a shuffle.
-BROADCAST_QUERIES = 2_000
 #: Beyond any distance of two unit vectors.
 FARTHEST = 3.0
 
@@ -24,30 +23,6 @@ def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") ->
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, min_sim: float | None = None) -> DataFrame:
-    """query_id, fact_id, similarity, rank by cosine. queries: query_id, q; vectors: fact_id, embedding.
-
-    Norms are computed once a row. Few queries are broadcast; many are dealt in blocks that meet salted parts of
-    the vectors, so no task holds all queries or all vectors.
-    """
-    q = queries.select("query_id", "q", norm(F.col("q")).alias("qn"))
-    v = vectors.select("fact_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        pairs = v.join(F.broadcast(q))
-    else:
-        blocks = -(-n // BROADCAST_QUERIES)
-        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        left = v.withColumn("salt", dealt("fact_id", salts)).withColumn("block", every(blocks))
-        right = q.withColumn("block", dealt("query_id", blocks)).withColumn("salt", every(salts))
-        pairs = left.join(right, ["block", "salt"])
-    whole = F.col("qn") * F.col("vn")
-    scored = pairs.select("query_id", "fact_id", F.when(whole > 0, dot(F.col("q"), F.col("embedding")) / whole).otherwise(0.0).alias("similarity"))
-    return top_k_per_query(scored if min_sim is None else scored.where(F.col("similarity") >= min_sim), "similarity", k)
-
-
 def approx_knn(queries: DataFrame, vectors: DataFrame, k: int, over: int = 4) -> DataFrame:
     """As exact_knn by locality-sensitive hashing with an exact re-score; queries that find fewer than k fall back to exact_knn."""
     unit = lambda c: array_to_vector(F.transform(F.col(c), lambda x: x.cast("double") / F.when(norm(F.col(c)) > 0, norm(F.col(c))).otherwise(1.0)))
@@ -104,15 +79,20 @@ def bm25_fields(queries: DataFrame, docs: DataFrame, fields: list[str], k: int,
     return top_k_per_query(out.groupBy("query_id", key).agg(F.max("bm25").alias("bm25")), "bm25", k, key)
 
 
-def bm25_any_term(queries: DataFrame, docs: DataFrame, fields: list[str], k: int, terms: int = 8, key: str = "fact_id") -> DataFrame:
-    """Sum over at most `terms` query terms of the better field."""
+def any_term_scores(queries: DataFrame, docs: DataFrame, fields: list[str], terms: int = 8, key: str = "fact_id") -> DataFrame:
+    """query_id, key, bm25: the sum over at most `terms` query terms of the better field."""
     short = queries.select("query_id", F.array_join(F.slice(F.array_distinct(tokens("text")), 1, terms), " ").alias("text"))
     out = None
     for f in fields:
         one = bm25_terms(short, docs, f, key)
         out = one if out is None else out.unionByName(one)
     best = out.groupBy("query_id", key, "term").agg(F.max("weight").alias("weight"))
-    return top_k_per_query(best.groupBy("query_id", key).agg(F.sum("weight").alias("bm25")), "bm25", k, key)
+    return best.groupBy("query_id", key).agg(F.sum("weight").alias("bm25"))
+
+
+def bm25_any_term(queries: DataFrame, docs: DataFrame, fields: list[str], k: int, terms: int = 8, key: str = "fact_id") -> DataFrame:
+    """query_id, key, bm25, rank of the k best any_term_scores."""
+    return top_k_per_query(any_term_scores(queries, docs, fields, terms, key), "bm25", k, key)
 
 
 def same_group_pairs(facts: DataFrame, keys: list[str], min_sim: float) -> DataFrame:

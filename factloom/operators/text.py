@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
+
+from factloom.functions.vectors import cosine
 
 # Stop words by language, ranges of scripts with their thresholds, month names.
 STOP_WORDS = {
@@ -36,41 +38,27 @@ SCRIPTS = {
 MONTHS = "january february march april may june july august september october november december".split()
 
 
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-DIGITS = r"\+?\d[\d\s().-]{7,}\d"
-
-
-@pandas_udf(StructType([StructField("text", StringType()), StructField("classes", ArrayType(StringType()))]))
-def _redact(texts: pd.Series) -> pd.DataFrame:
-    import re
-
-    email, digits, bare = re.compile(EMAIL), re.compile(DIGITS, re.A), re.compile(r"\b\d{9,}\b", re.A)
-    years, iso = re.compile(r"\s*(19|20)\d{2}(\D+(19|20)\d{2})+\s*", re.A), re.compile(r"\s*(19|20)\d{2}-\d{2}-\d{2}", re.A)
-
-    def phone(m: re.Match) -> str:
-        held = m[0]
-        n = sum(c.isdigit() for c in held)
-        return held if not 9 <= n <= 16 or years.fullmatch(held) or iso.match(held) else "[PHONE]"
-
-    rows = []
-    for text in texts:
-        if text is None:
-            rows.append((None, []))
-            continue
-        found = []
-        for name, rule, to in (("email", email, "[EMAIL]"), ("phone", digits, phone), ("number", bare, "[NUM]")):
-            new = rule.sub(to, text)
-            if new != text:
-                found.append(name)
-            text = new
-        rows.append((text, found))
-    return pd.DataFrame(rows, columns=["text", "classes"])
+#: What masks look for, in order: class, rule, mask. Between digits of one number stand blanks, dots, hyphens and brackets.
+_GAP = r"[\s().\-]"
+_YEAR = r"(?:19|20)\d\d"
+MASKS = [
+    ("email", r"[\p{Alnum}._%+\-]+@(?:[\p{Alnum}\-]+\.)+\p{Alpha}{2,}", "[EMAIL]"),
+    # 9 to 16 digits that no further digit precedes or follows, unless they begin with a date or are years only.
+    ("phone", rf"(?<!\d{_GAP}{{0,8}})(?!{_YEAR}-\d\d-\d\d)(?!{_YEAR}(?:{_GAP}+{_YEAR})+(?!{_GAP}*\d))\+?\d(?:{_GAP}*\d){{8,15}}+(?!{_GAP}*\d)", "[PHONE]"),
+    ("number", r"(?<!\w)\d{9,}(?!\w)", "[NUM]"),
+]
 
 
 def redact_pii(df: DataFrame, column: str = "text") -> DataFrame:
     """df with e-mails, phone- or card-like numbers and long digit runs masked, and pii_classes of what was found."""
-    made = df.withColumn("__r", _redact(column))
-    return made.withColumn(column, F.col("__r.text")).withColumn("pii_classes", F.col("__r.classes")).drop("__r")
+    out, found = df, []
+    for name, rule, mask in MASKS:
+        before, after = column if not found else f"__{len(found)}", f"__{len(found) + 1}"
+        out = out.withColumn(after, F.regexp_replace(before, rule, mask))
+        found.append(F.when(F.col(after) != F.col(before), name))
+    last = f"__{len(MASKS)}"
+    marked = out.withColumn("pii_classes", F.array_compact(F.array(*found))).withColumn(column, F.col(last))
+    return marked.drop(*(f"__{i}" for i in range(1, len(MASKS) + 1)))
 
 
 def pii_report(redacted: DataFrame) -> DataFrame:
@@ -91,22 +79,35 @@ def letter_words(text: Column) -> Column:
 
 
 def tag_language(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with language and script: a script above its share decides, else the most stop words (ties: the order above)."""
+    """df with language and script: a script above its share decides, else the most stop words (ties: the order above).
+
+    Letters are counted only in texts that have some of another script than Latin. Words are split once, and reduced to stop
+    words of any language before each language counts its own.
+    """
+    others = [s for s in SCRIPTS if s != "latin"]
     text = F.trim(F.col(column))
-    n = {s: F.regexp_count(text, F.lit(rule)) for s, rule in SCRIPTS.items()}
+    mixed = F.regexp_like(text, F.lit("|".join(SCRIPTS[s] for s in others)))
+    count = lambda s: F.when(mixed, F.regexp_count(text, F.lit(SCRIPTS[s]))).otherwise(0).alias(s)
+    stops = {w for stop in STOP_WORDS.values() for w in stop.split()}
+    rows = df.withColumns({
+        "__n": F.struct(*map(count, SCRIPTS)), "__letters": mixed | F.regexp_like(text, F.lit(SCRIPTS["latin"])),
+        "__w": F.filter(letter_words(text), lambda t: t.isin(*sorted(stops))),
+    })
+    known = lambda stop: F.size(F.filter("__w", lambda t: t.isin(*stop.split())))
+    hits = [F.struct(known(stop).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stop) in enumerate(STOP_WORDS.items())]
+    rows = rows.withColumn("__best", F.greatest(*hits))
+    n = {s: F.col(f"__n.{s}") for s in SCRIPTS}
     total = reduce(lambda a, b: a + b, n.values())
     share = {s: c / F.when(total > 0, total) for s, c in n.items()}
-    words = letter_words(text)
-    known = lambda stop: F.size(F.filter(words, lambda t: t.isin(*stop.split())))
-    hits = [F.struct(known(stop).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stop) in enumerate(STOP_WORDS.items())]
-    best = F.greatest(*hits)
     named = [("ru", "Cyrl", share["cyrillic"] > 0.4), ("ko", "Hang", share["hangul"] > 0.3), ("ja", "Hira", share["kana"] > 0.2), ("zh", "Hani", share["han"] > 0.3),
              ("ar", "Arab", share["arabic"] > 0.3), ("hi", "Deva", share["devanagari"] > 0.3)]
-    none = text.isNull() | (F.coalesce(total, F.lit(0)) == 0)
+    none = ~F.coalesce("__letters", F.lit(False))
     language, script = F.when(none, "und"), F.when(none, "Zyyy")
     for lang, code, holds in named:
         language, script = language.when(holds, lang), script.when(holds, code)
-    return df.withColumn("language", language.otherwise(F.when(best["n"] > 0, best["lang"]).otherwise("en"))).withColumn("script", script.otherwise("Latn"))
+    best = F.col("__best")
+    tagged = rows.withColumn("language", language.otherwise(F.when(best["n"] > 0, best["lang"]).otherwise("en"))).withColumn("script", script.otherwise("Latn"))
+    return tagged.drop("__n", "__letters", "__w", "__best")
 
 
 def language_mix(tagged: DataFrame) -> DataFrame:
@@ -150,14 +151,20 @@ def chunk_documents(docs: DataFrame, target: int = 12_000, most: int = 16_000, o
     return docs.select("doc_id", F.explode(cut("text")).alias("c")).select("doc_id", "c.*")
 
 
-def route_documents(docs: DataFrame, packs: list[dict], head: int = 4_000) -> DataFrame:
-    """doc_id, pack, rule for each pack (name, always, verticals, keywords) that a document goes to by a rule."""
-    start = F.lower(F.substring("text", 1, head))
-    word = lambda kw: F.regexp_like(start, F.lit(r"(?<![\p{L}\p{N}])\Q" + kw.lower() + r"\E(?![\p{L}\p{N}])"))
+def route_documents(docs: DataFrame, packs: list[dict], min_sim: float = 0.3) -> DataFrame:
+    """doc_id, pack, rule for each pack (name, always, verticals, keywords, vector) that a document goes to.
+
+    Rules come first: always, the document's source, a keyword as whole words anywhere in its text. A pack with a vector also takes
+    documents (of tables with an embedding) that none of its rules takes and that are as near as min_sim.
+    """
+    low = F.lower("text")
+    word = lambda kw: F.regexp_like(low, F.lit(r"(?<![\p{L}\p{N}])\Q" + kw.lower() + r"\E(?![\p{L}\p{N}])"))
     routes = []
     for p in packs:
         by_word = reduce(lambda a, b: a | b, map(word, p.get("keywords", [])), F.lit(False))
         rule = F.when(F.lit(bool(p.get("always"))), "always").when(F.col("source").isin(*p.get("verticals", [""])), "vertical").when(by_word, "keyword")
+        if p.get("vector") and "embedding" in docs.columns:
+            rule = rule.when(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, p["vector"])))) >= min_sim, "embedding")
         routes.append(F.struct(F.lit(p["name"]).alias("pack"), rule.alias("rule")))
     return docs.select("doc_id", F.explode(F.array(*routes)).alias("r")).select("doc_id", "r.*").where("rule IS NOT NULL")
 

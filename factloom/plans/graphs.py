@@ -14,8 +14,8 @@ from factloom.plans.catalog import NOW, World, query
 
 def _seeds(w: World) -> DataFrame:
     """Ten queries over disjoint sets of customers and all suppliers."""
-    customers = w.customer.selectExpr("c_custkey % 10 AS query_id", "concat('c', c_custkey) AS node", "1.0D + c_custkey % 3 AS score").where("substring(node, 2) % 4 = 0")
-    suppliers = w.supplier.selectExpr("explode(sequence(0, 9)) AS query_id", "concat('s', s_suppkey) AS node", "0.5D AS score").where("substring(node, 2) % 4 = 0")
+    customers = w.customer.selectExpr("c_custkey % 10 AS query_id", "concat('c', c_custkey) AS node", "1.0D + c_custkey % 3 AS score")
+    suppliers = w.supplier.selectExpr("explode(sequence(0, 9)) AS query_id", "concat('s', s_suppkey) AS node", "0.5D AS score")
     return customers.union(suppliers)
 
 
@@ -27,7 +27,7 @@ def g1(w: World) -> DataFrame:
 
 @query("g2_communities")
 def g2(w: World) -> DataFrame:
-    return G.communities(w.edges.where("weight >= 0.45"))
+    return G.communities(w.edges)
 
 
 def _members(w: World, turn: int) -> DataFrame:
@@ -42,6 +42,24 @@ def g3(w: World) -> DataFrame:
     return G.community_diff(_members(w, 1000), _members(w, 7))
 
 
+@query("g3_community_diff_edges", """
+WITH m AS (SELECT c_nationkey AS c, concat('c', c_custkey) AS node FROM customer),
+e AS (SELECT src AS node, created_at, src, dst FROM edges UNION ALL SELECT dst, created_at, src, dst FROM edges),
+a AS (SELECT c, max(created_at) AS at_ FROM m JOIN e USING (node) WHERE created_at < TIMESTAMP '1998-08-01 00:00:00' GROUP BY 1), b AS (SELECT c, max(created_at) AS at_ FROM m JOIN e USING (node) GROUP BY 1)
+SELECT b.c AS community, 'rebuild' AS change FROM b LEFT JOIN a USING (c) WHERE a.at_ IS DISTINCT FROM b.at_""", "edges")
+def g3b(w: World) -> DataFrame:
+    """The same members, but some have edges since."""
+    members = w.customer.selectExpr("c_nationkey AS community", "concat('c', c_custkey) AS node")
+    return G.community_diff(members, members, w.edges.where("created_at < TIMESTAMP '1998-08-01 00:00:00'"), w.edges)
+
+
+@query("g4_community_facts", """
+SELECT c_nationkey AS community, row_number() OVER (PARTITION BY c_nationkey ORDER BY confidence DESC, valid_from DESC, fact_id)::INTEGER AS rank, fact_id
+FROM facts JOIN customer ON entity_id = concat('c', c_custkey) WHERE status = 'active' AND retracted_at IS NULL QUALIFY rank <= 20""", "facts")
+def g4b(w: World) -> DataFrame:
+    return G.community_facts(w.customer.selectExpr("c_nationkey AS community", "concat('c', c_custkey) AS node"), w.facts)
+
+
 @query("g4_community_profile", """
 WITH d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
 m AS (SELECT c_nationkey AS community, concat('c', c_custkey) AS node, c_name AS name FROM customer)
@@ -107,11 +125,11 @@ def g8(w: World) -> DataFrame:
 
 
 @query("g10_alias_union", """
-WITH RECURSIVE c AS (SELECT p_partkey AS id, concat('n', p_partkey % 900) AS a, concat('n', p_partkey * 7 % 300) AS b FROM part WHERE p_partkey < 400),
+WITH RECURSIVE c AS (SELECT p_partkey AS id, concat('n', p_partkey % 900) AS a, concat('n', p_partkey * 7 % 300) AS b FROM part),
 e AS (SELECT a, b FROM c UNION SELECT b, a FROM c UNION SELECT a, a FROM c), reach AS (SELECT a AS node, b AS r FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.r = e.a)
 SELECT id AS candidate_id, concat('p|', min(r)) AS root FROM c JOIN reach ON c.a = reach.node GROUP BY 1""")
 def g10(w: World) -> DataFrame:
-    candidates = w.part.where("p_partkey < 400").selectExpr("p_partkey AS candidate_id", "'p' AS type", "concat(' N', p_partkey % 900) AS name", "concat('n', p_partkey * 7 % 300, ' ') AS canonical")
+    candidates = w.part.selectExpr("p_partkey AS candidate_id", "'p' AS type", "concat(' N', p_partkey % 900) AS name", "concat('n', p_partkey * 7 % 300, ' ') AS canonical")
     return G.alias_union(candidates)
 
 
@@ -133,10 +151,17 @@ def res1(w: World) -> DataFrame:
 
 
 @query("res2_append_only", """
-SELECT fact_id, CASE WHEN origin_key IS DISTINCT FROM o THEN 'CORROBORATED' ELSE 'INSERTED' END AS outcome, CASE WHEN origin_key IS DISTINCT FROM o THEN f END AS corroborates FROM (
- SELECT fact_id, origin_key, first(fact_id) OVER w AS f, first(origin_key) OVER w AS o FROM facts WHERE predicate = 'summary_profile' WINDOW w AS (PARTITION BY entity_id, predicate, user_id, derived_version, object ORDER BY recorded_at, fact_id))""", "facts")
+WITH f AS (SELECT * FROM facts WHERE predicate = 'summary_profile' AND retracted_at IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, user_id, derived_version, object ORDER BY recorded_at, fact_id) AS k FROM f),
+-- A fact is active unless an earlier active one has another origin: that is, unless the first fact of its group has another origin.
+told AS (SELECT r.*, r.origin_key IS NOT DISTINCT FROM s.origin_key AS active FROM ranked r JOIN ranked s ON s.k = 1 AND r.entity_id = s.entity_id AND r.object = s.object
+  AND r.user_id IS NOT DISTINCT FROM s.user_id AND r.derived_version IS NOT DISTINCT FROM s.derived_version)
+SELECT a.fact_id, CASE WHEN max(b.k) IS NULL THEN 'INSERTED' ELSE 'CORROBORATED' END AS outcome, arg_max(b.fact_id, b.k) AS corroborates
+FROM told a LEFT JOIN told b ON b.active AND b.k < a.k AND a.origin_key IS DISTINCT FROM b.origin_key AND a.entity_id = b.entity_id AND a.object = b.object
+  AND a.user_id IS NOT DISTINCT FROM b.user_id AND a.derived_version IS NOT DISTINCT FROM b.derived_version
+GROUP BY a.fact_id""", "facts")
 def res2(w: World) -> DataFrame:
-    return R.append_only(w.facts.where("predicate = 'summary_profile'")).select("fact_id", "outcome", "corroborates")
+    return R.append_only(w.facts.where("predicate = 'summary_profile'").drop("status")).select("fact_id", "outcome", "corroborates")
 
 
 @query("res4_resolve_bitemporal")

@@ -9,6 +9,7 @@ from factloom.functions.vectors import cosine
 from factloom.operators import evaluation as E
 from factloom.operators import retrieval as R
 from factloom.operators import similarity as S
+from factloom.operators.neighbours import within
 from factloom.plans.catalog import NOW, World, query
 
 PAST = "TIMESTAMP '1998-03-01 00:00:00'"
@@ -48,7 +49,7 @@ SELECT a.vec_id AS query_id, b.vec_id AS fact_id, row_number() OVER (PARTITION B
 FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND {COS} >= 0.4 QUALIFY place <= 5""")
 def k13(w: World) -> DataFrame:
     """Rules (vectors with a priority, here the label) whose trigger is near enough."""
-    near = S.exact_knn(_queries(w), _vectors(w), 1 << 30, 0.4).drop("rank")
+    near = within(_queries(w), _vectors(w), 0.4)
     rules = near.join(w.embeddings.select(F.col("vec_id").alias("fact_id"), F.col("label").alias("priority")), "fact_id")
     ranked = S.top_k_per_query(rules.withColumn("s", F.struct("similarity", (-F.col("priority")).alias("p"))), "s", 5)
     return ranked.select("query_id", "fact_id", F.col("rank").alias("place"))
@@ -139,9 +140,35 @@ def _scored(w: World) -> DataFrame:
     return R.score_facts(R.fuse(*_legs(w)).join(w.facts, "fact_id"), w.registry, F.expr(NOW)).withColumn("object", F.concat_ws(" ", "recorder", "object"))
 
 
-@query("k5_score_facts", f"WITH {LEGS} SELECT query_id, fact_id, round(score, 9) AS score FROM scored", "facts registry")
+K5_SQL = f"""
+WITH {LEGS},
+marked AS (SELECT f.*, (n % 6) / 5.0::DOUBLE AS learned, CASE WHEN n % 8 <> 0 THEN 0.25::DOUBLE + (n % 3) * 0.25::DOUBLE END AS declared, n % 5 AS corroborations,
+  (n % 4) / 4.0::DOUBLE AS authority, n % 7 AS salience, CASE WHEN predicate = 'phone' THEN 'said' END AS alias, epoch_us(valid_from) AS f_, epoch_us(valid_until) AS u_,
+  epoch_us({PAST}) AS m_, epoch_us(TIMESTAMP '1998-01-01 00:00:00') AS b_, epoch_us(TIMESTAMP '1998-04-01 00:00:00') AS e_ FROM fused f)
+SELECT query_id, fact_id, round(fused
+  * CASE WHEN half_life_days IS NULL THEN 1 ELSE exp(-0.6931471805599453 * (epoch_us({NOW}) - epoch_us(recorded_at)) / 86400000000.0::DOUBLE / half_life_days) END
+  * CASE WHEN confidence <= 0.5 THEN 0.4123::DOUBLE WHEN confidence <= 0.8 THEN 0.7071::DOUBLE ELSE 0.9013::DOUBLE END
+  * CASE WHEN coalesce(alias, m.predicate) = 'said' THEN 0.3::DOUBLE ELSE 1 END
+  * (1 + 0.5::DOUBLE * (coalesce(CASE WHEN learned <> 0.5 THEN learned END, declared, 0.5::DOUBLE) - 0.5::DOUBLE))
+  * (1 + 0.1::DOUBLE * least(corroborations, 3)) * (1 + 0.2::DOUBLE * authority)
+  * CASE WHEN f_ <= m_ AND (u_ IS NULL OR u_ > m_) THEN 1 ELSE 0.25::DOUBLE + 0.75::DOUBLE * exp(-0.6931471805599453 * (CASE WHEN f_ > m_ THEN f_ - m_ ELSE m_ - u_ END) / 86400000000.0::DOUBLE / 90) END
+  * CASE WHEN (u_ IS NOT NULL AND f_ < e_ AND b_ < u_) OR (u_ IS NULL AND f_ >= b_ AND f_ < e_) THEN 1
+    ELSE 0.25::DOUBLE + 0.75::DOUBLE * exp(-0.6931471805599453 * greatest(0, (CASE WHEN f_ >= e_ THEN f_ - e_ ELSE b_ - coalesce(u_, f_) END) / 86400000000.0::DOUBLE) / 90) END
+  * CASE salience WHEN 0 THEN 0.8::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.25::DOUBLE ELSE 1 END, 9) AS score
+FROM marked m LEFT JOIN registry r ON r.predicate = coalesce(alias, m.predicate)"""
+
+
+@query("k5_score_facts", K5_SQL, "facts registry")
 def k5(w: World) -> DataFrame:
-    return _scored(w).select("query_id", "fact_id", F.round("score", 9).alias("score"))
+    """All ten factors at once, with made trust, corroborations, authority, salience and aliases; `said` has no half-life."""
+    rows = R.fuse(*_legs(w)).join(w.facts, "fact_id").selectExpr(
+        "*", "(n % 6) / 5.0D AS learned_trust", "CASE WHEN n % 8 <> 0 THEN 0.25D + (n % 3) * 0.25D END AS declared_trust", "n % 5 AS corroboration_count",
+        "(n % 4) / 4.0D AS authority", "n % 7 AS salience", "CASE WHEN predicate = 'phone' THEN 'said' END AS predicate_alias",
+    )
+    steps = w.spark.sql("SELECT array(0.5D, 0.8D, 1.0D) AS thresholds, array(0.4123D, 0.7071D, 0.9013D) AS values")
+    period = (F.expr("TIMESTAMP '1998-01-01 00:00:00'"), F.expr("TIMESTAMP '1998-04-01 00:00:00'"))
+    scored = R.score_facts(rows, w.registry, F.expr(NOW), F.expr(PAST), period, steps, 0.3, 0.5, 0.1, 0.2, True)
+    return scored.select("query_id", "fact_id", F.round("score", 9).alias("score"))
 
 
 GAP = "(CASE WHEN valid_from > {p} THEN epoch_us(valid_from) - epoch_us({p}) ELSE epoch_us({p}) - epoch_us(valid_until) END) / 86400000000.0::DOUBLE".format(p=PAST)
@@ -305,12 +332,49 @@ def e4(w: World) -> DataFrame:
     return E.auc(w.labels.selectExpr("doc_id % 37 AS score", "quality AS label")).withColumn("auc", F.round("auc", 9))
 
 
-@query("e5_token_overlap")
-def e5(w: World) -> DataFrame:
+ANSWER_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '\\b(a|an|the)\\b|[^\\w\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')"
+
+
+def _answers(w: World) -> DataFrame:
     """Each turn against the next one of its conversation."""
     following = w.conversations.selectExpr("conv_id", "turn - 1 AS turn", "text AS expected")
-    pairs = w.conversations.join(following, ["conv_id", "turn"]).selectExpr("concat(conv_id, ':', turn) AS id", "text AS answer", "expected")
-    return E.token_overlap(pairs)
+    return w.conversations.join(following, ["conv_id", "turn"]).selectExpr("concat(conv_id, ':', turn) AS id", "text AS answer", "expected")
+
+
+@query("e5_token_overlap", f"""
+WITH t AS (SELECT concat(a.conv_id, ':', a.turn) AS id, {ANSWER_TOKENS.format('a.text')} AS a, {ANSWER_TOKENS.format('b.text')} AS e FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+x AS (SELECT id, unnest(a) AS w FROM t), y AS (SELECT id, unnest(e) AS w FROM t),
+c AS (SELECT id, sum(least(n, m)) AS c FROM (SELECT id, w, count(*) AS n FROM x GROUP BY 1, 2) JOIN (SELECT id, w, count(*) AS m FROM y GROUP BY 1, 2) USING (id, w) GROUP BY 1)
+SELECT id, a = e AS exact, round(CASE WHEN c > 0 THEN 2.0::DOUBLE * c / (len(a) + len(e)) ELSE 0 END, 9) AS f1,
+ round(CASE WHEN len(a) = 0 THEN 0 ELSE coalesce(c, 0)::DOUBLE / len(a) * CASE WHEN len(a) >= len(e) THEN 1 ELSE exp(1 - len(e)::DOUBLE / len(a)) END END, 9) AS bleu1 FROM t LEFT JOIN c USING (id)""")
+def e5(w: World) -> DataFrame:
+    return E.token_overlap(_answers(w)).select("id", "exact", F.round("f1", 9).alias("f1"), F.round("bleu1", 9).alias("bleu1"))
+
+
+@query("e5_rouge_l")
+def e5b(w: World) -> DataFrame:
+    return E.token_overlap(_answers(w)).select("id", F.round("rouge_l", 9).alias("rouge_l"))
+
+
+JOINT = """
+WITH s AS (SELECT c_nationkey AS id, {0}(CASE WHEN c_custkey % 3 = 0 THEN c_custkey END) AS a, {0}(CASE WHEN c_custkey % 2 = 0 THEN c_custkey END) AS ae,
+ {0}(CASE WHEN c_custkey % 5 = 0 THEN c_custkey END) AS s, {0}(CASE WHEN c_custkey % 7 = 0 AND c_nationkey % 4 <> 0 THEN c_custkey END) AS se FROM customer GROUP BY 1)"""
+
+
+@query("e3_joint_f1", f"""{JOINT.format('list')},
+n AS (SELECT id, len(list_filter(a, lambda x: x IS NOT NULL)) AS p, len(list_filter(ae, lambda x: x IS NOT NULL)) AS e, len(list_filter(a, lambda x: x IS NOT NULL AND list_contains(ae, x))) AS b,
+ len(list_filter(s, lambda x: x IS NOT NULL)) AS sp, len(list_filter(se, lambda x: x IS NOT NULL)) AS se, len(list_filter(s, lambda x: x IS NOT NULL AND list_contains(se, x))) AS sb FROM s),
+m AS (SELECT id, CASE WHEN p = 0 AND e = 0 THEN 1 WHEN p = 0 THEN 0 ELSE b::DOUBLE / p END AS ap, CASE WHEN e = 0 THEN 1 ELSE b::DOUBLE / e END AS ar,
+ CASE WHEN sp = 0 AND se = 0 THEN 1 WHEN sp = 0 THEN 0 ELSE sb::DOUBLE / sp END AS tp, CASE WHEN se = 0 THEN 1 ELSE sb::DOUBLE / se END AS tr FROM n)
+SELECT id, round(CASE WHEN ap + ar > 0 THEN 2 * ap * ar / (ap + ar) ELSE 0 END, 9) AS answer_f1, round(CASE WHEN tp + tr > 0 THEN 2 * tp * tr / (tp + tr) ELSE 0 END, 9) AS support_f1,
+ round(CASE WHEN ap * tp + ar * tr > 0 THEN 2 * ap * tp * ar * tr / (ap * tp + ar * tr) ELSE 0 END, 9) AS joint_f1 FROM m""")
+def e3b(w: World) -> DataFrame:
+    sets = lambda cond: F.collect_list(F.when(F.expr(cond), F.col("c_custkey")))
+    found = w.customer.groupBy(F.col("c_nationkey").alias("id")).agg(
+        sets("c_custkey % 3 = 0").alias("answers"), sets("c_custkey % 2 = 0").alias("expected_answers"),
+        sets("c_custkey % 5 = 0").alias("support"), sets("c_custkey % 7 = 0 AND c_nationkey % 4 <> 0").alias("expected_support"),
+    )
+    return E.joint_f1(found).select("id", *(F.round(c, 9).alias(c) for c in ("answer_f1", "support_f1", "joint_f1")))
 
 
 @query("e6_regression_gate", """

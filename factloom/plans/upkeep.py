@@ -54,14 +54,21 @@ def x4(w: World) -> DataFrame:
     return X.chunk_documents(w.documents, 1200, 1600, 40).select("doc_id", "seq", "char_start", "char_end", F.sha2("text", 256).alias("sha"))
 
 
-PACKS = [{"name": "all", "always": True}, {"name": "three", "verticals": ["src3"]}, {"name": "legal", "keywords": ["license", "licensed"]}]
-
-
-@query("x5_route_documents", """
-SELECT doc_id, 'all' AS pack, 'always' AS rule FROM documents UNION ALL SELECT doc_id, 'three', 'vertical' FROM documents WHERE source = 'src3'
-UNION ALL SELECT doc_id, 'legal', 'keyword' FROM documents WHERE regexp_matches(lower(substr(text, 1, 4000)), '(^|[^\\p{L}\\p{N}])(license|licensed)($|[^\\p{L}\\p{N}])')""")
+PACKS = [
+    {"name": "all", "always": True}, {"name": "three", "verticals": ["src3"]},
+    {"name": "legal", "keywords": ["license", "licensed"], "vector": [1] * 32 + [-1] * 32}, {"name": "near", "vector": [1, -1] * 32},
+]
+NEAR = "list_cosine_similarity(e.embedding::DOUBLE[], {}::DOUBLE[]) >= 0.1"
+
+
+@query("x5_route_documents", f"""
+WITH d AS (SELECT d.*, {NEAR.format([1] * 32 + [-1] * 32)} AS n1, {NEAR.format([1, -1] * 32)} AS n2, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])(license|licensed)($|[^\\p{{L}}\\p{{N}}])') AS k
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
+SELECT doc_id, 'all' AS pack, 'always' AS rule FROM d UNION ALL SELECT doc_id, 'three', 'vertical' FROM d WHERE source = 'src3'
+UNION ALL SELECT doc_id, 'legal', CASE WHEN k THEN 'keyword' ELSE 'embedding' END FROM d WHERE k OR n1 UNION ALL SELECT doc_id, 'near', 'embedding' FROM d WHERE n2""")
 def x5(w: World) -> DataFrame:
-    return X.route_documents(w.documents, PACKS)
+    docs = w.documents.join(w.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return X.route_documents(docs, PACKS, 0.1)
 
 
 @query("x6_extract_periods", """
@@ -125,6 +132,20 @@ def u3(w: World) -> DataFrame:
     return count(kept["facts"], "facts").union(count(kept["edges"], "edges")).union(count(stones, "tombstones"))
 
 
+@query("u3_forget_users", """
+WITH touched AS (SELECT DISTINCT entity_id FROM facts WHERE user_id = 'u3')
+SELECT 'facts' AS kind, count(*) AS n FROM facts WHERE user_id IS DISTINCT FROM 'u3' UNION ALL SELECT 'edges', count(*) FROM edges WHERE user_id IS DISTINCT FROM 'u3'
+UNION ALL SELECT 'usage', count(*) FROM links WHERE fact_id NOT IN (SELECT fact_id FROM facts WHERE user_id = 'u3') UNION ALL SELECT 'artifacts', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM touched)
+UNION ALL SELECT 'tombstone facts', count(*) FROM facts WHERE user_id = 'u3'""", "facts entities edges links")
+def u3b(w: World) -> DataFrame:
+    tables = {"facts": (w.facts, {"user": "user_id"}), "edges": (w.edges, {"user": "user_id"}), "usage": (w.links, {"fact": "fact_id"}), "artifacts": (w.entities, {"entity": "entity_id"})}
+    kept, stones = M.forget_users(tables, w.spark.createDataFrame([("u3",)], "user_id string"), "secret")
+    out = stones.agg(F.sum("facts").alias("n")).select(F.lit("tombstone facts").alias("kind"), "n")
+    for name, df in kept.items():
+        out = out.union(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n"))
+    return out
+
+
 @query("u5_world_union", "SELECT fact_id, derived_version FROM facts WHERE derived_version IN ('v0', 'v1')", "facts")
 def u5(w: World) -> DataFrame:
     return M.world_union(w.facts, ["v0", "v1"]).select("fact_id", "derived_version")

@@ -7,7 +7,7 @@ from datetime import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import evaluation, graph, maintenance, retrieval, sessions, temporal, text, trust
+from factloom.operators import evaluation, graph, maintenance, neighbours, retrieval, sessions, similarity, temporal, text, trust
 from factloom.operators.resolution import Config, fold_slot, resolve_facts
 from factloom.sources import readers
 
@@ -103,7 +103,8 @@ NOW = dt(2024, 6, 1)
 
 
 def outcomes(rows):
-    return [(r["outcome"], r["status"]) for r in fold_slot(rows, NOW, Config())]
+    done = sorted(fold_slot(rows, NOW, Config()), key=lambda r: r["fact_id"])
+    return [(r["outcome"], r["status"]) for r in done]
 
 
 def test_resolution_boundary_cases():
@@ -113,7 +114,8 @@ def test_resolution_boundary_cases():
     assert outcomes([slot_row(1, day(1)), slot_row(2, day(2), origin_key="o1")])[1][0] == "SUPERSEDED"
     assert outcomes([slot_row(1, day(1)), slot_row(2, day(2), object="y", confidence=0.1, declared_trust=0.1)])[1] == ("REJECTED", "rejected")
     late = [slot_row(1, day(5), semantics="single_active"), slot_row(2, day(2), object="y", semantics="single_active")]
-    assert outcomes(late) == [("INSERTED", "active"), ("INSERTED_HISTORICAL", "superseded")] and late[1]["valid_until"] == day(5)
+    assert outcomes(late) == [("INSERTED", "active"), ("INSERTED_HISTORICAL", "superseded")]
+    assert [r["valid_until"] for r in fold_slot(late, NOW, Config()) if r["fact_id"] == "f2"] == [day(5)]
     three = [slot_row(1, day(1), semantics="events", object="a"), slot_row(2, day(3), semantics="events", object="b"), slot_row(3, dt(2024, 1, 3, 9), semantics="events", object="c")]
     assert outcomes(three) == [("INSERTED", "superseded"), ("SUPERSEDED", "competing"), ("COMPETING", "competing")]
     apart = [slot_row(1, day(1)), slot_row(2, day(2), object="y", embedding=[0.0, 1.0])]
@@ -135,6 +137,84 @@ def test_resolution_on_spark_is_the_plain_fold(spark):
             assert got[r["fact_id"]] == (r["outcome"], r["status"], r["superseded_by"], r["corroborates"])
 
 
+def test_dead_facts_are_no_opponents_and_aliases_meet(spark):
+    schema = "fact_id string, object string, semantics string, confidence double, declared_trust double, learned_trust double, authority double, origin_key string, embedding array<double>, valid_from timestamp, valid_until timestamp, recorded_at timestamp, entity_id string, predicate string, user_id string, derived_version string, predicate_alias string, stored boolean, status string, retracted_at timestamp"
+    base = {"entity_id": "e", "predicate": "p", "user_id": None, "derived_version": None, "predicate_alias": None, "stored": False, "status": None, "retracted_at": None, "semantics": "single_active"}
+    day = lambda d: dt(2024, 1, d)
+    rows = [
+        slot_row(1, day(1), **base | {"stored": True, "status": "active", "retracted_at": day(9)}), slot_row(2, day(2), **base | {"stored": True, "status": "superseded"}),
+        slot_row(3, day(3), **base | {"stored": True, "status": "active"}, object="old"), slot_row(4, day(4), **base | {"predicate": "coined", "predicate_alias": "p"}, object="new"),
+        slot_row(5, day(1), **base | {"entity_id": "f", "stored": True, "status": "active", "retracted_at": day(9)}, object="old"), slot_row(6, day(4), **base | {"entity_id": "f"}, object="new"),
+    ]
+    names = [c.split()[0] for c in schema.split(", ")]
+    facts = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
+    got = {r.fact_id: (r.outcome, r.status, r.superseded_by) for r in resolve_facts(facts, "2024-06-01").collect()}
+    assert got == {"f3": (None, "superseded", "f4"), "f4": ("SUPERSEDED", "active", None), "f6": ("INSERTED", "active", None)}
+
+
+def append_by_hand(rows):
+    """append_only by the rule: the latest earlier active fact of another origin."""
+    active, out = [r for r in rows if r[4] and r[5] == "active"], {}
+    for r in sorted((r for r in rows if not r[4]), key=lambda r: (r[3], r[0])):
+        others = [a for a in active if a[2] != r[2] and a[1] == r[1]]
+        if others:
+            out[r[0]] = max(others, key=lambda a: (not a[4], a[3], a[0]))[0]
+        else:
+            active.append(r)
+            out[r[0]] = None
+    return out
+
+
+def test_append_only_corroborates_the_latest_of_another_origin(spark):
+    from factloom.operators.resolution import append_only
+
+    rng = random.Random(3)
+    for case in range(4):
+        stored = [(f"s{i}", "x", rng.choice("ab"[: 1 + case % 2]), i, True, rng.choice(["active", "active", "superseded"])) for i in range(case)]
+        new = [(f"n{i:02d}", rng.choice("xy"), rng.choice("aab"), 10 + i // 2, False, None) for i in range(20)]
+        made = spark.createDataFrame([(*r, "e", "p", None, None) for r in stored + new], "fact_id string, object string, origin_key string, recorded_at int, stored boolean, status string, entity_id string, predicate string, user_id string, derived_version string")
+        got = {r.fact_id: r.corroborates for r in append_only(made).collect()}
+        assert got == append_by_hand(stored + new), case
+    three = spark.createDataFrame([("f1", "A", 1), ("f2", "A", 2), ("f3", "B", 3)], "fact_id string, origin_key string, recorded_at int").selectExpr("*", "'x' AS object", "'e' AS entity_id", "'p' AS predicate", "NULL AS user_id", "NULL AS derived_version")
+    assert {r.fact_id: r.corroborates for r in append_only(three).collect()} == {"f1": None, "f2": None, "f3": "f2"}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        after = [0]
+        for i, y in enumerate(b):
+            after.append(row[i] + 1 if x == y else max(row[i + 1], after[-1]))
+        row = after
+    return row[-1]
+
+
+def test_rouge_l_by_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [([rng.choice("uvw") for _ in range(rng.randint(0, 30))], [rng.choice("uvw") for _ in range(rng.randint(0, 30))]) for _ in range(60)]
+    rows = spark.createDataFrame([(str(i), " ".join(a), " ".join(e)) for i, (a, e) in enumerate(pairs)], "id string, answer string, expected string")
+    for r in evaluation.token_overlap(rows).collect():
+        a, e = pairs[int(r.id)]
+        assert math.isclose(r.rouge_l, 1.0 if not a and not e else 2 * lcs(a, e) / (len(a) + len(e)))
+
+
+def test_entities_match_within_their_type_only(spark):
+    from factloom.operators.search import match_entities
+
+    entities = spark.createDataFrame([(i, "other", f"n{i}", [1.0, i / 1000]) for i in range(40)] + [(99, "mine", "z", [1.0, 0.2])], "entity_id int, type string, canonical_name string, embedding array<double>")
+    names = spark.createDataFrame([(1, "mine", "unknown", [1.0, 0.0]), (2, "mine", " Z ", [0.0, 1.0])], "name_id int, type string, name string, q array<double>")
+    assert {(r.name_id, r.entity_id, r.how) for r in match_entities(names, entities).collect()} == {(1, 99, "vector"), (2, 99, "name")}
+
+
+def test_queries_without_new_names_keep_their_text(spark):
+    from factloom.operators.retrieval import expansion_terms
+
+    queries = spark.createDataFrame([(1, "about Ann"), (2, "about Bob")], "query_id int, text string")
+    hits = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.5), (2, "b", 1.0)], "query_id int, entity_id string, rank_score double")
+    names = spark.createDataFrame([("a", "Ann"), ("b", "Bob")], "entity_id string, canonical_name string")
+    assert {r.query_id: r.text for r in expansion_terms(hits, queries, names).collect()} == {1: "about Ann Bob", 2: "about Bob"}
+
+
 def test_masks_leave_dates_alone(spark):
     said = {"mail a.b@c.org now": "mail [EMAIL] now", "call +1 (706) 555-3138": "call [PHONE]", "2019-2023": "2019-2023", "2023-05-07 12:34:56": "2023-05-07 12:34:56", "id 4785380592391139": "id [PHONE]", "n 12345678": "n 12345678"}
     rows = spark.createDataFrame(list(said.items()) + [(None, None)], "text string, want string")
@@ -192,10 +272,10 @@ def test_files(spark, tmp_path):
 
 
 def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch, rows):
-    from factloom.operators import similarity
 
     vectors = spark.range(60).selectExpr("id AS fact_id", "array(sin(id), cos(id), id % 3 + 0.5D) AS embedding")
     queries = vectors.selectExpr("fact_id AS query_id", "embedding AS q")
     whole = rows(similarity.exact_knn(queries, vectors, 4))
-    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(neighbours, "BROADCAST", 20)
+    monkeypatch.setattr(neighbours, "BLOCK", 90)
     assert rows(similarity.exact_knn(queries, vectors, 4)) == whole
