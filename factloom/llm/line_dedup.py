@@ -1,14 +1,17 @@
-"""Line dedup: which lines of a corpus repeat across documents, as compressed bitmaps per document."""
+"""Line dedup: which lines of a corpus repeat across documents, as compressed keep bitmaps per document."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ascii_lower, cut
 
 #: [\x20\x09-\x0D]
 BLANK = " \t\n\x0b\x0c\r"
+#: Slices by document that a hash is dealt in: so many at least, and one for so many lines of the corpus.
+SLICES, SLICE_LINES = 32, 1_000_000
 
 
 def line_index(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -26,26 +29,33 @@ def line_index(docs: DataFrame, min_chars: int) -> DataFrame:
     return key.select("doc_id", "body", "pos", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, body, words map<int,long>: bit p % 64 of words[p div 64] is set if line p goes.
+def first_occurrences(lines: DataFrame, slices: int) -> DataFrame:
+    """h1, h2, doc_id: each document's first line of a hash, in a sorted pass over range-partitioned hashes.
 
-    Words without a set bit are left out, so a document that keeps every line has no row.
+    Within a hash the largest doc_id comes first, then position; a row that starts a new document is a first occurrence.
+    Hashes are dealt in slices by document, so that a line that a third of all documents hold is spread over many ranges.
+    """
+    dealt = lines.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"), "doc_id", "pos")
+    order = W.partitionBy("h1", "h2", "slice").orderBy(F.desc_nulls_last("doc_id"), "pos")
+    passed = dealt.repartitionByRange("h1", "h2", "slice").withColumns(
+        {"nth": F.row_number().over(order), "before": F.lag("doc_id").over(order)}
+    )
+    return passed.where((F.col("nth") == 1) | ~F.col("doc_id").eqNullSafe(F.col("before"))).select("h1", "h2", "doc_id")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """doc_id, body, words map<int,long>: bit p % 64 of words[p div 64] is set if line p stays.
+
+    Words whose 64 lines all stay are left out, so a document that keeps every line has no row.
 
-    Hashes are range-partitioned with the document as second key, so a line that a third of all
-    documents hold is spread over many ranges; each range streams its (hash, document) groups in
-    order and gives one count and one largest document per hash before anything meets by hash alone. Lines
+    Each range gives one count and one largest document per hash before anything meets by hash alone. Lines
     meet their hash again on one struct column, for which both sides are shuffled, so that Spark can split
     a hash with very many lines.
     """
     lines = cut(line_index(docs, min_chars))
-    held = (
-        lines.repartitionByRange("h1", "h2", "doc_id")
-        .sortWithinPartitions("h1", "h2", "doc_id")
-        .groupBy("h1", "h2", "doc_id")
-        .agg(F.lit(1).alias("one"))
-    )
     common = (
-        held.groupBy("h1", "h2")
+        first_occurrences(lines, max(SLICES, lines.count() // SLICE_LINES))
+        .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
         .select(F.struct("h1", "h2").alias("key"), "keeper")
@@ -54,19 +64,19 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     bit = F.expr("shiftleft(1L, pos % 64)")
     return (
         gone.groupBy("doc_id", "body", (F.col("pos") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(bit).alias("bits"))
+        .agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
         .groupBy("doc_id", "body")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("words"))
     )
 
 
 def dropped_positions(words: Column) -> Column:
-    """The line numbers whose bits are set, ascending."""
+    """The line numbers whose bits are not set, ascending."""
     return F.flatten(
         F.transform(
             F.map_entries(words),
             lambda e: F.transform(
-                F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(e["value"], b) == 1),
+                F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(e["value"], b) == 0),
                 lambda b: e["key"] * 64 + b,
             ),
         )
@@ -74,22 +84,22 @@ def dropped_positions(words: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with kept (the text without dropped lines), n_lines and n_dropped; other columns stay."""
-    body = "__body"
-    lines = F.split("text", "\n", -1)
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("body").alias("__of"), F.col("words").alias("__words"))
-    joined = docs.withColumn(body, F.xxhash64("text")).join(
-        marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(body) == F.col("__of")), "left"
+    """docs' columns as c0, c1, ... in their order, then kept (the text without dropped lines), n_lines and n_dropped."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (F.col(names[docs.columns.index(c)]) for c in ("text", "doc_id"))
+    lines = F.split(text, "\n", -1)
+    joined = docs.toDF(*names).withColumn("mine", F.xxhash64(text)).join(
+        bitmaps, doc_id.eqNullSafe(F.col("doc_id")) & (F.col("mine") == F.col("body")), "left"
     )
-    gone = dropped_positions(F.col("__words"))
+    gone, whole = dropped_positions(F.col("words")), F.col("words").isNull()
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)
     )
     return joined.select(
-        *(F.col(c) for c in docs.columns),
-        F.when(F.col("__words").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        *names,
+        F.when(whole, text).otherwise(F.array_join(kept, "\n")).alias("kept"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("__words").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.when(whole, F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 
@@ -101,11 +111,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     their own lines; a null doc_id is one document below all others. An empty table gives an empty one.
     """
     mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return apply_bitmaps(mine, drop_bitmaps(mine, min_chars, min_docs)).select("doc_id", "n_lines", "n_dropped", "kept")
+    found = apply_bitmaps(mine, keep_bitmaps(mine, min_chars, min_docs))
+    return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_dropped", "kept")
 
 
 def without_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs (its columns) with the kept text; a document all of whose lines went stays with an empty text."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs)).select(
-        *(F.col("kept").alias("text") if c == "text" else F.col(c) for c in docs.columns)
-    )
+    """docs (its columns) with the kept text; a document all of whose lines went stays with an empty text.
+
+    A null text stays null. Nulls, repeated ids and empty tables are as in dedup_lines. Columns may have any names.
+    """
+    found = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    return found.select(*(F.col("kept" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
