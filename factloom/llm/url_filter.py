@@ -74,36 +74,38 @@ class GlobSet:
     def _set(mask: np.ndarray, bit: int) -> None:
         mask[bit // 64] |= np.uint64(1 << bit % 64)
 
-    def matches(self, texts: list[list[int]]) -> np.ndarray:
-        """A row for each text and a column for each rule: whether the rule matches the whole text."""
+    def matches(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row for each text and a column for each rule: whether the rule matches the whole text.
+
+        Texts stand one after the other in one array, so a long one takes no room beside the short ones.
+        """
         n = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        flat = np.zeros((n, max(lengths, default=0)), np.int16)
-        for row, i in enumerate(order):
-            flat[row, : lengths[i]] = texts[i]
+        flat = np.concatenate([np.zeros(0, np.int16), *texts])
+        starts, alive = (np.cumsum(lengths) - lengths)[order], lengths[order]
         state = np.tile(self.first, (n, 1))
-        alive = lengths[order]
-        for column in range(flat.shape[1]):
+        for column in range(int(lengths.max(initial=0))):
             m = int(np.searchsorted(-alive, -column, side="left"))  # texts longer than `column` come first
             now = state[:m]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:m] = (moved & self.reads[flat[:m, column]]) | (now & self.loops)
+            state[:m] = (moved & self.reads[flat[starts[:m] + column]]) | (now & self.loops)
         out = np.zeros((n, len(self.ends)), bool)
         for rule, bit in enumerate(self.ends):
             out[order, rule] = (state[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(bool)
         return out
 
 
-def _symbols(host: str, path: str) -> list[int]:
+def _symbols(host: str, path: str) -> np.ndarray:
     """A dot before the host lets `.org` fit the host and all its subdomains."""
-    encode = lambda s: list(s.encode("utf-8", "surrogatepass"))
-    return [ord("."), *encode(host), HOST_END, *encode(path), URL_END]
+    bytes_of = lambda s: np.frombuffer(s.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int16)
+    ends = lambda x: np.array([x], np.int16)
+    return np.concatenate([ends(ord(".")), bytes_of(host), ends(HOST_END), bytes_of(path), ends(URL_END)])
 
 
 def site_glob(host: str, path: str) -> list[int | None]:
-    return [None, *_symbols(host, path)[:-1], None, URL_END]
+    return [None, *_symbols(host, path)[:-1].tolist(), None, URL_END]
 
 
 def free_globs(glob: str) -> list[list[int | None]]:
@@ -162,7 +164,7 @@ def judge_urls(
     """page_id, host, path, rule, verdict for every row of pages.
 
     A null URL or one without `://` has an empty host and path, which no site rule fits; without a rule
-    the globs decide: block if any matches, else allow. Rows may repeat. An empty table gives an empty
+    the globs decide: block if any matches, else allow. URLs may be of any length. Rows may repeat. An empty table gives an empty
     one. Other columns are not read.
     """
     arrow = to_arrow_schema(JUDGED)
