@@ -33,7 +33,6 @@ from factloom.llm.common import cut
 #: Pages of the training sample (all, if there are fewer); trees and their depth.
 SAMPLE, TREES, DEPTH = 300, 10, 3
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 _RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
 _BLOCK = frozenset(
@@ -60,8 +59,9 @@ _BAD_WORDS = frozenset(
     "disclaimer legal".split()
 )
 
+#: A quote that is never closed is no quote: then the tag ends at the next >.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -193,6 +193,15 @@ def weak_labels(nodes: list[Node]) -> list[float | None]:
     return [out[id(n)] for n in nodes]
 
 
+#: Pages of the plainest kind, which stand in every training sample, so that it always has text of either label.
+EXAMPLES = [
+    f"<html><body><nav><ul><li><a href='/{i}'>Home</a></li><li><a href='/about'>About us</a></li></ul></nav>{around}"
+    f"<h1>A page about one thing</h1>{'<p>It says this, and then it says that; more of it follows in whole sentences.</p>' * i}{end}"
+    "<aside><p><a href='/x'>Read more</a></p></aside><footer><p>All rights reserved</p></footer></body></html>"
+    for i, (around, end) in enumerate([("<article>", "</article>"), ("<main><div>", "</div></main>")] * 4, 2)
+]
+
+
 def with_decoys(page: str, turn: int) -> str:
     """The page with copies of its first paragraphs inside an element of another role, in and after its main part."""
     copies = "".join(re.findall(r"<p>[^<]*</p>", page)[turn % 3 : turn % 3 + 2]) or "<p>One, two, three.</p>"
@@ -286,12 +295,10 @@ _ROWS = StructType([StructField("hidden", LongType()), StructField("label", Doub
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict[bool, Trees]:
-    """Trees by whether a page names roles, from about `sample` pages taken by a hash of their id.
-
-    No trees where the sample has no rows of both labels.
-    """
+    """Trees by whether a page names roles, from about `sample` pages taken by a hash of their id, and EXAMPLES."""
     share = max(1, pages.count() // sample)
-    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select("page_id", "html")
+    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select(F.col("page_id").cast("long"), "html")
+    some = some.unionByName(pages.sparkSession.createDataFrame(list(enumerate(EXAMPLES)), "page_id long, html string"))
     arrow = to_arrow_schema(_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,18 +315,13 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> dict[bool, Trees]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     rows = cut(some.mapInArrow(run, _ROWS)).select("hidden", "label", array_to_vector("x").alias("x")).coalesce(4)
-    kinds = {(r["hidden"], r["label"]) for r in rows.select("hidden", "label").distinct().collect()}
     boosting = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, featuresCol="x")
-    return {
-        not hidden: Trees.of(boosting.fit(rows.where(F.col("hidden") == hidden)))
-        for hidden in (0, 1)
-        if {(hidden, 0.0), (hidden, 1.0)} <= kinds
-    }
+    return {not hidden: Trees.of(boosting.fit(rows.where(F.col("hidden") == hidden))) for hidden in (0, 1)}
 
 
 def score_nodes(trees: dict[bool, Trees], x: np.ndarray) -> np.ndarray:
-    """Log-odds of each node; where nothing could be learned, from the names alone."""
-    odds = 1.0 - 4.0 * x[:, 3]
+    """Log-odds of each node, by the trees of its page's kind."""
+    odds = np.zeros(len(x))
     for named, own in trees.items():
         rows = (x[:, NAMED - 1] == 1) == named
         odds[rows] = own.log_odds(x[rows])
