@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: (those with the largest norms) that are scored in full to get first thresholds.
 DIMENSIONS, TILE, SEEDS = 8, 64, 128
 #: Rows of a block: a share of all rows within these bounds and of at most so many components, so a task's memory is bounded.
-VECTOR_BLOCK, QUERY_BLOCK, COMPONENTS = (1_024, 65_536), (1_024, 16_384), 8_000_000
+VECTOR_BLOCK, QUERY_BLOCK, COMPONENTS = (16_384, 131_072), (1_024, 16_384), 8_000_000
 
 
 def _vertical(column: pa.ChunkedArray) -> np.ndarray:
@@ -76,7 +76,7 @@ def search_block(
         so_far = np.zeros((len(q_ids), len(alive)), kind)
         for b in range(len(tails)):
             bound = so_far + np.outer(q_tail[b], tails[b, alive])
-            stays = (bound * (1 + 1e-6) > least[:, None] - 0.5).any(axis=0)
+            stays = (bound + 1e-6 * np.abs(bound) > least[:, None] - 0.5).any(axis=0)
             if not stays.all():
                 alive, so_far = alive[stays], so_far[:, stays]
             if b * DIMENSIONS < dims:
@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     vectors has vec_id and embedding; a component x counts as floor(scale * x). Scores are inner products,
     ties go to the smaller vec_id. Rows without an id or vector, or with a null or non-finite component,
     take no part. Vectors of different lengths meet as if ended by zeros; an empty vector scores 0. A
-    repeated vec_id counts once, with its least vector. Sums are exact while they fit a long. Fewer than
+    repeated vec_id is a candidate in each of its rows, but none for itself, and asks once, with its least vector. Sums are exact while they fit a long. Fewer than
     k others give fewer rows. An empty table gives an empty one. Other columns are not read.
 
     Each block of queries meets each block of vectors in one task; of each meeting only k rows a query go on.
@@ -112,8 +112,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     whole = (
         vectors.where("vec_id IS NOT NULL").where(finite)
         .select("vec_id", F.expr(f"transform(embedding, x -> floor({int(scale)} * double(x)))").alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
     )
+    asked = whole.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = vectors.agg(F.count("vec_id").alias("n"), F.count_if(queries).alias("asked"), F.max(F.size("embedding")).alias("dims")).first()
     across = _spread(size["n"], 64, VECTOR_BLOCK, size["dims"] or 0)
     down = _spread(size["asked"], 8, QUERY_BLOCK, size["dims"] or 0)
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     left = whole.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(
         cell(F.pmod(at, F.lit(across)), F.col("j")), "vec_id", "v"
     )
-    right = whole.where(queries).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(
+    right = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(
         cell(F.col("i"), F.pmod(at, F.lit(down))), "vec_id", "v"
     )
 
