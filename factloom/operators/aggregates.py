@@ -64,22 +64,31 @@ def ended_before(facts: DataFrame, cutoff: Column) -> DataFrame:
     return facts.where(((F.col("valid_until") < cutoff) | (F.col("retracted_at") < cutoff)) & (F.col("status") != "compacted"))
 
 
+GROUP = ["entity_id", "predicate", "user_id"]
+
+
 def compaction_groups(facts: DataFrame, cutoff: Column, cap: int = 8000, least: int = 2) -> DataFrame:
-    """Per (entity, predicate, user) with `least` ended facts or more: joined text, mean confidence, bounds, members."""
-    lines = F.array_sort(F.collect_list(F.struct("valid_from", "fact_id", "object")))
+    """Per (entity, predicate, user) with `least` ended facts or more: count, the first `cap` characters of their joined texts, mean confidence, bounds.
+
+    Only lines that start within the cap are gathered.
+    """
+    before = W.partitionBy(*GROUP).orderBy("valid_from", "fact_id").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("object") + 2).over(before), F.lit(0))
+    line = F.when(F.col("__start") < cap, F.struct("valid_from", "fact_id", "object"))
     return (
-        ended_before(facts, cutoff).groupBy("entity_id", "predicate", "user_id")
-        .agg(F.count(ONE).alias("n"), lines.alias("l"), F.avg("confidence").alias("confidence"), F.min("valid_from").alias("valid_from"),
+        ended_before(facts, cutoff).withColumn("__start", start).groupBy(*GROUP)
+        .agg(F.count(ONE).alias("n"), F.array_sort(F.collect_list(line)).alias("l"), F.avg("confidence").alias("confidence"), F.min("valid_from").alias("valid_from"),
              F.max(F.coalesce(F.least("valid_until", "retracted_at"), "valid_until", "retracted_at")).alias("valid_until"))
         .where(F.col("n") >= least)
-        .select("entity_id", "predicate", "user_id", "n", F.substring(F.array_join(F.transform("l", lambda x: x["object"]), "; "), 1, cap).alias("text"),
-                "confidence", "valid_from", "valid_until", F.transform("l", lambda x: x["fact_id"]).alias("members"))
+        .select(*GROUP, "n", F.substring(F.array_join(F.transform("l", lambda x: x["object"]), "; "), 1, cap).alias("text"), "confidence", "valid_from", "valid_until")
     )
 
 
 def compact(facts: DataFrame, cutoff: Column, least: int = 2) -> DataFrame:
-    """facts with members of compaction groups set to compacted."""
-    gone = compaction_groups(facts, cutoff, least=least).select(F.explode("members").alias("fact_id"), F.lit(True).alias("__gone"))
+    """facts with members of compaction groups set to compacted; groups meet their members again by key."""
+    ended = ended_before(facts, cutoff)
+    groups = ended.groupBy(*GROUP).agg(F.count(ONE).alias("__n")).where(F.col("__n") >= least).select(F.struct(*GROUP).alias("__g"))
+    gone = ended.select("fact_id", F.struct(*GROUP).alias("__mine")).join(groups, F.col("__mine").eqNullSafe(F.col("__g")), "left_semi").select("fact_id", F.lit(True).alias("__gone"))
     return facts.join(gone, "fact_id", "left").withColumn("status", F.when(F.col("__gone"), "compacted").otherwise(F.col("status"))).drop("__gone")
 
 

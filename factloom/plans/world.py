@@ -213,7 +213,7 @@ ENDED = f"(valid_until < {CUT} OR retracted_at < {CUT}) AND status <> 'compacted
 
 
 @query("a12_compaction_groups", f"""
-SELECT entity_id, predicate, user_id, count(*) AS n, string_agg(object, '; ' ORDER BY valid_from, fact_id) AS text, round(avg(confidence), 9) AS confidence, CAST(min(valid_from) AS VARCHAR) AS valid_from,
+SELECT entity_id, predicate, user_id, count(*) AS n, substr(string_agg(object, '; ' ORDER BY valid_from, fact_id), 1, 8000) AS text, round(avg(confidence), 9) AS confidence, CAST(min(valid_from) AS VARCHAR) AS valid_from,
  CAST(max(coalesce(least(valid_until, retracted_at), valid_until, retracted_at)) AS VARCHAR) AS valid_until FROM facts WHERE {ENDED} GROUP BY 1, 2, 3 HAVING count(*) >= 2""", "facts")
 def a12(w: World) -> DataFrame:
     g = A.compaction_groups(w.facts, F.expr(CUT))
