@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; texts are near from a similarity of 0.8 of their five-word shingles."""
+    """One document of each group stays: SimHash links of five-word shingles, completed to all pairs of a similarity of 0.8."""
     return keep_one(docs.select(*COLUMNS))
 
 
@@ -54,7 +54,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("BPE encoding", encoding),
 ]

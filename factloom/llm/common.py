@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a temporary folder, but only if Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -35,6 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table of its own in the shared folder, and the table's path for removed().
+
+    Unlike a checkpoint, which keeps the size that Spark guessed for df (a product over all joins so far), the table has a
+    size of its own. Loops of joins need that: else the guesses get longer with each round until planning never ends.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that written() made and nothing reads any more."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
+
+
 def word_list(text: str | None) -> list[bytes]:
     """Words [0-9a-z and all beyond ASCII]+ after lower-casing A-Z, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import removed, written
 
 
 def _to_smallest(pairs: DataFrame) -> DataFrame:
@@ -30,17 +30,20 @@ def components(links: DataFrame) -> DataFrame:
     Loops, repeated links and either direction are fine; no links give no rows. Each round is written to
     the shared folder, and rounds end when the links no longer change: then each node hangs on its root.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = links.sparkSession
+    edges, path = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_smallest(large)
-        edges = cut(
+        edges, next_path = written(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
+        removed(spark, path)
+        path = next_path
         after = _signature(edges)
         if after == before:
             break

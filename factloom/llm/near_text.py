@@ -1,24 +1,30 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-Two sets of a similarity of 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of each, in any common
-order of shingles. The order puts shingles that are frequent in a sample of the texts last; it decides what the
-search costs and never what it finds. Equal sets are one class. Classes that share a prefix shingle are candidates:
-first each with a few hubs of the shingle, which joins dense groups of copies by few links; then all pairs
-that are not yet in one component. Every candidate is verified on the whole sets.
+"""Near-duplicate groups of texts: SimHash links first, completed by exact Jaccard similarity of word shingles.
+
+Texts with equal sets of shingles are one class. Classes whose SimHash fingerprints are within two bits are found by
+multi-index hashing and linked if their whole sets have a similarity of 0.8 or more. What fingerprints miss is found by
+prefix filtering: two such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any common order of
+shingles. The order puts shingles that are frequent in a sample of the texts last; it decides what the search costs and
+never what it finds. Classes that share a prefix shingle are candidates: first with hubs, of which each is
+verified with the likest, which joins dense groups of copies by few links; then all pairs that are not yet in one component and that
+sizes, positions and sketches leave possible. Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from factloom.llm import simhash
 from factloom.llm.common import cut, per_row
 from factloom.llm.components import components
 
@@ -26,22 +32,24 @@ SEED = 42
 WORDS_EACH = 5
 #: Of SAMPLE texts one is counted for the order, and so many shingles at most are known as frequent.
 SAMPLE, FREQUENT = 8, 100_000
-#: Hubs that each prefix shingle has at first.
-HUBS = 3
+#: Rounds in which classes meet hubs, the hubs a class is verified with in each, and the sets that a task remembers in order to
+#: give a set's shingles once.
+ROUNDS, TRIED, SEEN = 2, 3, 200_000
+#: Ids of sets that are broadcast at most, to pick their rows and texts without a shuffle of all texts.
+FEW = 1_000_000
 #: Longs of a sketch: parities of the numbers of shingles by their low bits. Sets differ in as many shingles at least as their sketches in bits.
-SKETCH = 4
+SKETCH = 8
+
+
+def shingles_and_fingerprint(text: str | None, words_each: int = WORDS_EACH) -> tuple[np.ndarray, int]:
+    """Sorted distinct hashes of the shingles, and the SimHash fingerprint of all shingles; words as in simhash.fingerprint."""
+    hashed = simhash.shingle_hashes(text, words_each)
+    return np.unique(hashed.view(np.int64)), simhash.majority(hashed)
 
 
 def shingles(text: str | None, words_each: int = WORDS_EACH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; words as in simhash.fingerprint. Fewer words are one shingle, none give none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    ends = starts[words_each:] or starts[-1:]
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(joined[a : b - 1], SEED) for a, b in zip(starts, ends)], np.uint64).view(np.int64))  # noqa: B905
+    """Sorted distinct hashes of the shingles. Fewer words are one shingle, none give none."""
+    return np.unique(simhash.shingle_hashes(text, words_each).view(np.int64))
 
 
 def _sketch(found: np.ndarray) -> list[int]:
@@ -54,7 +62,10 @@ def _id(found: np.ndarray) -> int:
 
 
 BRIEF = ["id", "n", *(f"s{i}" for i in range(SKETCH))]
-SETS = StructType([StructField(c, LongType()) for c in ["doc_id", *BRIEF]] + [StructField("keys", ArrayType(LongType()))])
+#: A row per document; body is a hash of its text; keys are the prefix shingles in order, those from `known` on are frequent in the sample.
+SETS = StructType(
+    [StructField(c, LongType()) for c in ["doc_id", "body", *BRIEF, "fp"]] + [StructField("known", IntegerType()), StructField("keys", ArrayType(LongType()))]
+)
 FOUND = StructType([StructField("id", LongType()), StructField("found", ArrayType(LongType()))])
 
 
@@ -74,78 +85,147 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, the set's id, size and sketch, and its prefix shingles as keys, for every row of docs."""
+    """SETS for every row of docs. Of equal sets that a task reads one after the other only the first has keys."""
     last = _frequent(docs)
     by = np.argsort(last)
     sent = docs.sparkSession.sparkContext.broadcast((last[by], by))
+    arrow = to_arrow_schema(SETS)
 
-    def row(doc_id: int | None, text: str | None) -> tuple:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
-        found = keys = shingles(text)
-        n = len(found)
-        if n and len(known):
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            keys = found[np.argsort(np.where(known[at] == found, rank[at], -1), kind="stable")]
-        return doc_id, _id(found), n, *_sketch(found), keys[: n - -(-4 * n // 5) + 1]
-
-    return per_row(docs.select("doc_id", "text"), row, SETS)
-
-
-def _found(text: str | None) -> tuple:
-    found = shingles(text)
-    return _id(found), found
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for doc_id, body, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
+                found, fp = shingles_and_fingerprint(text.as_py())
+                n, of = len(found), _id(found)
+                order, split = found, n
+                if of in seen:
+                    order = found[:0]
+                elif n and len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    ranks = np.where(known[at] == found, rank[at], -1)
+                    order, split = found[np.argsort(ranks, kind="stable")], int((ranks < 0).sum())
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(of)
+                rows.append((doc_id, body, of, n, *_sketch(found), fp, split, order[: n - -(-4 * n // 5) + 1]))
+            columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("body")).mapInArrow(run, SETS)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: so many shingles at least are in one of the sets only."""
+    return reduce(add, (F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v of rows (u, v, text of u, text of v) whose whole sets have a similarity of 0.8 or more."""
+    for batch in batches:
+        stay = []
+        for one, other in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = shingles(one.as_py()), shingles(other.as_py())
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            stay.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(stay, pa.bool_()))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, doc_u, doc_v, differ of those pairs (u, v) of sets that sizes and sketches don't rule out.
+
+    Sets of n and m with a similarity of 0.8 or more differ in (n + m) / 9 shingles at most.
+    """
+    pairs = cut(pairs.distinct())
+    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    few = F.broadcast if ids.count() <= FEW else lambda df: df
+    owners = sets.join(few(ids), "id", "left_semi").groupBy(*BRIEF).agg(F.min(F.struct("doc_id", "body")).alias("doc"))
+    owners = cut(owners.select(F.struct("id").alias("of"), F.struct(*BRIEF).alias("a"), "doc"))
+    side = lambda c: owners.select(F.col("of").alias(f"of_{c}"), F.col("a").alias(f"a_{c}"), F.col("doc").alias(f"doc_{c}"))
+    both = pairs.withColumns({"of_u": F.struct(F.col("u").alias("id")), "of_v": F.struct(F.col("v").alias("id"))})
+    n, m = F.col("a_u.n"), F.col("a_v.n")
+    met = both.join(side("u"), "of_u").join(side("v"), "of_v").withColumn("differ", _differing("a_u", "a_v"))
+    return met.where((5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * F.col("differ") <= n + m)).select("u", "v", "doc_u", "doc_v", "differ")
+
+
+def _verified(possible: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of _possible whose texts have sets with a Jaccard similarity of 0.8 or more."""
+    near = cut(possible.select("u", "v", "doc_u", "doc_v"))
+    asked = cut(near.select(F.explode(F.array("doc_u", "doc_v")).alias("doc")).select("doc.*").distinct())
+    few = F.broadcast if asked.count() <= FEW else lambda df: df
+    some = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).join(few(asked), ["doc_id", "body"], "left_semi")
+    texts = cut(some.dropDuplicates(["doc_id", "body"]).select(F.struct("doc_id", "body").alias("doc"), "text"))
+    text = lambda c: texts.select(F.col("doc").alias(f"doc_{c}"), F.col("text").alias(f"text_{c}"))
+    met = near.join(text("u"), "doc_u").join(text("v"), "doc_v").select("u", "v", "text_u", "text_v")
+    return cut(met.mapInArrow(_similar, "u long, v long"))
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """key, pos, id, n for each prefix shingle that more than one set may have, with its place in the set's order of n shingles.
+
+    Shingles that the sample knows as frequent are shared; the others meet by key, and none of them is in very many sets.
+    """
+    rows = sets.select("id", "n", "known", F.posexplode("keys").alias("pos", "key"))
+    by_key = W.partitionBy("key")
+    rare = rows.where("pos < known").select("key", "pos", "id", "n")
+    met = rare.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key)}).where("lo < hi")
+    return met.select("key", "pos", "id", "n").unionByName(rows.where("pos >= known").select("key", "pos", "id", "n")).distinct()
 
 
-def _may_be_near(a: str, b: str) -> Column:
-    """False only where sizes or sketches rule out a similarity of 0.8: then sets of n and m differ in (n + m) / 9 shingles at most."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = reduce(add, (F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)))
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * differ <= n + m)
+def _rooted(held: DataFrame, links: DataFrame) -> DataFrame:
+    """held with root and size of its class's component so far."""
+    roots = components(links)
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(F.struct("root").alias("of"), "size")
+    sized = roots.withColumn("of", F.struct("root")).join(sizes, "of").select(F.struct(F.col("node").alias("id")).alias("who"), "root", "size")
+    joined = held.withColumn("who", F.struct("id")).join(sized, "who", "left")
+    return joined.select(F.struct("key").alias("at"), "pos", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) of sets with a Jaccard similarity of 0.8 or more; the sets are made anew from their texts."""
-    pairs = cut(pairs.distinct())
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    owners = sets.select("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(owners.select("doc_id"), "doc_id", "left_semi").select("text")
-    whole = cut(per_row(texts, _found, FOUND).dropDuplicates(["id"]))
-    side = lambda c: whole.select(F.struct(F.col("id").alias("of")).alias(f"at_{c}"), F.col("found").alias(f"found_{c}"))
-    both = pairs.withColumns({"at_u": F.struct(F.col("u").alias("of")), "at_v": F.struct(F.col("v").alias("of"))})
-    shared = F.size(F.array_intersect("found_u", "found_v"))
-    union = F.size("found_u") + F.size("found_v") - shared
-    return cut(both.join(side("u"), "at_u").join(side("v"), "at_v").where(5 * shared >= 4 * union).select("u", "v"))
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes with equal fingerprints (each with the least id) or such within two bits, by multi-index hashing."""
+    by_fp = cut(classes.groupBy("fp").agg(F.min("id").alias("id")))
+    equal = classes.join(by_fp.select(F.col("fp"), F.col("id").alias("v")), "fp").select(F.col("id").alias("u"), "v").where("u <> v")
+    side = lambda c: by_fp.select(F.col("fp").alias(c), F.col("id").alias(f"id_{c}"))
+    near = simhash.near_links(by_fp.select("fp")).join(side("u"), "u").join(side("v"), "v")
+    return equal.unionByName(near.select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v")))
 
 
 def near_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of sets with a similarity of 0.8 or more."""
-    prefixes = sets.select(F.explode("keys").alias("key"), "id")
-    many = prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.struct("key").alias("at"))
-    brief = sets.select(*BRIEF).distinct().select(F.struct("id").alias("who"), F.struct(*BRIEF).alias("a"))
-    of = prefixes.withColumn("at", F.struct("key")).join(many, "at").select("at", F.struct("id").alias("who")).distinct()
-    shared = cut(of.join(brief, "who").select("at", "who", "a"))
-
-    hubs = [F.min_by("who", F.xxhash64("who.id", F.lit(i))) for i in range(HUBS)]
-    held = shared.groupBy("at").agg(F.array_distinct(F.array(*hubs)).alias("hubs"))
-    stars = shared.join(held, "at").select("a", F.explode("hubs").alias("other")).where("a.id <> other.id").distinct()
-    others = brief.select(F.col("who").alias("other"), F.col("a").alias("b"))
-    near = stars.join(others, "other").where(_may_be_near("a", "b"))
-    ends = [F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")]
-    links = _verified(near.select(*ends), sets, docs)
-
-    roots = components(links).select(F.struct(F.col("node").alias("id")).alias("who"), "root")
-    rooted = cut(shared.join(roots, "who", "left").select("at", "a", F.coalesce("root", "a.id").alias("root")))
-    still = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("at")
-    left = cut(rooted.join(still, "at"))
-    other = left.select("at", F.col("a").alias("b"), F.col("root").alias("root_b"))
-    across = left.join(other, "at").where((F.col("a.id") > F.col("b.id")) & (F.col("root") != F.col("root_b")) & _may_be_near("a", "b"))
-    return links.unionByName(_verified(across.select(*ends), sets, docs))
+    classes = sets.select("id", "fp").distinct()
+    links = _verified(_possible(_fingerprint_pairs(cut(classes)), sets), docs)
+    held = cut(_shared(sets))
+    apart = (F.min("root") < F.max("root")).alias("apart")
+    for turn in range(ROUNDS):
+        rooted = _rooted(held, links)
+        # All keys of a dense group prefer its largest component, so that the others flow into it.
+        order = F.struct(-F.col("size"), "root", F.xxhash64("id", F.lit(turn)))
+        hubs = rooted.groupBy("at").agg(F.min_by(F.struct("id", "root"), order).alias("hub"), apart).where("apart")
+        met = rooted.join(hubs, "at").where(F.col("root") != F.col("hub.root"))
+        ends = met.select(F.greatest("id", "hub.id").alias("u"), F.least("id", "hub.id").alias("v"), "id").distinct()
+        known = cut(_possible(ends.select("u", "v"), sets))
+        mine = known.join(ends, ["u", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("differ", "u", "v", "doc_u", "doc_v"))).alias("best"))
+        tried = mine.select(F.explode(F.slice("best", 1, TRIED)).alias("b")).select("b.*").distinct()
+        links = cut(links.unionByName(_verified(tried, docs)))
+
+    rooted = _rooted(held, links)
+    still = rooted.groupBy("at").agg(apart).where("apart").select("at")
+    sketches = [f"s{i}" for i in range(SKETCH)]
+    brief = sets.select(F.struct("id").alias("who"), F.struct(*sketches).alias("s")).distinct()
+    left = cut(rooted.join(still, "at").withColumn("who", F.struct("id")).join(brief, "who").select("at", "pos", "id", "n", "root", "s"))
+    other = left.select("at", *(F.col(c).alias(f"{c}_b") for c in ("pos", "id", "n", "root", "s")))
+    # At the first shingle that two sets share, no more than what stands from there on can be in both.
+    most, both = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")), F.col("n") + F.col("n_b")
+    alike = (5 * F.col("n") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n")) & (9 * most >= 4 * both) & (9 * _differing("s", "s_b") <= both)
+    across = left.join(other, "at").where((F.col("id") > F.col("id_b")) & (F.col("root") != F.col("root_b")) & alike)
+    return links.unionByName(_verified(_possible(across.select(F.col("id").alias("u"), F.col("id_b").alias("v")), sets), docs))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, group_id (the smallest doc_id reachable) for every row of docs with a doc_id, by five-word shingles and a similarity of 0.8.
 
-    Texts without words are one group. An empty table gives an empty one. Other columns are not read.
+    Texts without words are one group; so are texts with equal sets of shingles. Each row of a repeated id is grouped by its own text. An empty table gives an empty one. Other columns are not read.
     """
     docs = docs.where("doc_id IS NOT NULL")
     sets = cut(_sets(docs))
