@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in spark.checkpoint.dir. It is computed once, outlives lost executors and has a size of its own, while a
     checkpoint keeps the product of all sizes joined so far, with which planning gets slower each round."""
     sc = df.sparkSession.sparkContext
@@ -27,13 +27,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node it is linked with) for every node of links (a, b); labels jump to their labels' labels."""
-    both = _cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         top = lower.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        jumped = _cut(lower.join(top, F.col("root") == F.col("__n"), "left").select("node", "old", F.least("root", F.coalesce("__r", "root")).alias("root")))
+        jumped = written(lower.join(top, F.col("root") == F.col("__n"), "left").select("node", "old", F.least("root", F.coalesce("__r", "root")).alias("root")))
         labels = jumped.select("node", "root")
         if jumped.where("root <> old").isEmpty():
             break
@@ -46,17 +46,17 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
     Edges are first cut down to pairs of a query's own nodes. Nodes without edges give their mass back to the seeds.
     """
     total = F.sum("score").over(W.partitionBy("query_id"))
-    start = _cut(seeds.withColumn("seed", F.col("score") / total).select("query_id", "node", "seed"))
+    start = written(seeds.withColumn("seed", F.col("score") / total).select("query_id", "node", "seed"))
     flat = edges.select("src", "dst", "weight").union(edges.select(F.col("dst"), F.col("src"), F.col("weight")))
     mine = flat.join(start.select("query_id", F.col("node").alias("src")), "src").join(start.select("query_id", F.col("node").alias("dst")), ["query_id", "dst"])
     out = F.sum("weight").over(W.partitionBy("query_id", "src"))
-    steps = _cut(mine.groupBy("query_id", "src", "dst").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / out))
+    steps = written(mine.groupBy("query_id", "src", "dst").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / out))
     ranks = start.withColumn("rank", F.col("seed"))
     senders = steps.select("query_id", F.col("src").alias("node")).distinct()
     for _ in range(rounds):
         got = steps.join(ranks.withColumnRenamed("node", "src"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = ranks.join(senders, ["query_id", "node"], "left_anti").groupBy("query_id").agg(F.sum("rank").alias("lost"))
-        ranks = _cut(
+        ranks = written(
             start.join(got, ["query_id", "node"], "left").join(lost, "query_id", "left").select(
                 "query_id", "node", "seed",
                 ((1 - alpha) * F.col("seed") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("seed") * F.coalesce("lost", F.lit(0.0)))).alias("rank"),
@@ -79,13 +79,13 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     smaller than its own, which ends the swinging of two-sided shapes. Loops are dropped, weights of 0 or less are 1.
     """
     e = edges.where("src <> dst").select("src", "dst", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"))
-    both = _cut(e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = _cut(both.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
+    both = written(e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    labels = written(both.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
     for step in range(1, rounds + 1):
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("v"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("v")).alias("v"), "community")).alias("b")).select(F.col("src").alias("node"), F.col("b.community").alias("new"))
         moves = F.col("new") < F.col("community") if step % 2 == 0 else F.lit(True)
-        after = _cut(labels.join(best, "node").select("node", F.col("community").alias("old"), F.when(moves, F.col("new")).otherwise(F.col("community")).alias("community")))
+        after = written(labels.join(best, "node").select("node", F.col("community").alias("old"), F.when(moves, F.col("new")).otherwise(F.col("community")).alias("community")))
         labels = after.select("node", "community")
         if after.where("old <> community").isEmpty():
             break
@@ -126,10 +126,10 @@ def community_profile(members: DataFrame, edges: DataFrame, names: DataFrame) ->
 
 def merge_identities(links: DataFrame, hops: int = 32) -> DataFrame:
     """node, survivor, status (merged or cycle): merged_into is followed to its end by doubling; links: node, merged_into."""
-    here = _cut(links.where("node <> merged_into").select("node", F.col("merged_into").alias("at")))
+    here = written(links.where("node <> merged_into").select("node", F.col("merged_into").alias("at")))
     for _ in range(max(1, hops.bit_length())):
         step = here.select(F.col("node").alias("__n"), F.col("at").alias("__at"))
-        after = _cut(here.join(step, here["at"] == F.col("__n"), "left").select("node", F.coalesce("__at", "at").alias("next"), F.col("__n").isNotNull().alias("moved")))
+        after = written(here.join(step, here["at"] == F.col("__n"), "left").select("node", F.coalesce("__at", "at").alias("next"), F.col("__n").isNotNull().alias("moved")))
         here = after.select("node", F.col("next").alias("at"))
         if after.where("moved").isEmpty():
             break
@@ -139,13 +139,13 @@ def merge_identities(links: DataFrame, hops: int = 32) -> DataFrame:
 
 def derived_closure(links: DataFrame, changed: DataFrame) -> DataFrame:
     """fact_id of everything derived, directly or not, from changed facts; links: fact_id, parent. Cycles are fine."""
-    seen = _cut(changed.select("fact_id").distinct())
+    seen = written(changed.select("fact_id").distinct())
     frontier = seen
     while True:
-        new = _cut(links.join(frontier.select(F.col("fact_id").alias("parent")), "parent").select("fact_id").distinct().join(seen, "fact_id", "left_anti"))
+        new = written(links.join(frontier.select(F.col("fact_id").alias("parent")), "parent").select("fact_id").distinct().join(seen, "fact_id", "left_anti"))
         if new.isEmpty():
             break
-        seen, frontier = _cut(seen.union(new)), new
+        seen, frontier = written(seen.union(new)), new
     return seen.join(changed.select("fact_id").distinct(), "fact_id", "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.operators import retrieval as R
 from factloom.operators import similarity as S
 from factloom.operators.filters import lang_backoff, only_atomic, scope_gate, user_scope, world_fence
-from factloom.operators.graph import expand_edges, pagerank_boost, personalized_pagerank
+from factloom.operators.graph import expand_edges, pagerank_boost, personalized_pagerank, written
 from factloom.operators.joins import reattribute_merged
 from factloom.operators.neighbours import within
 from factloom.operators.policy import apply_policy, policy_meta_union
@@ -26,7 +26,8 @@ def scored_facts(
 
     lang: facts in that language or none come first, others only where these are fewer than half of what is asked for. docs
     (origin_key and what policies look at): facts with a document that a policy denies drop out. expand: queries are asked
-    again with the names of their best entities, and the better facts that this finds are merged in. factors: as in score_facts.
+    again with the names of their best entities, and the better facts that this finds are merged in; the first results and the new
+    queries are written to the shared folder in between. factors: as in score_facts.
     """
     k = min(5 * limit, 200)
     pool = world_fence(user_scope(current_facts(facts, now), user), [None])
@@ -43,11 +44,11 @@ def scored_facts(
             allowed = policy_meta_union(keyed, docs, list(sets)).drop("origin_keys")
         return R.score_facts(allowed, registry, now, **factors)
 
-    first = ask(queries)
     if not expand:
-        return first
+        return ask(queries)
+    first = written(ask(queries))
     more = R.expansion_terms(R.bucket_entities(first), queries, entities.select("entity_id", "canonical_name"))
-    again = ask(queries.drop("text").join(more, "query_id"))
+    again = ask(written(queries.drop("text").join(more, "query_id")))
     return R.merge_evidence(first, again, k).drop("source")
 
 
