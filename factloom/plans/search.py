@@ -140,12 +140,13 @@ def _scored(w: World) -> DataFrame:
     return R.score_facts(R.fuse(*_legs(w)).join(w.facts, "fact_id"), w.registry, F.expr(NOW)).withColumn("object", F.concat_ws(" ", "recorder", "object"))
 
 
+#: Scores of round factors often lie just between two roundings, so they are cut at an odd place instead.
 K5_SQL = f"""
 WITH {LEGS},
 marked AS (SELECT f.*, (n % 6) / 5.0::DOUBLE AS learned, CASE WHEN n % 8 <> 0 THEN 0.25::DOUBLE + (n % 3) * 0.25::DOUBLE END AS declared, n % 5 AS corroborations,
   (n % 4) / 4.0::DOUBLE AS authority, n % 7 AS salience, CASE WHEN predicate = 'phone' THEN 'said' END AS alias, epoch_us(valid_from) AS f_, epoch_us(valid_until) AS u_,
   epoch_us({PAST}) AS m_, epoch_us(TIMESTAMP '1998-01-01 00:00:00') AS b_, epoch_us(TIMESTAMP '1998-04-01 00:00:00') AS e_ FROM fused f)
-SELECT query_id, fact_id, round(fused
+SELECT query_id, fact_id, floor(1e8::DOUBLE * (fused
   * CASE WHEN half_life_days IS NULL THEN 1 ELSE exp(-0.6931471805599453 * (epoch_us({NOW}) - epoch_us(recorded_at)) / 86400000000.0::DOUBLE / half_life_days) END
   * CASE WHEN confidence <= 0.5 THEN 0.4123::DOUBLE WHEN confidence <= 0.8 THEN 0.7071::DOUBLE ELSE 0.9013::DOUBLE END
   * CASE WHEN coalesce(alias, m.predicate) = 'said' THEN 0.3::DOUBLE ELSE 1 END
@@ -154,7 +155,7 @@ SELECT query_id, fact_id, round(fused
   * CASE WHEN f_ <= m_ AND (u_ IS NULL OR u_ > m_) THEN 1 ELSE 0.25::DOUBLE + 0.75::DOUBLE * exp(-0.6931471805599453 * (CASE WHEN f_ > m_ THEN f_ - m_ ELSE m_ - u_ END) / 86400000000.0::DOUBLE / 90) END
   * CASE WHEN (u_ IS NOT NULL AND f_ < e_ AND b_ < u_) OR (u_ IS NULL AND f_ >= b_ AND f_ < e_) THEN 1
     ELSE 0.25::DOUBLE + 0.75::DOUBLE * exp(-0.6931471805599453 * greatest(0, (CASE WHEN f_ >= e_ THEN f_ - e_ ELSE b_ - coalesce(u_, f_) END) / 86400000000.0::DOUBLE) / 90) END
-  * CASE salience WHEN 0 THEN 0.8::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.25::DOUBLE ELSE 1 END, 9) AS score
+  * CASE salience WHEN 0 THEN 0.8::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.25::DOUBLE ELSE 1 END) + 0.3141593::DOUBLE) / 1e8::DOUBLE AS score
 FROM marked m LEFT JOIN registry r ON r.predicate = coalesce(alias, m.predicate)"""
 
 
@@ -168,7 +169,7 @@ def k5(w: World) -> DataFrame:
     steps = w.spark.sql("SELECT array(0.5D, 0.8D, 1.0D) AS thresholds, array(0.4123D, 0.7071D, 0.9013D) AS values")
     period = (F.expr("TIMESTAMP '1998-01-01 00:00:00'"), F.expr("TIMESTAMP '1998-04-01 00:00:00'"))
     scored = R.score_facts(rows, w.registry, F.expr(NOW), F.expr(PAST), period, steps, 0.3, 0.5, 0.1, 0.2, True)
-    return scored.select("query_id", "fact_id", F.round("score", 9).alias("score"))
+    return scored.select("query_id", "fact_id", (F.floor(1e8 * F.col("score") + 0.3141593) / 1e8).alias("score"))
 
 
 GAP = "(CASE WHEN valid_from > {p} THEN epoch_us(valid_from) - epoch_us({p}) ELSE epoch_us({p}) - epoch_us(valid_until) END) / 86400000000.0::DOUBLE".format(p=PAST)
