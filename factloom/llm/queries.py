@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import encode_documents
 from factloom.llm.common import table
 from factloom.llm.decontaminate import contamination
+from factloom.llm.divergence import source_divergence
 from factloom.llm.html_extract import extract_text
 from factloom.llm.license_scan import scan_licenses
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.quality import score_quality
+from factloom.llm.repetition import quality_rules
+from factloom.llm.resampling import resample
 from factloom.llm.sharding import shard_documents
 from factloom.llm.simhash import hex_digits, near_duplicates
 from factloom.llm.topk import top_k
@@ -131,6 +134,104 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+each AS (SELECT r, unnest(w) AS word FROM words),
+wanted AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+bytes AS (
+  SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT word FROM each UNION SELECT word FROM wanted)),
+bucket AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), [1, 2, 3, 4, 5, 6, 7, 8]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)),
+    4294967295) % 10000 AS bucket FROM bytes),
+s AS (SELECT bucket, count(*) AS n FROM each JOIN bucket USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN bucket USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE)
+    / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM each JOIN bucket USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r)),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranks) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranks USING (r)
+"""
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "base_failed", "kept")
+
+
+#: A repeat of n words or more is a window of n words that occurs twice, so windows give the same cover and limits.
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT r, list_transform(w, lambda x: hash(x)) AS h FROM words),
+places AS (SELECT r, h, size, unnest(range(1, greatest(len(h) - size, -1) + 2)) AS i FROM hashed, (VALUES (3), (10), (201)) AS sizes(size)),
+windows AS (SELECT r, size, i, count(*) OVER (PARTITION BY r, size, h) AS many FROM (SELECT r, size, i, hash(h[i:i + size - 1]) AS h FROM places)),
+marked AS (SELECT r, size, count(DISTINCT k) AS n FROM (SELECT r, size, unnest(range(i, i + size)) AS k FROM windows WHERE many > 1) GROUP BY ALL),
+spans AS (SELECT r, max(n) FILTER (WHERE size = 3) AS n3, max(n) FILTER (WHERE size = 10) AS n10, max(n) FILTER (WHERE size = 201) AS n201 FROM marked GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words),
+counted AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n3, 0)::BIGINT AS n_repeat_words, coalesce(n10, 0)::BIGINT AS n_covered_words, n201 IS NULL AS short
+  FROM words JOIN lines USING (r) LEFT JOIN spans USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 30 * n_words AND short AS kept
+FROM counted
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+occurring AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM occurring GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occurring o JOIN kept k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM grp g LEFT JOIN counts k ON g.lang = k.lang AND g.source = k.source GROUP BY ALL),
+share AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (s.n + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.c + 2)) // (l.n + 2 * l.v) AS q
+  FROM sizes s JOIN kept k ON s.lang = k.lang JOIN langs l ON l.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM share WHERE c > 0 AND p > q),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM placed WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_license_scan": op2_license_scan,
@@ -142,6 +243,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_resampling": op11_resampling,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +253,7 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_resampling": OP11_SQL,
+    "op12_quality_rules": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
