@@ -222,26 +222,34 @@ def near_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links.unionByName(_verified(_possible(across.select(F.col("id").alias("u"), F.col("id_b").alias("v")), sets), docs))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id reachable) for every row of docs with a doc_id, by five-word shingles and a similarity of 0.8.
-
-    Texts without words are one group; so are texts with equal sets of shingles. Each row of a repeated id is grouped by its own text. An empty table gives an empty one. Other columns are not read.
-    """
+def _led(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, body, who for every row of docs with a doc_id, and who, leader: the least (doc_id, body) of the group of set `who`."""
     docs = docs.where("doc_id IS NOT NULL")
     sets = cut(_sets(docs))
     roots = components(near_links(sets, docs)).select(F.struct(F.col("node").alias("id")).alias("who"), "root")
-    firsts = sets.groupBy("id").agg(F.min("doc_id").alias("first")).withColumn("who", F.struct("id"))
+    firsts = sets.groupBy("id").agg(F.min(F.struct("doc_id", "body")).alias("first")).withColumn("who", F.struct("id"))
     placed = firsts.join(roots, "who", "left").select("who", "first", F.struct(F.coalesce("root", "id").alias("r")).alias("of"))
-    named = placed.groupBy("of").agg(F.min("first").alias("group_id"))
-    by_id = cut(placed.join(named, "of").select("who", "group_id"))
-    return sets.select("doc_id", F.struct("id").alias("who")).join(by_id, "who").select("doc_id", "group_id")
+    leaders = placed.groupBy("of").agg(F.min("first").alias("leader"))
+    return sets.select("doc_id", "body", F.struct("id").alias("who")), cut(placed.join(leaders, "of").select("who", "leader"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, body (a hash of the text), group_id (the smallest doc_id reachable) for every row of docs with a doc_id, by five-word
+    shingles and a similarity of 0.8.
+
+    Texts without words are one group; so are texts with equal sets of shingles. Each row of a repeated id is grouped by its own text. An empty table gives an empty one. Other columns are not read.
+    """
+    rows, led = _led(docs)
+    return rows.join(led, "who").select("doc_id", "body", F.col("leader.doc_id").alias("group_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs (its columns) with one document of each group: the one with the smallest doc_id.
 
-    Of repeated rows with that id one stays; documents without an id stay.
+    Of equal rows with that id one stays, of unequal texts with that id in one group one too; texts of an id that are in
+    groups of their own all stay. Documents without an id stay.
     """
-    kept = near_groups(docs).where("doc_id = group_id")
-    once = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    kept = _led(docs)[1].select("leader.*").distinct()
+    hashed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("body"))
+    once = hashed.join(kept, ["doc_id", "body"], "left_semi").dropDuplicates(["doc_id", "body"])
+    return once.select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -133,15 +133,3 @@ def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """docs (its columns) with one document of each near-duplicate group: the one with the smallest doc_id.
-
-    Of repeated rows with that id one stays; documents without an id stay.
-    """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), words_each).where("doc_id = component_id")
-    ids = kept.select("doc_id").distinct()
-    mine = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    once = mine.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))

@@ -47,7 +47,7 @@ def test_near_copies_as_by_brute_force(spark):
     docs = planted()
     want = brute_force(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert dict(map(tuple, near_text.near_groups(frame).collect())) == want
+    assert {r.doc_id: r.group_id for r in near_text.near_groups(frame).collect()} == want
     stage = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in docs], COLUMNS), "")
     assert sorted(r.doc_id for r in stage.collect()) == sorted(set(want.values()))
 
@@ -56,3 +56,13 @@ def test_ids_that_are_null_or_repeat(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(None, text), (None, text), (4, text), (4, text), (9, text), (9, None)], "doc_id long, text string")
     assert sorted(map(str, (r.doc_id for r in near_text.keep_one(docs).collect()))) == ["4", "9", "None", "None"]
+
+
+def test_texts_that_share_an_id_are_not_lost(spark):
+    a, b = "a b c d e f g", "r s t u v w x"
+    near = [" ".join(f"w{i}" for i in range(100)) + f" end{k}" for k in range(2)]
+    rows = [(4, a), (9, a), (9, b), (7, near[0]), (7, near[1]), (8, b), (9, b)]
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        kept = near_text.keep_one(spark.createDataFrame(order, "doc_id long, text string").repartition(2)).collect()
+        texts = [r.text for r in kept]
+        assert sorted(r.doc_id for r in kept) == [4, 7, 8] and a in texts and b in texts and sum(t in near for t in texts) == 1
