@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,21 +28,55 @@ def retrieval_metrics(results: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataF
     )
 
 
+#: Row-by-round weights that are drawn at once.
+DRAWN = 2_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words whose output bits depend on all of the input's (the finaliser of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def poisson_weights(keys: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """A row for each key, a column for each round: how often the row is drawn in it, Poisson of mean 1.
+
+    A weight is a function of key, round and seed alone, so a task that runs again draws the same.
+    """
+    salts = _mixed(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(seed << 32))
+    u = (_mixed(keys.view(np.uint64)[:, None] ^ salts[None, :]) >> np.uint64(11)) * 2.0**-53
+    bounds = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
+    return np.searchsorted(bounds, u, "right").astype(np.float64)
+
+
+def bootstrap_sums(values: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """round, weight, total: sums of the weights and weighted values of each round; a task gives one row a round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total, any_ = np.zeros(rounds), np.zeros(rounds), False
+        step = max(1, DRAWN // rounds)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                w = poisson_weights(part.column(0).to_numpy(zero_copy_only=False), rounds, seed)
+                weight += w.sum(axis=0)
+                total += part.column(1).to_numpy(zero_copy_only=False) @ w
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_pydict({"round": pa.array(np.arange(1, rounds + 1), pa.int32()), "weight": weight, "total": total})
+
+    keyed = values.where("value IS NOT NULL").select(F.xxhash64("id").alias("key"), F.col("value").cast("double").alias("value"))
+    each = keyed.mapInArrow(run, "round int, weight double, total double")
+    return each.groupBy("round").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+
+
 def bootstrap_ci(values: DataFrame, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """mean, low, high: a percentile bootstrap with Poisson weights drawn from hashes, without driver loops.
+    """mean, low, high: a percentile bootstrap of the mean of values (id, value), its rounds weighed side by side in one pass.
 
-    Each value is weighted in each round; sums are pre-aggregated per round before the shuffle.
+    Each row is drawn Poisson-often in each round, by a hash of its id. Null values take no part; without values all is null.
     """
-    numbered = values.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.shiftrightunsigned(F.xxhash64("id", "round", F.lit(seed)), 11) + 0.5) * 2.0**-53
-    poisson = F.lit(0)
-    at = 0.36787944117144233
-    below, p = at, at
-    for k in range(1, 9):
-        poisson = poisson + (u >= below).cast("int")
-        p /= k
-        below += p
-    means = numbered.groupBy("round").agg((F.sum(poisson * F.col("value")) / F.sum(poisson)).alias("m"))
+    means = bootstrap_sums(values, rounds, seed).where("weight > 0").select((F.col("total") / F.col("weight")).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return values.agg(F.avg("value").alias("mean")).join(ends)
 

@@ -11,16 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir. It is computed once, outlives lost executors and has a size of its own, while a
-    checkpoint keeps the product of all sizes joined so far, with which planning gets slower each round."""
+def new_path(df: DataFrame) -> str:
+    """A name in spark.checkpoint.dir that is not taken."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in spark.checkpoint.dir. It is computed once, outlives lost executors and has a size of its own, while a
+    checkpoint keeps the product of all sizes joined so far, with which planning gets slower each round."""
+    path = new_path(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -139,14 +144,19 @@ def merge_identities(links: DataFrame, hops: int = 32) -> DataFrame:
 
 def derived_closure(links: DataFrame, changed: DataFrame) -> DataFrame:
     """fact_id of everything derived, directly or not, from changed facts; links: fact_id, parent. Cycles are fine."""
-    seen = written(changed.select("fact_id").distinct())
-    frontier = seen
+    start = changed.select("fact_id").distinct()
+    spark, path = start.sparkSession, new_path(start)
+    start.write.parquet(f"{path}/0")
+    seen, turn = [f"{path}/0"], 0
     while True:
-        new = written(links.join(frontier.select(F.col("fact_id").alias("parent")), "parent").select("fact_id").distinct().join(seen, "fact_id", "left_anti"))
-        if new.isEmpty():
+        frontier = spark.read.schema(start.schema).parquet(seen[-1]).select(F.col("fact_id").alias("parent"))
+        known = spark.read.schema(start.schema).parquet(*seen)
+        turn += 1
+        links.join(frontier, "parent").select("fact_id").distinct().join(known, "fact_id", "left_anti").write.parquet(f"{path}/{turn}")
+        if spark.read.schema(start.schema).parquet(f"{path}/{turn}").isEmpty():
             break
-        seen, frontier = written(seen.union(new)), new
-    return seen.join(changed.select("fact_id").distinct(), "fact_id", "left_anti")
+        seen.append(f"{path}/{turn}")
+    return spark.read.schema(start.schema).parquet(*seen[1:]) if seen[1:] else start.limit(0)
 
 
 def cascade_retract(facts: DataFrame, links: DataFrame, changed: DataFrame, now: Column, reason: str) -> DataFrame:

@@ -124,6 +124,30 @@ def _met(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float, by
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(block, schema)
 
 
+def meet_in_blocks(queries: DataFrame, vectors: DataFrame, by: list[str], k: int) -> DataFrame:
+    """query_id, fact_id, similarity: the k best of each query in each block (columns `by`) that it and vectors are dealt to.
+
+    queries: query_id, q; vectors: fact_id, embedding. A block is held by one task, so blocks of vectors must be bounded;
+    queries of a block stand in parts of about BROADCAST components, each sorted behind the others.
+    """
+    schema = StructType([queries.schema["query_id"], vectors.schema["fact_id"], StructField("similarity", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def block(asks: pa.Table, has: pa.Table) -> pa.Table:
+        if not (asks.num_rows and has.num_rows):
+            return arrow.empty_table()
+        held, found = Matrix(has["fact_id"].to_pylist(), None, has["embedding"]), []
+        step = max(1, BROADCAST // max(1, held.units.shape[1]))
+        for at in range(0, asks.num_rows, step):
+            part = asks.slice(at, step)
+            best = Best(Matrix(part["query_id"].to_pylist(), None, part["q"]), k, -np.inf)
+            found += [*best.meet(held), *best.rest()]
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInArrow(block, schema)
+
+
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, min_sim: float | None = None, by: str | None = None) -> DataFrame:
     """query_id, fact_id, similarity, rank by cosine. queries: query_id, q; vectors: fact_id, embedding.
 

@@ -12,6 +12,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OPS = {
@@ -70,16 +71,31 @@ def policy_meta_union(facts: DataFrame, docs: DataFrame, sets: list[dict]) -> Da
 
 
 def policy_impact(facts: DataFrame, sets: list[dict], samples: int = 3) -> DataFrame:
-    """Per set: total, denied, would_deny and up to `samples` smallest fact ids that it touches."""
-    out = []
-    for policy in sets:
-        judged = facts.withColumn("no", _verdict(policy)["verdict"] == "deny")
-        out.append(
-            judged.agg(
-                F.count(F.lit(1)).alias("total"),
-                F.count_if(F.col("no") & F.lit(policy["mode"] == "enforce")).alias("denied"),
-                F.count_if(F.col("no") & F.lit(policy["mode"] != "enforce")).alias("would_deny"),
-                *(F.min(F.when(F.col("no"), F.col("fact_id"))).alias("first_sample") for _ in range(samples > 0)),
-            ).select(F.lit(policy["name"]).alias("policy_set"), "*")
-        )
-    return reduce(DataFrame.unionByName, out)
+    """policy_set, total, denied, would_deny, rule_ids and sample_fact_ids of each set.
+
+    rule_ids are up to `samples` rules that denied (posture: the set's default did), sample_fact_ids the smallest fact ids that
+    it denies or would deny; both in order. All sets are judged in one pass over the facts.
+    """
+    names = {p["name"]: p["mode"] for p in sets}
+    no = [F.when(v["verdict"] == "deny", F.struct(F.lit(p["name"]).alias("policy_set"), F.coalesce(v["rule_id"], F.lit("posture")).alias("rule"))) for p in sets for v in [_verdict(p)]]
+    hits = facts.select("fact_id", F.explode(F.array_compact(F.array(*no))).alias("no")).select("fact_id", "no.*")
+    counts = hits.groupBy("policy_set").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set("rule")), 1, samples).alias("rule_ids"))
+    place = F.row_number().over(W.partitionBy("policy_set").orderBy("fact_id"))
+    least = hits.select("policy_set", "fact_id").withColumn("k", place).where(F.col("k") <= samples)
+    shown = least.groupBy("policy_set").agg(F.sort_array(F.collect_list("fact_id")).alias("sample_fact_ids"))
+    every = facts.sparkSession.createDataFrame(list(names.items()), "policy_set string, mode string")
+    joined = every.crossJoin(facts.agg(F.count(F.lit(1)).alias("total"))).join(counts, "policy_set", "left").join(shown, "policy_set", "left")
+    n, none = F.coalesce("n", F.lit(0)), F.array().cast("array<string>")
+    return joined.select(
+        "policy_set", "total", F.when(F.col("mode") == "enforce", n).otherwise(0).alias("denied"), F.when(F.col("mode") != "enforce", n).otherwise(0).alias("would_deny"),
+        F.coalesce("rule_ids", none).alias("rule_ids"), F.coalesce("sample_fact_ids", none).alias("sample_fact_ids"),
+    )
+
+
+def preview_rule(facts: DataFrame, rule: dict, limit: int = 1000, samples: int = 3) -> DataFrame:
+    """matched, sampled and sample (fact_id, predicate, vertical, recorder) of one rule over the `limit` latest active facts."""
+    latest = facts.where("status = 'active' AND retracted_at IS NULL").orderBy(F.desc("recorded_at"), F.desc("fact_id")).limit(limit)
+    judged = latest.select(_rule(rule).alias("hit"), F.struct("recorded_at", "fact_id", "predicate", "vertical", "recorder").alias("f"))
+    found = F.reverse(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("f")))))
+    sample = F.transform(F.slice(found, 1, samples), lambda f: f.dropFields("recorded_at"))
+    return judged.agg(F.count_if("hit").alias("matched"), F.count(F.lit(1)).alias("sampled"), sample.alias("sample"))

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from factloom.operators.graph import derived_closure, written
+from factloom.operators.slots import RUN, resolve_single
+
 SLOT = ["entity_id", "predicate", "user_id", "derived_version"]
 OUT = (
     "fact_id string, status string, valid_until timestamp, prior_valid_until timestamp, superseded_by string, corroborates string, "
@@ -100,11 +103,14 @@ def _cosine(a, b) -> float:
 
 
 def fold_slot(rows: Iterable[dict], now: datetime, cfg: Config) -> Iterator[dict]:
-    """The rows of one slot, in arrival order, with what became of each.
-
-    Only facts that are active or competing are held; the others are settled and go out as soon as they are.
-    """
+    """The rows of one slot, in arrival order, with what became of each."""
     held: list[dict] = []
+    yield from fold_arrivals(rows, held, now, cfg)
+    yield from held
+
+
+def fold_arrivals(rows: Iterable[dict], held: list[dict], now: datetime, cfg: Config) -> Iterator[dict]:
+    """Rows that are settled by facts arriving in a slot; held, its facts that are active or competing, changes with them."""
     year = 365 * 86400.0
     for new in rows:
         kind, event = new["semantics"], new["semantics"] == "events"
@@ -154,21 +160,21 @@ def fold_slot(rows: Iterable[dict], now: datetime, cfg: Config) -> Iterator[dict
                 if event and day(f) >= day(new):
                     f["status"] = "competing"
             yield from losers
-            held = [f for f in held if f["status"] != "superseded"]
+            held[:] = [f for f in held if f["status"] != "superseded"]
         else:
             new |= {"outcome": "COMPETING", "status": "competing"}
             for f in pool:
                 f["status"] = "competing"
         held.append(new)
-    yield from held
 
 
-def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config()) -> DataFrame:
+def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config(), run: int = RUN) -> DataFrame:
     """OUT columns for each fact of slots that are not append-only, as taking_part() has them.
 
     facts: SLOT, fact_id, object, semantics (single_active, bitemporal or events), confidence, declared_trust, learned_trust,
     authority, origin_key, embedding, valid_from, valid_until, recorded_at. Scores and trust are joined on before; only the
-    decision that depends on arrival order is folded.
+    decision that depends on arrival order is folded: slots of one active fact by slots.resolve_single, which splits hot ones,
+    the others one slot at a time.
     """
     arrow = to_arrow_schema(StructType.fromDDL(OUT))
     cut = pd.Timestamp(now, tz="UTC")
@@ -192,8 +198,16 @@ def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config()) -> DataFra
 
     stamps = {c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_until", "recorded_at")}
     rows = taking_part(facts).select(*SLOT, *NEEDED, "stored", "status").withColumns(stamps)
+    chained = F.col("semantics").eqNullSafe("single_active")
+    if "stored" in facts.columns:
+        # A slot with several stored active facts is no chain yet; its next fact makes it one.
+        active = F.when(F.col("stored") & (F.col("status") == "active"), 1)
+        rows = rows.withColumn("__several", F.count(active).over(W.partitionBy(*SLOT)) > 1)
+        chained = chained & ~F.col("__several")
+    single = resolve_single(rows.where(chained).drop("__several"), SLOT, now, cfg, OUT, run)
+    rows = rows.where(~chained).drop("__several")
     sorted_slots = rows.repartition(*SLOT).sortWithinPartitions(*SLOT, F.desc("stored"), "recorded_at", "fact_id")
-    return sorted_slots.mapInArrow(gathered, OUT)
+    return single.unionByName(sorted_slots.mapInArrow(gathered, OUT))
 
 
 def explain_conflicts(resolved: DataFrame) -> DataFrame:
@@ -224,21 +238,35 @@ def predict_outcomes(current: DataFrame, candidates: DataFrame, now: str, cfg: C
     return resolved.select("fact_id", "outcome", "score", "best_opponent", "dominant")
 
 
-def retract(facts: DataFrame, ids: DataFrame, now: Column, reason: str) -> DataFrame:
-    """Facts with the ids (fact_id) retracted; facts that they had superseded are active again with their earlier end."""
-    hit = ids.select("fact_id").distinct()
-    marked = facts.join(hit.withColumn("__hit", F.lit(True)), "fact_id", "left")
-    back = marked.join(hit.select(F.col("fact_id").alias("__by"), F.lit(True).alias("__back")), F.col("superseded_by") == F.col("__by"), "left")
-    revive = F.col("__back") & (F.col("status") == "superseded") & F.col("__hit").isNull()
-    return back.select(
-        *(c for c in facts.columns if c not in ("status", "retracted_at", "valid_until", "superseded_by", "prior_valid_until")),
-        F.when(F.col("__hit"), "retracted").when(revive, "active").otherwise(F.col("status")).alias("status"),
-        F.when(F.col("__hit"), F.coalesce("retracted_at", now)).otherwise(F.col("retracted_at")).alias("retracted_at"),
-        F.when(revive, F.col("prior_valid_until")).otherwise(F.col("valid_until")).alias("valid_until"),
-        F.when(~F.coalesce(revive, F.lit(False)), F.col("superseded_by")).alias("superseded_by"),
-        F.when(~F.coalesce(revive, F.lit(False)), F.col("prior_valid_until")).alias("prior_valid_until"),
-        F.when(F.col("__hit"), reason).alias("retraction_reason"),
-    )
+def retract(facts: DataFrame, ids: DataFrame, links: DataFrame, now: Column, reason: str) -> DataFrame:
+    """facts with those of ids (fact_id) retracted, all that derives from them (links: fact_id, parent) as well, and facts that
+    they had superseded active again with their earlier end.
+
+    A fact that is retracted already keeps its state, and nothing goes or comes back because of it; nor does the cascade pass
+    through it. The end of a retracted fact stays if it has one and is `now` otherwise; what is derived ends now. Only facts
+    superseded by one of ids come back, with retraction_reason 'superseded' where facts have that column.
+    """
+    open_ = facts.where("retracted_at IS NULL").select("fact_id")
+    hit = written(ids.select("fact_id").distinct().join(open_, "fact_id", "left_semi"))
+    below = derived_closure(links.select("fact_id", "parent").join(open_, "fact_id", "left_semi"), hit)
+    flag = lambda df, name: df.select(F.col("fact_id").alias(f"__{name}_id"), F.lit(True).alias(f"__{name}"))
+    marked = facts.join(flag(hit, "hit"), F.col("fact_id") == F.col("__hit_id"), "left").join(flag(below, "low"), F.col("fact_id") == F.col("__low_id"), "left")
+    marked = marked.join(flag(hit, "by"), F.col("superseded_by") == F.col("__by_id"), "left")
+    root, low, by = (F.coalesce(f"__{n}", F.lit(False)) for n in ("hit", "low", "by"))
+    back = by & (F.col("status") == "superseded") & ~root & ~low
+    old_reason = F.col("retraction_reason") if "retraction_reason" in facts.columns else F.lit(None).cast("string")
+    if "retraction_reason" in facts.columns:
+        back = back & F.coalesce(old_reason == "superseded", F.lit(False))
+    end = F.when(root, F.coalesce("valid_until", now)).when(low, now).when(back, F.col("prior_valid_until")).otherwise(F.col("valid_until"))
+    made = {
+        "status": F.when(root | low, "retracted").when(back, "active").otherwise(F.col("status")),
+        "retracted_at": F.when(root | low, now).otherwise(F.col("retracted_at")),
+        "valid_until": end,
+        "superseded_by": F.when(~back, F.col("superseded_by")),
+        "prior_valid_until": F.when(~back, F.col("prior_valid_until")),
+        "retraction_reason": F.when(root, reason).when(low, f"parent retracted: {reason}").when(~back, old_reason),
+    }
+    return marked.select(*(c for c in facts.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def apply_corroboration(facts: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.vectors import norm
 from factloom.operators.neighbours import exact_knn
 
 #: BM25's constants; the usual ones.
 K1, B = 1.2, 0.75
-#: Beyond any distance of two unit vectors.
-FARTHEST = 3.0
 
 
 def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") -> DataFrame:
@@ -23,20 +18,6 @@ def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") ->
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def approx_knn(queries: DataFrame, vectors: DataFrame, k: int, over: int = 4) -> DataFrame:
-    """As exact_knn by locality-sensitive hashing with an exact re-score; queries that find fewer than k fall back to exact_knn."""
-    unit = lambda c: array_to_vector(F.transform(F.col(c), lambda x: x.cast("double") / F.when(norm(F.col(c)) > 0, norm(F.col(c))).otherwise(1.0)))
-    v = vectors.where(norm(F.col("embedding")) > 0).select("fact_id", "embedding", unit("embedding").alias("unit"))
-    q = queries.where(norm(F.col("q")) > 0).select("query_id", "q", unit("q").alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.6, numHashTables=6, seed=3).fit(v)
-    near = model.approxSimilarityJoin(q, v, FARTHEST, "distance").select("datasetA.query_id", "datasetB.fact_id", "distance")
-    found = near.select("query_id", "fact_id", (1 - F.col("distance") ** 2 / 2).alias("similarity"))
-    first = top_k_per_query(top_k_per_query(found, "similarity", min(over * k, 1000)), "similarity", k)
-    full = first.where(F.col("rank") == k).select("query_id")
-    missed = queries.join(full, "query_id", "left_anti")
-    return first.join(full, "query_id", "left_semi").unionByName(exact_knn(missed, vectors, k))
-
-
 def tokens(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -98,7 +79,7 @@ def bm25_any_term(queries: DataFrame, docs: DataFrame, fields: list[str], k: int
 def same_group_pairs(facts: DataFrame, keys: list[str], min_sim: float) -> DataFrame:
     """Pairs (fact_id < fact_id_b) with equal keys, overlapping intervals and a cosine of min_sim or more."""
     from factloom.functions.vectors import cosine
-    from factloom.operators.temporal import overlap_join
+    from factloom.operators.intervals import overlap_join
 
     pairs = overlap_join(facts, facts, keys).where("fact_id < fact_id_b")
     return pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("embedding_b"))).where(F.col("similarity") >= min_sim)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.intervals import covering_lookup
+
 HIDDEN = ("compacted", "corroborating")
 
 
@@ -68,27 +70,15 @@ def overlap_boost_pool(facts: DataFrame, moment: str | Column) -> DataFrame:
     return facts.where(live(at(moment)))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs with equal keys whose half-open intervals overlap; b's other columns get the suffix _b."""
-    right = b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys))
-    before = lambda start, end: F.col(end).isNull() | (F.col(start) < F.col(end))
-    return a.join(right, keys).where(before("valid_from", "valid_until_b") & before("valid_from_b", "valid_until"))
-
-
 def as_of_lookup(probes: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each probe (keys, at) with the latest fact that started at or before it, if its interval covers `at`.
+    """Each probe (keys, at) with the latest started fact that held at `at`, as facts_as_of says; null where none did.
 
-    One pass over both sides, sorted by time within a key; no pairs are made.
+    A fact that started later but has ended, or had been retracted by then, does not hide one that still covers `at`.
     """
-    columns = [c for c in facts.columns if c not in keys]
-    held = F.struct(*(F.col(c).alias(c) for c in columns))
-    both = facts.select(*keys, F.col("valid_from").alias("__t"), held.alias("__fact"), *(F.lit(None).alias(c) for c in probes.columns if c not in keys)).withColumn("__probe", F.lit(1)).unionByName(
-        probes.withColumn("__t", F.col("at")).withColumn("__probe", F.lit(2)), allowMissingColumns=True
-    )
-    order = W.partitionBy(*keys).orderBy("__t", "__probe", "__fact.fact_id").rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("__fact", F.last("__fact", ignorenulls=True).over(order)).where("__probe = 2")
-    inside = F.col("__fact.valid_until").isNull() | (F.col("__fact.valid_until") > F.col("at"))
-    return seen.select(*probes.columns, *(F.when(inside, F.col(f"__fact.{c}")).alias(c) for c in columns))
+    ended = F.least("valid_until", F.col("retracted_at").cast(facts.schema["valid_until"].dataType))
+    shown = facts.where(~F.col("status").isin(*HIDDEN)).withColumns({"__until": F.col("valid_until"), "valid_until": ended})
+    found = covering_lookup(probes, shown, keys, ["fact_id"])
+    return found.withColumn("valid_until", F.col("__until")).drop("__until").select(*probes.columns, *(c for c in facts.columns if c not in keys))
 
 
 def timeline(facts: DataFrame, slot: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from factloom.functions.vectors import cosine
+from factloom.operators.graph import written
 
 # Stop words by language, ranges of scripts with their thresholds, month names.
 STOP_WORDS = {
@@ -35,6 +36,11 @@ SCRIPTS = {
     "hangul": r"[가-힯]",
     "han": r"[一-鿿㐀-䶿\x{20000}-\x{2A6DF}]",
 }
+# Letters of scripts that set words apart by blanks; trailers, markers, types and the least length of a body by which commits are judged.
+SPACED = "A-Za-zÀ-ɏЀ-ӿ"
+TRAILERS = ("decision", "why", "rationale", "breaking change", "breaking-change", "gotcha", "invariant")
+MARKERS = ("because", "so that", "in order to", "instead of", "rather than", "to avoid", "to prevent", "otherwise", "the reason")
+SELDOM, DECIDING, BODY = ("chore", "style", "ci", "build", "test", "docs"), ("feat", "fix", "refactor", "perf", "revert"), 80
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -114,16 +120,27 @@ def language_mix(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("language").agg(F.count("*").alias("n"))
 
 
-def check_grounding(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """claims (claim_id, entity_id, doc_id, name, value) with reason: null where both the entity's name and the value occur in the
-    document on word boundaries, else ungrounded_entity or ungrounded_value."""
-    def inside(span: str) -> Column:
-        quoted = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])\Q"), F.regexp_replace(F.col(span), r"\\E", ""), F.lit(r"\E(?![\p{L}\p{N}])"))
-        return F.coalesce(F.regexp_like("text", quoted), F.lit(False))
+def normal_span(text: Column) -> Column:
+    """In lower case, trimmed, each run of white space one blank."""
+    return F.lower(F.trim(F.regexp_replace(text, r"[\s\p{Z}\x{FEFF}]+", " ")))
+
+
+def holds_span(text: Column, span: Column) -> Column:
+    """Does a normal text hold a normal span? At an edge that is a letter of a script with spaces between words, the span
+    must not go on as such a letter; other scripts need no bounds. An empty span is in no text."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(span, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    bound = lambda edge, rule: F.when(F.regexp_like(edge, F.lit(f"[{SPACED}]")), rule).otherwise("")
+    before, after = bound(F.substring(span, 1, 1), f"(?<![{SPACED}])"), bound(F.substring(span, -1, 1), f"(?![{SPACED}])")
+    return F.coalesce((span != "") & F.regexp_like(text, F.concat(before, quoted, after)), F.lit(False))
+
 
-    joined = claims.join(docs.select("doc_id", "text"), "doc_id", "left")
+def check_grounding(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """claims (claim_id, entity_id, doc_id, name, value) with reason: null where the document holds both the entity's name and the
+    value as spans of their own, else ungrounded_entity or ungrounded_value."""
+    joined = claims.join(docs.select("doc_id", normal_span(F.col("text")).alias("__text")), "doc_id", "left")
+    inside = lambda span: holds_span(F.col("__text"), normal_span(F.col(span)))
     reason = F.when(~inside("name"), "ungrounded_entity").when(~inside("value"), "ungrounded_value")
-    return joined.withColumn("reason", reason).drop("text")
+    return joined.withColumn("reason", reason).drop("__text")
 
 
 def chunk_documents(docs: DataFrame, target: int = 12_000, most: int = 16_000, overlap: int = 400, least_share: float = 0.5) -> DataFrame:
@@ -190,19 +207,23 @@ def extract_periods(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def classify_commits(commits: DataFrame) -> DataFrame:
-    """commits (subject, body) with decision (does it record one?) and the first rule that says so."""
-    text = F.concat_ws("\n", "subject", "body")
-    has = lambda rule: F.regexp_like(text, F.lit(rule))
+    """commits (subject, body, perhaps pr_body) with rule, the first that holds, and decision (does the commit record one?).
+
+    Rules in order: merge; a decision trailer in the body; a type that seldom decides, without a body of BODY characters or a
+    marker of rationale in body or pr_body; such a marker; a type that decides, with such a body; such a body of any type.
+    """
+    subject, body = F.trim(F.coalesce("subject", F.lit(""))), F.regexp_replace(F.coalesce("body", F.lit("")), r"^\s+|\s+$", "")
+    more = F.coalesce("pr_body", F.lit("")) if "pr_body" in commits.columns else F.lit("")
+    prose = F.lower(F.concat_ws("\n", body, more))
+    kind = F.regexp_extract(subject, r"^([a-z]+)(?:\([^)]*\))?!?:", 1)
+    trailer = F.regexp_like(body, F.lit(rf"(?im)^[^\S\n]*(?:{'|'.join(TRAILERS)}):[^\S\n]+\S"))
+    why = reduce(lambda a, b: a | b, (F.contains(prose, F.lit(m)) for m in MARKERS))
+    long = F.char_length(body) >= BODY
     rule = (
-        F.when(F.regexp_like("subject", F.lit(r"(?i)^merge (branch|pull request|remote)")), "merge")
-        .when(has(r"(?im)^(decision|rationale|why|breaking[ -]change):"), "trailer")
-        .when(F.regexp_like("subject", F.lit(r"(?i)^(revert|refactor|perf|feat|fix)(\([^)]*\))?!:")), "breaking")
-        .when(F.regexp_like("subject", F.lit(r"(?i)^(chore|style|docs|test|ci|build)(\([^)]*\))?:")), "routine")
-        .when(has(r"(?i)\b(because|instead of|in favou?r of|rather than|so that|trade-?off)\b"), "rationale")
-        .when(F.char_length(F.trim(F.coalesce("body", F.lit("")))) >= 80, "body")
-        .otherwise("short")
-    )
-    return commits.withColumn("rule", rule).withColumn("decision", F.col("rule").isin("trailer", "breaking", "rationale", "body"))
+        F.when(F.regexp_like(subject, F.lit(r"^Merge (branch|pull request|remote-tracking) ")), "merge").when(trailer, "trailer")
+        .when(kind.isin(*SELDOM) & ~long & ~why, "routine").when(why, "rationale").when(kind.isin(*DECIDING) & long, "typed_body").when(long, "body").otherwise("short")
+    )
+    return commits.withColumn("rule", rule).withColumn("decision", F.col("rule").isin("trailer", "rationale", "typed_body", "body"))
 
 
 def gate_pipeline(extra: list[str], features: int = 1 << 15) -> Pipeline:
@@ -217,19 +238,52 @@ def train_gate(labelled: DataFrame, extra: list[str]) -> PipelineModel:
     return gate_pipeline(extra).fit(labelled)
 
 
-def dedupe_mentions(lines: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
-    """lines (query_id, seq, text) without those of whose smaller word set `share` or more is in an earlier kept line's.
+def _overlapping(sets: DataFrame, share: float) -> DataFrame:
+    """early, late: ids of sets (id, query_id, t, place) of one query that share `share` or more of the smaller one's words.
 
-    What is kept depends on what was kept before, so each query's bounded list of lines is folded in order.
+    The smaller of two such sets has a shared word among its size - ceil(share * size) + 1 rarest words of the query.
     """
-    tokens = F.array_distinct(letter_words(F.regexp_replace(F.regexp_replace("text", r"^\[[^\]]*\]\s*", ""), r"^[^:]{0,40}:\s*", "")))
-    per = lines.withColumn("__t", tokens).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "__t"))).alias("l"))
+    size = F.size("t")
+    words = sets.select("query_id", "id", F.explode("t").alias("w"))
+    many = words.groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.join(many, ["query_id", "w"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("by_n"))
+    sized = sets.withColumn("s", size).select("id", "query_id", "place", "s").join(ranked, "id")
+    posts = sized.select("query_id", "id", "s", "place", F.posexplode(F.transform("by_n", lambda x: x["w"])).alias("at", "w"))
+    first = posts.where(F.col("at") < F.col("s") - F.ceil(F.lit(share) * F.col("s")) + 1).select("query_id", "w", F.col("id").alias("a"), F.col("s").alias("s_a"), F.col("place").alias("p_a"))
+    larger = (F.col("s") > F.col("s_a")) | (F.col("s") == F.col("s_a")) & (F.col("id") > F.col("a"))
+    met = first.join(posts, ["query_id", "w"]).where(larger).select("a", F.col("id").alias("b"), (F.col("p_a") < F.col("place")).alias("in_order")).distinct()
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("t").alias(f"t_{c}"))
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    near = met.join(side("a"), "a").join(side("b"), "b").where(shared >= share * F.least(F.size("t_a"), F.size("t_b")))
+    return near.select(F.when(F.col("in_order"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("in_order"), F.col("b")).otherwise(F.col("a")).alias("late"))
 
-    def repeats(kept: Column, x: Column) -> Column:
-        return F.exists(kept, lambda k: (F.least(F.size(k["__t"]), F.size(x["__t"])) >= least) & (F.size(F.array_intersect(k["__t"], x["__t"])) >= share * F.least(F.size(k["__t"]), F.size(x["__t"]))))
 
-    kept = F.aggregate("l", F.slice("l", 1, 0), lambda acc, x: F.when(repeats(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return per.select("query_id", F.explode(kept).alias("k")).select("query_id", "k.seq", "k.text")
+def dedupe_mentions(lines: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
+    """lines (query_id, seq, text) without those of whose smaller word set `share` or more is in an earlier kept line's.
+
+    Lines of fewer than `least` words stay and drop none. Of lines with equal words only the first can stay. Then pairs of
+    overlapping sets are found, and rounds settle lines: one that no unsettled or kept line comes before stays, and drops
+    those it overlaps. Lines of one seq stand in order of their text; null texts have no words.
+    """
+    tokens = F.array_distinct(letter_words(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\[[^\]]*\]\s*", ""), r"^[^:]{0,40}:\s*", "")))
+    rows = lines.select("query_id", "seq", "text", F.sort_array(tokens).alias("t"))
+    nth = F.row_number().over(W.partitionBy("query_id", "t").orderBy("seq", "text"))
+    long = F.size("t") >= least
+    ones = rows.where(long).withColumn("n", nth).where("n = 1").drop("n")
+    sets = written(ones.withColumns({"id": F.monotonically_increasing_id(), "place": F.struct("seq", "text")}))
+    pairs, dropped = written(_overlapping(sets, share)), []
+    while not pairs.isEmpty():
+        waiting = pairs.select(F.col("late").alias("early")).distinct()
+        gone = written(pairs.join(waiting, "early", "left_anti").select("late").distinct())
+        dropped.append(gone)
+        left = pairs.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti")
+        # What comes before no unsettled line is settled: its pairs went with those it dropped.
+        pairs = written(left)
+    stay = sets
+    if dropped:
+        stay = sets.join(reduce(DataFrame.unionByName, dropped).select(F.col("late").alias("id")), "id", "left_anti")
+    columns = ["query_id", "seq", "text"]
+    return rows.where(~long).select(columns).unionByName(stay.select(columns))
 
 
 def prefix_table(names: DataFrame, shortest: int = 2, longest: int = 15, k: int = 10) -> DataFrame:

@@ -150,6 +150,24 @@ def res1(w: World) -> DataFrame:
     return out.select("fact_id", "outcome", "status", "superseded_by", "corroborates", F.col("valid_until").cast("string").alias("valid_until"))
 
 
+@query("res3_single_active", f"""
+WITH RECURSIVE f AS (SELECT fact_id, entity_id, user_id, derived_version, object, origin_key, valid_from, valid_until, row_number() OVER slot AS k
+ FROM facts WHERE predicate = 'order_status' AND retracted_at IS NULL WINDOW slot AS (PARTITION BY entity_id, user_id, derived_version ORDER BY recorded_at, fact_id)),
+walk AS (SELECT *, fact_id AS a, object AS ao, origin_key AS ag, valid_from AS av, 'INSERTED' AS outcome, NULL::VARCHAR AS other, NULL::VARCHAR AS closes FROM f WHERE k = 1
+ UNION ALL SELECT s.fact_id, s.entity_id, s.user_id, s.derived_version, s.object, s.origin_key, s.valid_from, s.valid_until, s.k, CASE WHEN t THEN s.fact_id ELSE a END, CASE WHEN t THEN s.object ELSE ao END, CASE WHEN t THEN s.origin_key ELSE ag END, CASE WHEN t THEN s.valid_from ELSE av END,
+  CASE WHEN c THEN 'CORROBORATED' WHEN t THEN 'SUPERSEDED' ELSE 'INSERTED_HISTORICAL' END, CASE WHEN NOT t THEN a END, CASE WHEN t THEN a END
+ FROM (SELECT f.*, w.a, w.ao, w.ag, w.av, f.object = w.ao AND f.origin_key IS DISTINCT FROM w.ag AS c, NOT (f.object = w.ao AND f.origin_key IS DISTINCT FROM w.ag) AND f.valid_from >= w.av AS t
+  FROM walk w JOIN f ON f.k = w.k + 1 AND f.entity_id = w.entity_id AND f.user_id IS NOT DISTINCT FROM w.user_id AND f.derived_version IS NOT DISTINCT FROM w.derived_version) s),
+gone AS (SELECT closes, fact_id, valid_from FROM walk WHERE closes IS NOT NULL)
+SELECT w.fact_id, w.outcome, CASE w.outcome WHEN 'CORROBORATED' THEN 'corroborating' WHEN 'INSERTED_HISTORICAL' THEN 'superseded' ELSE CASE WHEN g.fact_id IS NULL THEN 'active' ELSE 'superseded' END END AS status,
+ CASE WHEN w.outcome = 'INSERTED_HISTORICAL' THEN other ELSE g.fact_id END AS superseded_by, CASE WHEN w.outcome = 'CORROBORATED' THEN other END AS corroborates,
+ CAST(CASE WHEN w.outcome = 'INSERTED_HISTORICAL' THEN av WHEN g.fact_id IS NOT NULL THEN g.valid_from ELSE w.valid_until END AS VARCHAR) AS valid_until
+FROM walk w LEFT JOIN gone g ON g.closes = w.fact_id""", "facts")
+def res3(w: World) -> DataFrame:
+    out = R.resolve_facts(_incoming(w).where("semantics = 'single_active'"), "1999-06-01")
+    return out.select("fact_id", "outcome", "status", "superseded_by", "corroborates", F.col("valid_until").cast("string").alias("valid_until"))
+
+
 @query("res2_append_only", """
 WITH f AS (SELECT * FROM facts WHERE predicate = 'summary_profile' AND retracted_at IS NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, user_id, derived_version, object ORDER BY recorded_at, fact_id) AS k FROM f),
@@ -185,12 +203,18 @@ def res7(w: World) -> DataFrame:
     return R.predict_outcomes(rows.where("n % 10 <> 4"), rows.where("n % 10 = 4"), "1999-06-01").select("fact_id", "outcome")
 
 
-@query("res8_retract", """
-WITH hit AS (SELECT fact_id FROM facts WHERE n % 40 = 9), r AS (SELECT f.*, f.fact_id IN (SELECT fact_id FROM hit) AS h, f.superseded_by IS NOT NULL AND f.superseded_by IN (SELECT fact_id FROM hit) AND status = 'superseded' AND f.fact_id NOT IN (SELECT fact_id FROM hit) AS b FROM facts f)
-SELECT fact_id, CASE WHEN h THEN 'retracted' WHEN b THEN 'active' ELSE status END AS status, CAST(CASE WHEN b THEN prior_valid_until ELSE valid_until END AS VARCHAR) AS valid_until FROM r""", "facts")
+@query("res8_retract", f"""
+WITH RECURSIVE hit AS (SELECT fact_id FROM facts WHERE n % 40 = 9 AND retracted_at IS NULL),
+down AS (SELECT l.fact_id FROM links l JOIN hit h ON l.parent = h.fact_id JOIN facts f ON f.fact_id = l.fact_id AND f.retracted_at IS NULL
+ UNION SELECT l.fact_id FROM down d JOIN links l ON l.parent = d.fact_id JOIN facts f ON f.fact_id = l.fact_id AND f.retracted_at IS NULL),
+r AS (SELECT f.*, f.fact_id IN (FROM hit) AS h, f.fact_id IN (FROM down) AS d, coalesce(f.superseded_by IN (FROM hit), false) AND status = 'superseded' AS b FROM facts f)
+SELECT fact_id, CASE WHEN h OR d THEN 'retracted' WHEN b THEN 'active' ELSE status END AS status, CASE WHEN h THEN 'wrong' WHEN d THEN 'parent retracted: wrong' END AS reason,
+ CAST(CASE WHEN h OR d THEN {NOW} ELSE retracted_at END AS VARCHAR) AS retracted_at,
+ CAST(CASE WHEN h THEN coalesce(valid_until, {NOW}) WHEN d THEN {NOW} WHEN b THEN prior_valid_until ELSE valid_until END AS VARCHAR) AS valid_until FROM r""", "facts links")
 def res8(w: World) -> DataFrame:
-    out = R.retract(w.facts, w.facts.where("n % 40 = 9"), F.expr(NOW).cast("timestamp_ntz"), "wrong")
-    return out.select("fact_id", "status", F.col("valid_until").cast("string").alias("valid_until"))
+    out = R.retract(w.facts, w.facts.where("n % 40 = 9"), w.links, F.expr(NOW).cast("timestamp_ntz"), "wrong")
+    text = {c: F.col(c).cast("string") for c in ("retracted_at", "valid_until")}
+    return out.select("fact_id", "status", F.col("retraction_reason").alias("reason"), *(c.alias(n) for n, c in text.items()))
 
 
 @query("res9_apply_corroboration", """

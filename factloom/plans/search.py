@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.vectors import cosine
 from factloom.operators import evaluation as E
+from factloom.operators import inverted
 from factloom.operators import retrieval as R
 from factloom.operators import similarity as S
 from factloom.operators.neighbours import within
@@ -41,7 +42,7 @@ def k1(w: World) -> DataFrame:
 
 @query("k2_approx_knn")
 def k2(w: World) -> DataFrame:
-    return S.approx_knn(_queries(w), _vectors(w), 10)
+    return inverted.approx_knn(_queries(w), _vectors(w), 10)
 
 
 @query("k13_nearest_rules", f"""
@@ -315,7 +316,7 @@ def e1(w: World) -> DataFrame:
 
 @query("e2_bootstrap_ci")
 def e2(w: World) -> DataFrame:
-    return E.bootstrap_ci(w.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value")), 200)
+    return E.bootstrap_ci(w.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value")))
 
 
 @query("e3_identity_f1", """

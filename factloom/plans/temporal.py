@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import filters as L
+from factloom.operators import intervals as I
 from factloom.operators import temporal as T
 from factloom.plans.catalog import NOW, World, query
 
@@ -122,18 +123,20 @@ def f18(w: World) -> DataFrame:
 SELECT a.entity_id, count(*) AS n FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id
  AND (b.valid_until IS NULL OR a.valid_from < b.valid_until) AND (a.valid_until IS NULL OR b.valid_from < a.valid_until) GROUP BY 1""", "facts")
 def j4(w: World) -> DataFrame:
-    pairs = T.overlap_join(w.facts, w.facts, ["entity_id", "predicate"]).where("fact_id < fact_id_b")
+    pairs = I.overlap_join(w.facts, w.facts, ["entity_id", "predicate"]).where("fact_id < fact_id_b")
     return pairs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j5_as_of_lookup", f"""
-WITH probes AS (SELECT DISTINCT entity_id, {PAST} AS moment FROM facts),
-best AS (SELECT p.entity_id, arg_max(struct_pack(f := f.fact_id, e := f.valid_until), struct_pack(a := f.valid_from, b := f.fact_id)) AS m, p.moment
- FROM probes p LEFT JOIN facts f ON f.entity_id = p.entity_id AND f.valid_from <= p.moment GROUP BY p.entity_id, p.moment)
-SELECT entity_id, CASE WHEN m.e IS NULL OR m.e > moment THEN m.f END AS fact_id FROM best""", "facts")
+WITH probes AS (SELECT DISTINCT entity_id, predicate, TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(180 * k AS INTEGER)) AS moment FROM facts, range(8) AS r(k)),
+held AS (SELECT p.*, f.fact_id, row_number() OVER (PARTITION BY p.entity_id, p.predicate, p.moment ORDER BY f.valid_from DESC, f.fact_id DESC) AS k
+ FROM probes p LEFT JOIN facts f ON f.entity_id = p.entity_id AND f.predicate = p.predicate AND f.valid_from <= p.moment AND (f.valid_until IS NULL OR f.valid_until > p.moment)
+ AND (f.retracted_at IS NULL OR f.retracted_at > p.moment) AND f.{LIVE})
+SELECT entity_id, predicate, CAST(moment AS VARCHAR) AS at, fact_id FROM held WHERE k = 1""", "facts")
 def j5(w: World) -> DataFrame:
-    probes = w.facts.select("entity_id").distinct().withColumn("at", F.expr(PAST))
-    return T.as_of_lookup(probes, w.facts, ["entity_id"]).select("entity_id", "fact_id")
+    slots = w.facts.select("entity_id", "predicate").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    probes = slots.select("entity_id", "predicate", F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(180 * k)").alias("at"))
+    return T.as_of_lookup(probes, w.facts, ["entity_id", "predicate"]).select("entity_id", "predicate", F.col("at").cast("string").alias("at"), "fact_id")
 
 
 @query("w3_timeline", "SELECT fact_id, CAST(lead(valid_from) OVER (PARTITION BY entity_id, predicate ORDER BY valid_from, fact_id) AS VARCHAR) AS ends FROM facts", "facts")

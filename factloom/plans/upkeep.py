@@ -38,15 +38,24 @@ def x2b(w: World) -> DataFrame:
     return X.language_mix(X.tag_language(w.documents))
 
 
-@query("x3_check_grounding", """
-WITH c AS (SELECT doc_id, string_split(text, ' ')[1] AS name, string_split(reverse(text), ' ')[1] AS value, text FROM documents),
-k AS (SELECT doc_id, regexp_replace(name, '[^\\p{L}]', '', 'g') AS name, regexp_replace(value, '[^\\p{L}]', '', 'g') AS value, text FROM c)
-SELECT doc_id AS claim_id, CASE WHEN NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || lower(name) || '($|[^\\p{L}\\p{N}])') THEN 'ungrounded_entity'
- WHEN NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || lower(value) || '($|[^\\p{L}\\p{N}])') THEN 'ungrounded_value' END AS reason FROM k WHERE name <> '' AND value <> ''""")
+#: Spans cut out of the texts and of made-up ones: inside words, at their bounds, of a script without blanks, with signs of patterns.
+CLAIMS = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('私は東京大学に行く ', text) WHEN 1 THEN concat(text, ' (c++) ÉTÉ') ELSE text END AS text,
+ CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 8 = 0 THEN '東京' ELSE '大阪' END WHEN 1 THEN CASE WHEN doc_id % 8 = 1 THEN 'été' ELSE 'ét' END ELSE substr(text, 4, 6) END AS name,
+ CASE doc_id % 3 WHEN 0 THEN substr(text, 9, 5) WHEN 1 THEN '(C++)' ELSE '.' END AS value FROM documents"""
+
+
+@query("x3_check_grounding", f"""
+WITH c AS ({CLAIMS}),
+k AS (SELECT doc_id, {{0}} AS t, {{1}} AS n, {{2}} AS v FROM c),
+r AS (SELECT doc_id, t, n, v, regexp_escape(n) AS qn, regexp_escape(v) AS qv, '[A-Za-zÀ-ɏЀ-ӿ]' AS w, '(^|[^A-Za-zÀ-ɏЀ-ӿ])' AS l, '($|[^A-Za-zÀ-ɏЀ-ӿ])' AS e FROM k),
+j AS (SELECT doc_id, n <> '' AND regexp_matches(t, concat(CASE WHEN regexp_matches(n[1], w) THEN l ELSE '' END, qn, CASE WHEN regexp_matches(n[-1], w) THEN e ELSE '' END)) AS a,
+ v <> '' AND regexp_matches(t, concat(CASE WHEN regexp_matches(v[1], w) THEN l ELSE '' END, qv, CASE WHEN regexp_matches(v[-1], w) THEN e ELSE '' END)) AS b FROM r)
+SELECT doc_id AS claim_id, CASE WHEN NOT coalesce(a, false) THEN 'ungrounded_entity' WHEN NOT coalesce(b, false) THEN 'ungrounded_value' END AS reason FROM j""".format(
+    *(f"lower(trim(regexp_replace({c}, '[\\s\\pZ\\x{{FEFF}}]+', ' ', 'g')))" for c in ("text", "name", "value"))))
 def x3(w: World) -> DataFrame:
-    letters = lambda c: F.regexp_replace(c, r"[^\p{L}]", "")
-    claims = w.documents.select(F.col("doc_id").alias("claim_id"), "doc_id", letters(F.get(F.split("text", " "), 0)).alias("name"), letters(F.get(F.split(F.reverse("text"), " "), 0)).alias("value"))
-    return X.check_grounding(claims.where("name <> '' AND value <> ''"), w.documents).select("claim_id", "reason")
+    made = w.spark.sql(CLAIMS.replace("FROM documents", "FROM {documents}"), documents=w.documents)
+    return X.check_grounding(made.selectExpr("doc_id AS claim_id", "doc_id", "name", "value"), made).select("claim_id", "reason")
 
 
 @query("x4_chunk_documents")
@@ -80,11 +89,28 @@ def x6(w: World) -> DataFrame:
     return X.extract_periods(said).select("event_id", F.col("period_from").cast("string").alias("period_from"), F.col("period_to").cast("string").alias("period_to"))
 
 
-@query("x7_classify_commits", """
-SELECT event_id, CASE event_type WHEN 'click' THEN 'merge' WHEN 'view' THEN 'routine' WHEN 'error' THEN 'rationale' ELSE 'short' END AS rule, event_type = 'error' AS decision FROM events""")
+#: Commits made of the documents: subjects of all kinds, bodies that are empty, short, long, with trailers and with markers.
+COMMITS = """
+SELECT doc_id, concat(CASE doc_id % 9 WHEN 0 THEN 'Merge branch x' WHEN 1 THEN 'chore: tidy' WHEN 2 THEN 'docs(api): words' WHEN 3 THEN 'feat!: more' WHEN 4 THEN 'fix(core): less'
+ WHEN 5 THEN 'Merge of two lists' WHEN 6 THEN 'use a map instead of a list' WHEN 7 THEN 'Docs: words' ELSE 'tidy up' END, ' ') AS subject,
+ CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN concat('  ', substr(text, 1, 60), '  ') WHEN 3 THEN concat('Words\n  Why: ', substr(text, 1, 9)) WHEN 4 THEN 'Done IN ORDER TO help'
+ WHEN 5 THEN concat('Gotcha: \n', substr(text, 1, 20)) END AS body, CASE WHEN doc_id % 5 = 0 THEN 'we did it to avoid harm' END AS pr_body FROM documents"""
+
+
+@query("x7_classify_commits", rf"""
+WITH c AS ({COMMITS.replace("'Words\n  Why: '", "'Words' || chr(10) || '  Why: '").replace("'Gotcha: \n'", "'Gotcha: ' || chr(10)")}),
+p AS (SELECT doc_id, trim(subject) AS s, regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g') AS b, lower(coalesce(body, '') || chr(10) || coalesce(pr_body, '')) AS h FROM c),
+k AS (SELECT *, regexp_extract(s, '^([a-z]+)(?:\([^)]*\))?!?:', 1) AS t, length(b) >= 80 AS long,
+ len(list_filter(['because', 'so that', 'in order to', 'instead of', 'rather than', 'to avoid', 'to prevent', 'otherwise', 'the reason'], lambda m: contains(h, m))) > 0 AS why,
+ len(list_filter(list_transform(string_split(b, chr(10)), lambda x: lower(regexp_extract(trim(x), '^([A-Za-z][A-Za-z -]*):\s+.+$', 1))),
+  lambda key: key IN ('decision', 'why', 'rationale', 'breaking change', 'breaking-change', 'gotcha', 'invariant'))) > 0 AS trailer FROM p),
+r AS (SELECT doc_id, CASE WHEN regexp_matches(s, '^Merge (branch|pull request|remote-tracking) ') THEN 'merge' WHEN trailer THEN 'trailer'
+ WHEN t IN ('chore', 'style', 'ci', 'build', 'test', 'docs') AND NOT long AND NOT why THEN 'routine' WHEN why THEN 'rationale'
+ WHEN t IN ('feat', 'fix', 'refactor', 'perf', 'revert') AND long THEN 'typed_body' WHEN long THEN 'body' ELSE 'short' END AS rule FROM k)
+SELECT doc_id, rule, rule IN ('trailer', 'rationale', 'typed_body', 'body') AS decision FROM r""")
 def x7(w: World) -> DataFrame:
-    commits = w.events.selectExpr("event_id", "CASE event_type WHEN 'click' THEN 'Merge branch x' WHEN 'view' THEN 'docs: words' WHEN 'error' THEN 'use a map instead of a list' ELSE 'x' END AS subject", "'' AS body")
-    return X.classify_commits(commits).select("event_id", "rule", "decision")
+    commits = w.spark.sql(COMMITS.replace("FROM documents", "FROM {documents}"), documents=w.documents)
+    return X.classify_commits(commits).select("doc_id", "rule", "decision")
 
 
 @query("x8_train_gate")

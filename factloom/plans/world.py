@@ -99,10 +99,24 @@ def f16(w: World) -> DataFrame:
 
 
 @query("a11_policy_impact", f"""
-SELECT 'privacy' AS policy_set, count(*) AS total, count(p) AS denied, 0::BIGINT AS would_deny, min(CASE WHEN p IS NOT NULL THEN fact_id END) AS first_sample FROM (SELECT fact_id, {PRIV} AS p FROM facts)
-UNION ALL SELECT 'trial', count(*), 0, count(t), min(CASE WHEN t IS NOT NULL THEN fact_id END) FROM (SELECT fact_id, {TRIAL} AS t FROM facts)""", "facts")
+WITH v AS (SELECT fact_id, 'privacy' AS policy_set, {PRIV} AS rule FROM facts UNION ALL SELECT fact_id, 'trial', {TRIAL} FROM facts),
+r AS (SELECT policy_set, rule, row_number() OVER (PARTITION BY policy_set ORDER BY rule) AS k FROM (SELECT DISTINCT policy_set, CASE rule WHEN 'default' THEN 'posture' ELSE rule END AS rule FROM v WHERE rule IS NOT NULL)),
+s AS (SELECT policy_set, fact_id, row_number() OVER (PARTITION BY policy_set ORDER BY fact_id) AS k FROM v WHERE rule IS NOT NULL),
+n AS (SELECT policy_set, count(*) AS total, count(rule) AS no FROM v GROUP BY 1)
+SELECT policy_set, total, CASE policy_set WHEN 'privacy' THEN no ELSE 0 END AS denied, CASE policy_set WHEN 'trial' THEN no ELSE 0 END AS would_deny,
+ (SELECT string_agg(rule, ',' ORDER BY rule) FROM r WHERE r.policy_set = n.policy_set AND k <= 3) AS rule_ids,
+ (SELECT string_agg(fact_id, ',' ORDER BY fact_id) FROM s WHERE s.policy_set = n.policy_set AND k <= 3) AS sample_fact_ids FROM n""", "facts")
 def a11(w: World) -> DataFrame:
-    return P.policy_impact(w.facts, SETS)
+    return P.policy_impact(w.facts, SETS).withColumns({c: F.array_join(c, ",") for c in ("rule_ids", "sample_fact_ids")})
+
+
+@query("a11_preview_rule", f"""
+WITH f AS (SELECT * FROM facts WHERE status = 'active' AND retracted_at IS NULL ORDER BY recorded_at DESC, fact_id DESC LIMIT 1000),
+m AS (SELECT *, row_number() OVER (ORDER BY recorded_at DESC, fact_id DESC) AS k FROM f WHERE vertical IN ('billing'))
+SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM f) AS sampled, (SELECT string_agg(fact_id, ',' ORDER BY k) FROM m WHERE k <= 3) AS sample""", "facts")
+def a11_preview(w: World) -> DataFrame:
+    out = P.preview_rule(w.facts, {"id": "r", "effect": "deny", "when": [("vertical", "in", ["billing"])]})
+    return out.withColumn("sample", F.array_join(F.transform("sample", lambda f: f["fact_id"]), ","))
 
 
 @query("a1_stats_overview", f"""

@@ -90,13 +90,8 @@ def revive_other_conversations(final: DataFrame, replaced: DataFrame) -> DataFra
     """final rows that a replaced row (fact_id) had superseded, outside of the replaced conversations, active again."""
     hit = replaced.select(F.col("fact_id").alias("superseded_by"), F.lit(True).alias("__hit")).distinct()
     rows = final.join(hit, "superseded_by", "left")
-    back = F.coalesce("__hit", F.lit(False))
+    back = F.coalesce("__hit", F.lit(False)) & (F.col("status") == "superseded")
     return rows.withColumns({
         "status": F.when(back, "active").otherwise(F.col("status")), "valid_until": F.when(back, F.col("prior_valid_until")).otherwise(F.col("valid_until")),
-        "superseded_by": F.when(~back, F.col("superseded_by")),
+        "superseded_by": F.when(~back, F.col("superseded_by")), "prior_valid_until": F.when(~back, F.col("prior_valid_until")),
     }).drop("__hit")
-
-
-def promote_world(staging: DataFrame, path: str, partitions: list[str]) -> None:
-    """Replace whole partitions (derived_version, or with conversation_id) of the final table by the staged rows."""
-    staging.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import derived_closure
 from factloom.operators.policy import apply_policy
-from factloom.operators.resolution import SLOT, Config, resolve_facts
 from factloom.sources.readers import normalize_changes
 
 #: Structural fields of a change row that an audit may keep.
@@ -71,25 +69,3 @@ def stale_batches(links: Callable[[], DataFrame], sink: str) -> Callable[[DataFr
 def episodes_available(turns: DataFrame) -> DataFrame:
     """Metadata of new turns only."""
     return turns.select("turn_id", "conversation_id", "occurred_at", "user_id")
-
-
-def resolve_batches(history: str, sink: str, now: str, cfg: Config = Config()) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch joins the history of facts, and the slots that it touches are resolved again.
-
-    Both writes replace the batch's own folder, so a batch that is run twice leaves the same files.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        every = batch.sparkSession.read.parquet(history).where(F.col("batch") <= number)
-        touched = batch.select(*SLOT).distinct().alias("b")
-        mine = every.alias("h").join(touched, [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in SLOT], "left_semi")
-        resolve_facts(mine, now, cfg).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    return run
-
-
-def latest_resolution(resolved: DataFrame) -> DataFrame:
-    """Of a sink of resolve_batches, each fact as its last batch left it."""
-    last = F.row_number().over(W.partitionBy("fact_id").orderBy(F.desc("batch")))
-    return resolved.withColumn("__n", last).where("__n = 1").drop("__n", "batch")

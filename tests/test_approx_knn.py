@@ -2,13 +2,16 @@
 
 import random
 
-from factloom.operators import similarity
+import numpy as np
+import pytest
+
+from factloom.operators import inverted, similarity
 
 
 def both(spark, queries, vectors, k):
     q = spark.createDataFrame(queries, "query_id long, q array<float>")
     v = spark.createDataFrame(vectors, "fact_id long, embedding array<float>")
-    found, exact = ({(r.query_id, r.fact_id) for r in f(q, v, k).collect()} for f in (similarity.approx_knn, similarity.exact_knn))
+    found, exact = ({(r.query_id, r.fact_id) for r in f(q, v, k).collect()} for f in (inverted.approx_knn, similarity.exact_knn))
     return found, exact
 
 
@@ -25,3 +28,26 @@ def test_far_neighbours_fill_the_list(spark):
     vectors = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [-1.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0])]
     found, exact = both(spark, [(7, [1.0, 0.1, 0.0])], vectors, 4)
     assert found == exact and len(found) == 4
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_recall_and_probes_follow_the_data(spark, spread, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK", 24 * 300)  # a cell is more than one block
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24))
+    vectors = [(i, (centres[0 if i % 3 else i % 20] + spread * rng.normal(size=24)).tolist()) for i in range(3000)]
+    queries = [(i, v) for i, v in vectors if i % 50 == 0]
+    found, exact = both(spark, queries, vectors, 10)
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+    v = spark.createDataFrame(vectors, "fact_id long, embedding array<float>")
+    cells = inverted.fit_cells(v, 10)
+    assert cells.probes < len(cells.centres) / 2 or spread == 1.0
+
+
+def test_nothing_near_or_nothing_at_all(spark):
+    found, exact = both(spark, [(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], [(1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0])], 2)
+    assert found == exact
+    found, exact = both(spark, [(1, [0.0, 1.0])], [(1, [0.0, 1.0])], 2)
+    assert found == exact == {(1, 1)}
+    v = spark.createDataFrame([], "fact_id long, embedding array<float>")
+    assert inverted.approx_knn(v.withColumnsRenamed({"fact_id": "query_id", "embedding": "q"}), v, 3).count() == 0

@@ -7,7 +7,7 @@ from datetime import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import evaluation, graph, maintenance, neighbours, retrieval, sessions, similarity, temporal, text, trust
+from factloom.operators import evaluation, graph, intervals, maintenance, neighbours, retrieval, sessions, similarity, temporal, text, trust
 from factloom.operators.resolution import Config, fold_slot, resolve_facts
 from factloom.sources import readers
 
@@ -25,7 +25,7 @@ def fact(i, start, end=None, **kw):
 )
 def test_half_open_overlap(spark, a, b, meets):
     made = [spark.createDataFrame([fact(n, dt(2024, m, d), e and dt(2024, *e))], FACT) for n, (m, d, e) in (("a", a), ("b", b))]
-    assert temporal.overlap_join(*made, ["entity_id", "predicate"]).count() == int(meets)
+    assert intervals.overlap_join(*made, ["entity_id", "predicate"]).count() == int(meets)
 
 
 def test_old_value_stays_until_a_future_successor_starts(spark):
@@ -251,6 +251,23 @@ def test_bootstrap_covers_the_mean(spark):
     assert ci.low < 4.5 < ci.high and ci.high - ci.low < 1.0 and ci["mean"] == 4.5
 
 
+def test_bootstrap_rounds_are_poisson_resamples(spark):
+    import numpy as np
+
+    w = evaluation.poisson_weights(np.arange(2000), 500, 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1 and w.max() < 12
+    rows = [(i, float(i % 7)) for i in range(50)] + [(99, None)]
+    got = {r["round"]: (r.weight, r.total) for r in evaluation.bootstrap_sums(spark.createDataFrame(rows, "id int, value double").repartition(3), 30, 4).collect()}
+    keys = np.array([r.k for r in spark.createDataFrame(rows[:50], "id int, value double").selectExpr("xxhash64(id) AS k").collect()])
+    w = evaluation.poisson_weights(keys, 30, 4)
+    want = {k + 1: (w[:, k].sum(), sum(w[i, k] * (i % 7) for i in range(50))) for k in range(30)}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k], strict=True))
+    means = np.array([t / n for n, t in got.values()])
+    assert abs(means.std() - np.std([i % 7 for i in range(50)]) / 50**0.5) < 0.12
+    assert tuple(evaluation.bootstrap_ci(spark.createDataFrame([], "id int, value double")).first()) == (None, None, None)
+    assert "Generate" not in evaluation.bootstrap_ci(spark.createDataFrame(rows, "id int, value double"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_empty_keep_set_is_refused(spark):
     with pytest.raises(ValueError, match="empty keep set"):
         maintenance.gc_worlds(spark.createDataFrame([fact("a", dt(2024, 1, 1))], FACT).withColumn("derived_version", F.lit("v")), spark.createDataFrame([], "version string"))
@@ -265,10 +282,6 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         readers.write_audit(changes, str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
-    world = spark.createDataFrame([("v1", "a"), ("v2", "b")], "derived_version string, fact_id string")
-    readers.promote_world(world, str(tmp_path / "w"), ["derived_version"])
-    readers.promote_world(spark.createDataFrame([("v1", "c")], world.schema), str(tmp_path / "w"), ["derived_version"])
-    assert sorted(r.fact_id for r in spark.read.parquet(str(tmp_path / "w")).collect()) == ["b", "c"]
 
 
 def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch, rows):
@@ -279,3 +292,66 @@ def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch, rows):
     monkeypatch.setattr(neighbours, "BROADCAST", 20)
     monkeypatch.setattr(neighbours, "BLOCK", 90)
     assert rows(similarity.exact_knn(queries, vectors, 4)) == whole
+
+
+def test_retraction_goes_down_and_brings_back(spark):
+    day = lambda n: dt(2024, 1, n)
+    rows = [
+        fact("root", day(1), day(9)), fact("open", day(1)), fact("old", day(1), day(4), status="superseded", superseded_by="root", prior_valid_until=day(20)), fact("child", day(2)), fact("grandchild", day(2), day(30)),
+        fact("gone", day(2), retracted_at=day(3), status="retracted"), fact("below", day(2)), fact("older", day(1), day(2), status="superseded", superseded_by="child"), fact("by_gone", day(1), day(2), status="superseded", superseded_by="gone"),
+    ]
+    links = spark.createDataFrame([("child", "root"), ("grandchild", "child"), ("gone", "root"), ("below", "gone"), ("root", "grandchild")], "fact_id string, parent string")
+    from factloom.operators.resolution import retract
+
+    for with_reason in (False, True):
+        facts = spark.createDataFrame(rows, FACT)
+        if with_reason:
+            facts = facts.withColumn("retraction_reason", F.when(F.col("fact_id") == "old", "withdrawn"))
+        ids = spark.createDataFrame([("root",), ("open",), ("gone",), ("root",)], "fact_id string")
+        got = {r.fact_id: r for r in retract(facts, ids, links, F.lit(day(15)), "wrong").collect()}
+        assert len(got) == len(rows)
+        state = {i: (r.status, r.retracted_at, r.valid_until, r.superseded_by) for i, r in got.items()}
+        assert state["root"] == ("retracted", day(15), day(9), None) and state["open"] == ("retracted", day(15), day(15), None)
+        assert state["child"] == ("retracted", day(15), day(15), None) and state["grandchild"] == ("retracted", day(15), day(15), None)
+        assert state["gone"] == ("retracted", day(3), None, None) and state["below"] == ("active", None, None, None)
+        assert state["older"][0] == "superseded" and state["by_gone"][0] == "superseded"
+        assert state["old"] == (("superseded", None, day(4), "root") if with_reason else ("active", None, day(20), None))
+        assert (got["root"].retraction_reason, got["child"].retraction_reason) == ("wrong", "parent retracted: wrong")
+
+
+def test_spans_in_scripts_with_and_without_blanks(spark):
+    cases = [
+        ("私は東京大学に行く", "東京", True), ("私は大学", "東京", False), ("very active now", "act", False), ("an act, now", "act", True), ("active act", "ACT", True), ("Москва-река", "москв", False),
+        ("Москва-река", "Москва", True), ("uses c++ daily", "C++", True), ("a \\E b", "\\E", True), ("a\u00a0 b", "a b", True), ("x1y", "1", True), ("text", "", False), ("text", None, False), (None, "x", False), ("étéx", "été", False),
+    ]
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "i int, t string, s string")
+    found = rows.select("i", text.holds_span(text.normal_span(F.col("t")), text.normal_span(F.col("s"))).alias("there"))
+    assert {r.i: r.there for r in found.collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_commit_rules_in_order(spark):
+    long = "w " * 40 + "end"
+    cases = [
+        ("Merge branch 'x' into y", "Why: x", None, "merge"), ("chore: x", "words\nGotcha: this", None, "trailer"), ("chore: x", "", "done to avoid harm", "rationale"), ("chore: x", long, None, "body"),
+        ("chore: x", "short", None, "routine"), ("feat!: x", "", None, "short"), ("feat(a): x", long, None, "typed_body"), ("x", "Because of it", None, "rationale"), ("because", "", None, "short"),
+        ("why: x", None, None, "short"), ("docs: x", None, None, "routine"), ("x", "  BREAKING CHANGE: api", None, "trailer"), ("x", "Why:", None, "short"), (None, None, None, "short"), ("Merge of lists", "", None, "short"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, subject string, body string, pr_body string, want string")
+    assert [tuple(r) for r in text.classify_commits(rows).where("rule <> want").select("i", "rule").collect()] == []
+
+
+def test_mentions_are_dropped_as_by_a_fold_in_order(spark):
+    rng = random.Random(11)
+    lines = [(rng.choice(["hot", "hot", "hot", "q"]), rng.randint(0, 60), "[d] me: " * rng.randint(0, 1) + " ".join(rng.choices("abcdefghij"[: rng.choice([5, 10])], k=rng.randint(0, 9)))) for _ in range(220)] + [("q", 1, None)]
+    want = []
+    for q in ("hot", "q"):
+        kept = []
+        for seq, line in sorted(((s, t) for i, s, t in lines if i == q), key=lambda x: (x[0], x[1] is not None, x[1])):
+            words = set((line or "").removeprefix("[d] me: ").split())
+            if any(min(len(words), len(k)) >= 3 and len(words & k) >= 0.7 * min(len(words), len(k)) for k, _ in kept):
+                continue
+            kept.append((words, (q, seq, line)))
+        want += [row for _, row in kept]
+    for parts in (1, 3):
+        got = text.dedupe_mentions(spark.createDataFrame(lines, "query_id string, seq int, text string").repartition(parts))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -55,19 +55,3 @@ def test_stale_marks_follow_transitions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.fact_id for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("fact_id")).collect()) == ["b", "c"]
-
-
-def test_resolution_of_a_stream_is_that_of_the_batch(spark, tmp_path):
-    from factloom.operators.resolution import resolve_facts
-
-    schema = "fact_id string, object string, semantics string, confidence double, declared_trust double, learned_trust double, authority double, origin_key string, embedding array<double>, valid_from timestamp, valid_until timestamp, recorded_at timestamp, entity_id string, predicate string, user_id string, derived_version string"
-    rows = [(f"f{i:02d}", "xyz"[i % 3], "bitemporal" if i % 2 else "single_active", 0.3 + i % 5 / 10, 0.9, 0.5, 0.0, "ab"[i % 2], [1.0], dt(2024, 1, 1 + i * 7 % 20), None, dt(2024, 3, 1, 0, i), f"e{i % 4}", "p", None, None) for i in range(40)]
-    for k in range(2):
-        spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    stream = streams.read_stream(spark, str(tmp_path / "in"), schema, 1)
-    q = stream.writeStream.foreachBatch(streams.resolve_batches(str(tmp_path / "history"), str(tmp_path / "out"), "2024-06-01")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = streams.latest_resolution(spark.read.parquet(str(tmp_path / "out")))
-    want = resolve_facts(spark.createDataFrame(rows, schema), "2024-06-01")
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
