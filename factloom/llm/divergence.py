@@ -2,8 +2,8 @@
 
 Terms with equal counts have equal values, so values are found per cell of counts, not per term. A source's terms are grouped by
 (count in the source, count in the language); cells of equal value are merged, the highest values are taken until they hold
-enough terms, and only these cells are expanded into terms. Pairs of sources sum over cells of (count here, count there): terms
-that both have meet in a join, the others are known from each source's own histogram of counts.
+enough terms, and only these cells are expanded into terms. Pairs of sources sum over terms: those that both have are gone
+through term by term, all pairs of a term's sources at once in arrays, the others are known from each source's own cells.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +25,8 @@ LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 12
 HELD, HELD_BYTES = 300_000, 64_000_000
 #: Copies of the list of sources that the histograms of a language are dealt to.
 DEALT = 16
+#: Pairs of sources that are evaluated at once. A pair's value is at most 4 * 10^9, so sums of so many are exact in doubles too.
+AT_ONCE = 1_000_000
 GROUP = ["lang", "source"]
 
 
@@ -120,6 +123,105 @@ def distant_terms(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select(*GROUP, F.col("term").alias("item"), "value", "rank")
 
 
+def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
+
+
+class PairSums:
+    """Sums of values by pair of a language's sources."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        code = a * (1 << 31) + b
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        self.codes.append(code[first])
+        self.values.append(np.add.reduceat(values[order], first))
+        self.held += len(first)
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        if self.codes:
+            names = pa.array(self.names, pa.string())
+            code, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+            total = np.zeros(len(code), np.int64)
+            np.add.at(total, at, np.concatenate(self.values))
+            columns = [pa.array([lang] * len(code), pa.string()), names.take(pa.array(code >> 31)), names.take(pa.array(code & (1 << 31) - 1)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "value"])
+        self.codes, self.values, self.held = [], [], 0
+
+
+def _pair_up(sums: PairSums, source: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
+    """Add what terms (rows) give to the pairs of their sources (columns, as many for each)."""
+    k = source.shape[1]
+    left, right = np.triu_indices(k, 1)
+    step, width = max(1, AT_ONCE // max(1, len(left))), max(1, min(len(left), AT_ONCE))
+    for row in range(0, len(source), step):
+        part = slice(row, row + step)
+        for at in range(0, len(left), width):
+            i, j = left[at : at + width], right[at : at + width]
+            a, b = p[part][:, i], p[part][:, j]
+            a0, b0 = p0[part][:, i], p0[part][:, j]
+            values = _gaps(a, b) - _gaps(a, b0) - _gaps(a0, b) + _gaps(a0, b0)
+            sums.add(source[part][:, i].ravel(), source[part][:, j].ravel(), values.ravel())
+
+
+def shared_terms(shares: DataFrame) -> DataFrame:
+    """lang, source, item, value: for pairs source < item the sum over terms of both of f(a, b) - f(a, 0) - f(0, b) + f(0, 0).
+
+    A term's rows stand together, at most one a source; a task sums pairs up over its terms.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, sums = None, PairSums()
+        rest: pa.Table | None = None
+
+        def take(rows: pa.Table, last: bool) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
+            """All rows but those of the last term, which may go on."""
+            nonlocal lang, sums
+            out: list[pa.RecordBatch] = []
+            langs, terms = rows["lang"].to_pylist(), rows["term"].to_pylist()
+            new = np.array([True, *(x != y for x, y in zip(zip(langs, terms, strict=True), zip(langs[1:], terms[1:], strict=True), strict=False))])
+            starts = np.append(np.flatnonzero(new), len(terms))
+            done = len(starts) - 1 if last else len(starts) - 2
+            names, p, p0 = rows["source"].to_pylist(), rows["p"].to_numpy(), rows["p0"].to_numpy()
+            at = 0
+            while at < done:
+                end = at
+                while end < done and langs[starts[end]] == langs[starts[at]]:
+                    end += 1
+                if langs[starts[at]] != lang:
+                    out += sums.rows(lang)
+                    lang, sums = langs[starts[at]], PairSums()
+                known = np.array([sums.names.setdefault(n, len(sums.names)) for n in names[starts[at] : starts[end]]], np.int64)
+                sizes = np.diff(starts[at : end + 1])
+                for k in np.unique(sizes[sizes > 1]).tolist():
+                    index = starts[at:end][sizes == k][:, None] + np.arange(k)
+                    _pair_up(sums, known[index - starts[at]], p[index], p0[index])
+                    if sums.held > 4 * AT_ONCE:
+                        out += sums.rows(lang)
+                at = end
+            return (None if last else rows.slice(int(starts[done]))), out
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if rows.num_rows:
+                rest, out = take(rows, False)
+                yield from out
+        if rest is not None and rest.num_rows:
+            yield from take(rest, True)[1]
+        yield from sums.rows(lang)
+
+    ordered = shares.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").select("lang", "term", "source", "p", "p0")
+    return ordered.mapInArrow(run, "lang string, source string, item string, value long")
+
+
 def distant_sources(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value, rank: each other source of the language, by the summed gap over all kept terms.
 
@@ -137,9 +239,7 @@ def distant_sources(kept: DataFrame, groups: DataFrame) -> DataFrame:
     p, p0, q, q0 = map(F.col, ("p", "p0", "q", "q0"))
     own = own.join(copies, ["lang", "deal"]).where("source <> item").select(*GROUP, "item", (F.col("many") * (gap(p, q0) - gap(p0, q0))).alias("value"))
 
-    theirs = shares.select("lang", "term", F.col("source").alias("item"), p.alias("q"), p0.alias("q0"))
-    cells = shares.join(theirs, ["lang", "term"]).where("source < item").groupBy(*GROUP, "item", "p", "p0", "q", "q0").agg(F.count(F.lit(1)).alias("many"))
-    both = cells.select(*GROUP, "item", (F.col("many") * (gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0))).alias("value"))
+    both = shared_terms(shares)
 
     pairs = sides.select("lang", "source", "p0").join(other, "lang").where("source <> item")
     base = pairs.select(*GROUP, "item", F.coalesce(F.col("terms") * gap(p0, q0), F.lit(0)).alias("value"))
