@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,13 +67,18 @@ def ended_before(facts: DataFrame, cutoff: Column) -> DataFrame:
 
 
 GROUP = ["entity_id", "predicate", "user_id"]
+#: Episode ids that a rollup names at most.
+EPISODES = 64
+#: Fixed value: words that deny.
+NEGATION = r"(?i)\b(?:never|has(?:n't| not)|have(?:n't| not)|did(?:n't| not)|does not|doesn't)\b"
 
 
-def compaction_groups(facts: DataFrame, cutoff: Column, cap: int = 8000, least: int = 2) -> DataFrame:
+def compaction_groups(facts: DataFrame, cutoff: Column, cap: int = 8000, least: int = 2, summary: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per (entity, predicate, user) with `least` ended facts or more: count, the first `cap` characters of their joined texts, mean confidence, bounds.
 
-    Only lines that start within the cap are gathered.
+    Only lines that start within the cap are gathered. A summary gets them as an array and gives the text instead.
     """
+    joined = summary or (lambda lines: F.array_join(lines, "; "))
     before = W.partitionBy(*GROUP).orderBy("valid_from", "fact_id").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.char_length("object") + 2).over(before), F.lit(0))
     line = F.when(F.col("__start") < cap, F.struct("valid_from", "fact_id", "object"))
@@ -80,7 +87,7 @@ def compaction_groups(facts: DataFrame, cutoff: Column, cap: int = 8000, least:
         .agg(F.count(ONE).alias("n"), F.array_sort(F.collect_list(line)).alias("l"), F.avg("confidence").alias("confidence"), F.min("valid_from").alias("valid_from"),
              F.max(F.coalesce(F.least("valid_until", "retracted_at"), "valid_until", "retracted_at")).alias("valid_until"))
         .where(F.col("n") >= least)
-        .select(*GROUP, "n", F.substring(F.array_join(F.transform("l", lambda x: x["object"]), "; "), 1, cap).alias("text"), "confidence", "valid_from", "valid_until")
+        .select(*GROUP, "n", F.substring(joined(F.transform("l", lambda x: x["object"])), 1, cap).alias("text"), "confidence", "valid_from", "valid_until")
     )
 
 
@@ -92,29 +99,36 @@ def compact(facts: DataFrame, cutoff: Column, least: int = 2) -> DataFrame:
     return facts.join(gone, "fact_id", "left").withColumn("status", F.when(F.col("__gone"), "compacted").otherwise(F.col("status"))).drop("__gone")
 
 
-def promotion_groups(facts: DataFrame, registry: DataFrame, cutoff: Column, least: int = 5) -> DataFrame:
-    """Per (entity, predicate) of append-only predicates with `least` aged active facts or more: count, first, last, objects."""
+def promotion_groups(facts: DataFrame, registry: DataFrame, cutoff: Column, least: int = 5, summary: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Per (entity, predicate) of append-only predicates with `least` aged active facts or more: count, first, last, objects
+    (the distinct ones, in order, or what a summary makes of them)."""
+    joined = summary or (lambda lines: F.array_join(lines, ","))
     append = registry.where("semantics = 'append_only'").select("predicate")
     aged = facts.where((F.col("status") == "active") & (F.col("recorded_at") < cutoff)).join(append, "predicate", "left_semi")
     return aged.groupBy("entity_id", "predicate").agg(
         F.count(ONE).alias("n"), F.min("valid_from").alias("first_from"), F.max("valid_from").alias("last_from"),
-        F.array_join(F.array_sort(F.collect_set("object")), ",").alias("objects"),
-    ).where(F.col("n") >= least)
+        F.array_sort(F.collect_set("object")).alias("objects"),
+    ).where(F.col("n") >= least).withColumn("objects", joined(F.col("objects")))
 
 
 def aspect_rollups(facts: DataFrame, budget: int = 400, least: int = 3) -> DataFrame:
-    """Per (entity, predicate): distinct texts, earliest first, as many as fit the budget, then "…and N more"."""
+    """Per (entity, predicate): distinct texts, earliest first, as many as fit the budget, then "…and N more".
+
+    With episode_ids (an array), episodes are the first EPISODES distinct ones of the texts shown.
+    """
+    told = F.col("episode_ids") if "episode_ids" in facts.columns else F.array().cast("array<string>")
     slot = W.partitionBy("entity_id", "predicate")
     first = F.row_number().over(W.partitionBy("entity_id", "predicate", "object").orderBy("valid_from", "fact_id"))
     used = F.sum(F.char_length("object") + 1).over(slot.orderBy("valid_from", "fact_id").rowsBetween(W.unboundedPreceding, 0))
     rows = facts.withColumn("__first", first).where("__first = 1").withColumn("__used", used).withColumn("__n", F.count(ONE).over(slot))
     grouped = rows.where(F.col("__n") >= least).groupBy("entity_id", "predicate").agg(
         F.max("__n").alias("n"), F.count_if(F.col("__used") <= budget).alias("shown"),
-        F.array_sort(F.collect_list(F.when(F.col("__used") <= budget, F.struct("valid_from", "fact_id", "object")))).alias("l"),
+        F.array_sort(F.collect_list(F.when(F.col("__used") <= budget, F.struct("valid_from", "fact_id", "object", F.coalesce(told, F.array().cast("array<string>")).alias("told"))))).alias("l"),
     )
+    episodes = F.slice(F.array_distinct(F.flatten(F.transform("l", lambda x: x["told"]))), 1, EPISODES)
     text = F.array_join(F.transform("l", lambda x: x["object"]), "\n")
     more = F.when(F.col("n") > F.col("shown"), F.concat(F.lit("\n…and "), F.col("n") - F.col("shown"), F.lit(" more"))).otherwise("")
-    return grouped.select("entity_id", "predicate", "n", "shown", F.concat(text, more).alias("text"))
+    return grouped.select("entity_id", "predicate", "n", "shown", F.concat(text, more).alias("text"), episodes.alias("episodes"))
 
 
 def densest_entities(facts: DataFrame, k: int) -> DataFrame:
@@ -128,6 +142,17 @@ def contested_slots(facts: DataFrame) -> DataFrame:
     )
 
 
+def evidence_conflicts(facts: DataFrame) -> DataFrame:
+    """entity_id, predicate, n, objects, competing, negated of slots whose objects differ and of which a fact competes, or
+    some but not all deny (hold a word of NEGATION)."""
+    counts = facts.groupBy("entity_id", "predicate").agg(
+        F.count(ONE).alias("n"), F.count_distinct("object").alias("objects"), F.count_if(F.lower("status") == "competing").alias("competing"),
+        F.count_if(F.regexp_like("object", F.lit(NEGATION))).alias("negated"),
+    )
+    split = (F.col("negated") > 0) & (F.col("negated") < F.col("n"))
+    return counts.where((F.col("objects") >= 2) & ((F.col("competing") > 0) | split))
+
+
 def resolvable_pairs(facts: DataFrame, before: Column) -> DataFrame:
     """Competing facts of slots that have exactly two (counted before the age gate), both recorded before a moment."""
     n = F.count(ONE).over(W.partitionBy("entity_id", "predicate"))
@@ -185,6 +210,12 @@ def source_report(registry: DataFrame, trust: DataFrame) -> DataFrame:
     return registry.join(seen, "source_key", "full")
 
 
+def source_history(history: DataFrame, last: int = 100) -> DataFrame:
+    """The last rows of each source's history (source_key, domain, rate, recorded_at), n counting back from 1."""
+    back = F.row_number().over(W.partitionBy("source_key").orderBy(F.desc("recorded_at"), "domain"))
+    return history.withColumn("n", back).where(F.col("n") <= last)
+
+
 def rewrite_pattern_counts(pairs: DataFrame) -> DataFrame:
     """Per folded pattern: its latest replacement and how often it was seen. pairs: pattern, replacement, at."""
     return pairs.groupBy(F.lower(F.trim("pattern")).alias("pattern")).agg(

@@ -45,8 +45,13 @@ def attribute_filters(
     predicates: list[str] | None = None,
     entity_ids: list[str] | None = None,
     prefix: str | None = None,
+    types: list[str] | None = None,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
+    """facts that pass every filter that is given; types are those of their entities (entity_id, type)."""
     out = facts
+    if types:
+        out = out.join(entities.where(F.col("type").isin(*types)).select("entity_id"), "entity_id", "left_semi").select(*facts.columns)
     if min_confidence is not None:
         out = out.where(F.col("confidence") >= min_confidence)
     if predicates:

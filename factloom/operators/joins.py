@@ -7,20 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def union_refs(under: Column, over: Column) -> Column:
+    """Two maps as one; where both have a key, `over` has its way. A null map is empty."""
+    none = F.create_map().cast("map<string,string>")
+    over = F.coalesce(over, none)
+    return F.map_concat(F.map_filter(F.coalesce(under, none), lambda k, v: ~F.map_contains_key(over, k)), over)
+
+
 def reattribute_merged(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts of merged entities under the survivor, with refs of both; without a survivor's row they drop out.
 
-    entities has entity_id, merged_into, external_ref; the result adds refs, the merged one's first.
+    entities: entity_id, merged_into, external_refs (a map, or external_ref, which stands under `ref`). The result adds refs;
+    where both entities have a key, the merged one's stays, since that is what the fact came under.
     """
-    losers = entities.where("merged_into IS NOT NULL").select(
-        F.col("entity_id").alias("__loser"), F.col("merged_into").alias("__into"), F.col("external_ref").alias("__loser_ref")
-    )
-    alive = entities.select(F.col("entity_id").alias("__alive"), F.col("external_ref").alias("__ref"))
-    target = F.coalesce("__into", "entity_id")
-    joined = facts.join(losers, F.col("entity_id") == F.col("__loser"), "left").withColumn("__target", target)
+    held = F.col("external_refs") if "external_refs" in entities.columns else F.create_map(F.lit("ref"), "external_ref")
+    refs = F.map_filter(held, lambda k, v: v.isNotNull())
+    losers = entities.where("merged_into IS NOT NULL").select(F.col("entity_id").alias("__loser"), F.col("merged_into").alias("__into"), refs.alias("__loser_refs"))
+    alive = entities.select(F.col("entity_id").alias("__alive"), refs.alias("__refs"))
+    joined = facts.join(losers, F.col("entity_id") == F.col("__loser"), "left").withColumn("__target", F.coalesce("__into", "entity_id"))
     kept = joined.join(alive, F.col("__target") == F.col("__alive"), "left").where("__loser IS NULL OR __alive IS NOT NULL")
-    refs = F.array_compact(F.array("__loser_ref", "__ref"))
-    return kept.select(*(F.col("__target").alias(c) if c == "entity_id" else F.col(c) for c in facts.columns), refs.alias("refs"))
+    columns = (F.col("__target").alias(c) if c == "entity_id" else F.col(c) for c in facts.columns)
+    return kept.select(*columns, union_refs(F.col("__refs"), F.col("__loser_refs")).alias("refs"))
 
 
 def ref_key(vertical: Column, ref: Column) -> Column:

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def memory_diff(facts: DataFrame, entities: DataFrame, start: Column, stop: Column) -> DataFrame:
-    """section, id of what happened in [start, stop): changed (a fact whose successor was recorded then), retracted, created
-    (facts recorded then that are no such successors), new_entity (entities with created_at)."""
+def memory_diff(facts: DataFrame, entities: DataFrame, start: Column, stop: Column, forgotten: DataFrame | None = None) -> DataFrame:
+    """section, id, replaced_by, before, after of what happened in [start, stop).
+
+    changed: a fact whose successor was recorded then, with the successor and the objects of both; retracted; created: facts
+    recorded then that are no such successors; new_entity: entities with created_at; forgotten: tombstones (hash, forgotten_at).
+    """
     within = lambda c: (c >= start) & (c < stop)
+    plain = lambda df, section, key: df.select(F.lit(section).alias("section"), F.col(key).alias("id"), *(F.lit(None).cast("string").alias(c) for c in ("replaced_by", "before", "after")))
     fresh = facts.where(within(F.col("recorded_at")))
-    old = facts.where("superseded_by IS NOT NULL").select(F.col("fact_id").alias("old_id"), F.col("superseded_by").alias("fact_id"))
-    changed = fresh.join(old, "fact_id").select(F.lit("changed").alias("section"), F.col("old_id").alias("id"))
-    created = fresh.join(old, "fact_id", "left_anti").select(F.lit("created"), "fact_id")
-    retracted = facts.where(within(F.col("retracted_at"))).select(F.lit("retracted"), "fact_id")
-    new = entities.where(within(F.col("created_at"))).select(F.lit("new_entity"), "entity_id")
-    return changed.union(created).union(retracted).union(new)
+    old = facts.where("superseded_by IS NOT NULL").select(F.col("fact_id").alias("old_id"), F.col("object").alias("before"), F.col("superseded_by").alias("fact_id"))
+    changed = fresh.join(old, "fact_id").select(F.lit("changed").alias("section"), F.col("old_id").alias("id"), F.col("fact_id").alias("replaced_by"), "before", F.col("object").alias("after"))
+    out = changed.unionByName(plain(fresh.join(old, "fact_id", "left_anti"), "created", "fact_id"))
+    out = out.unionByName(plain(facts.where(within(F.col("retracted_at"))), "retracted", "fact_id"))
+    out = out.unionByName(plain(entities.where(within(F.col("created_at"))), "new_entity", "entity_id"))
+    return out if forgotten is None else out.unionByName(plain(forgotten.where(within(F.col("forgotten_at"))), "forgotten", "hash"))
 
 
 def hmac_sha256(key: str, message: Column) -> Column:

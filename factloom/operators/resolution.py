@@ -11,7 +11,7 @@ before all incoming ones, keep what they are and give a row without an outcome t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from itertools import groupby, islice
@@ -30,7 +30,7 @@ from factloom.operators.slots import RUN, resolve_single
 SLOT = ["entity_id", "predicate", "user_id", "derived_version"]
 OUT = (
     "fact_id string, status string, valid_until timestamp, prior_valid_until timestamp, superseded_by string, corroborates string, "
-    "outcome string, score double, best_opponent double, dominant string"
+    "outcome string, score double, best_opponent double, dominant string, opponent string"
 )
 
 
@@ -115,7 +115,7 @@ def fold_arrivals(rows: Iterable[dict], held: list[dict], now: datetime, cfg: Co
     for new in rows:
         kind, event = new["semantics"], new["semantics"] == "events"
         age = lambda moment: math.exp(-(now - moment).total_seconds() / year)
-        blank = {"score": None, "outcome": None, "superseded_by": None, "corroborates": None, "prior_valid_until": None, "best_opponent": None, "dominant": None}
+        blank = {"score": None, "outcome": None, "superseded_by": None, "corroborates": None, "prior_valid_until": None, "best_opponent": None, "dominant": None, "opponent": None}
         if new.get("stored"):
             held.append(new | blank)
             continue
@@ -147,7 +147,7 @@ def fold_arrivals(rows: Iterable[dict], held: list[dict], now: datetime, cfg: Co
         ]
         best = max(scored, key=sum)
         gaps = [abs(a - b) for a, b in zip(parts, best, strict=True)]
-        new |= {"best_opponent": sum(best), "dominant": ("confidence", "source_trust", "recency", "authority")[gaps.index(max(gaps))]}
+        new |= {"best_opponent": sum(best), "dominant": ("confidence", "source_trust", "recency", "authority")[gaps.index(max(gaps))], "opponent": pool[scored.index(best)]["fact_id"]}
         losers = [f for f in pool if day(f) < day(new)] if event else pool
         if kind == "single_active" or event and losers or not event and new["score"] >= sum(best) + cfg.margin:
             new["outcome"] = "SUPERSEDED"
@@ -210,10 +210,21 @@ def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config(), run: int =
     return single.unionByName(sorted_slots.mapInArrow(gathered, OUT))
 
 
-def explain_conflicts(resolved: DataFrame) -> DataFrame:
-    """Per outcome and dominant dimension: decisions and mean margin."""
-    contested = resolved.where("best_opponent IS NOT NULL")
-    return contested.groupBy("outcome", "dominant").agg(F.count("*").alias("n"), F.avg(F.col("score") - F.col("best_opponent")).alias("margin"))
+def conflict_details(resolved: DataFrame, facts: DataFrame) -> DataFrame:
+    """fact_id, opponent, outcome, dominant, margin, and whether the two differ in predicate, object, valid_from and source, of
+    each fact that met an opponent. The source is origin_key; facts may have any further columns."""
+    sides = ("predicate", "object", "valid_from", "origin_key")
+    of = lambda key, end: facts.select(F.col("fact_id").alias(key), *(F.col(c).alias(f"{c}_{end}") for c in sides))
+    met = resolved.where("opponent IS NOT NULL").select("fact_id", "opponent", "outcome", "dominant", (F.col("score") - F.col("best_opponent")).alias("margin"))
+    both = met.join(of("fact_id", "a"), "fact_id").join(of("opponent", "b"), "opponent")
+    differ = lambda c, name: (~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))).alias(f"{name}_differs")
+    return both.select("fact_id", "opponent", "outcome", "dominant", "margin", differ("predicate", "predicate"), differ("object", "object"), differ("valid_from", "start"), differ("origin_key", "source"))
+
+
+def explain_conflicts(resolved: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per outcome and dominant dimension: decisions, mean margin, and how many differ in each part of the slot's claim."""
+    parts = ("predicate_differs", "object_differs", "start_differs", "source_differs")
+    return conflict_details(resolved, facts).groupBy("outcome", "dominant").agg(F.count("*").alias("n"), F.avg("margin").alias("margin"), *(F.count_if(c).alias(c) for c in parts))
 
 
 def predict_outcomes(current: DataFrame, candidates: DataFrame, now: str, cfg: Config = Config()) -> DataFrame:
@@ -277,31 +288,91 @@ def apply_corroboration(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("elder").isNotNull(), "corroborating").otherwise(F.col("status"))).withColumnRenamed("elder", "corroborates")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    known = roots.select(F.col("candidate_id").alias(f"__{name}"), F.col("root").alias(name)).dropDuplicates([f"__{name}"])
+    return rows.join(known, F.col(column) == F.col(f"__{name}"), "left").drop(f"__{name}")
+
+
+def _placed_facts(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    reason = F.when(F.col("entity").isNull(), "orphan_entity").when(F.col("predicate").isNull() | F.col("object").isNull(), "malformed_fact")
+    return _rooted(facts, roots, "subject", "entity").withColumn("reason", reason)
+
+
+def _placed_relations(relations: DataFrame, roots: DataFrame) -> DataFrame:
+    ends = _rooted(_rooted(relations, roots, "from_id", "src"), roots, "to_id", "dst")
+    lost = F.col("src").isNull() | F.col("dst").isNull() | (F.col("src") == F.col("dst"))
+    return ends.withColumn("reason", F.when(lost, "orphan_relation"))
+
+
 def merge_candidates(facts: DataFrame, roots: DataFrame) -> DataFrame:
-    """entity, predicate, object, confidence (the largest), leader, contributors of staged facts (candidate_id, subject, predicate,
-    object, confidence) over roots (candidate_id of the subject, root); facts without a known subject drop out."""
-    placed = facts.join(roots.select(F.col("candidate_id").alias("subject"), F.col("root").alias("entity")), "subject")
-    return placed.groupBy("entity", "predicate", "object").agg(
-        F.max("confidence").alias("confidence"), F.max_by("candidate_id", F.struct("confidence", "candidate_id")).alias("leader"), F.count("*").alias("contributors")
-    )
+    """entity, predicate, object, confidence, leader, contributors: staged facts (candidate_id, subject, predicate, object,
+    confidence) of one entity that say the same, over roots (candidate_id of the subject, root).
+
+    Objects are equal up to white space. The leader has the greatest confidence, of several the least id, and gives the object.
+    What rejected_candidates names takes no part.
+    """
+    plain = F.regexp_replace(F.trim("object"), r"\s+", " ")
+    placed = _placed_facts(facts, roots).where("reason IS NULL").withColumn("__same", plain)
+    lead = F.struct(-F.col("confidence"), F.col("candidate_id"))
+    merged = placed.groupBy("entity", "predicate", "__same").agg(
+        F.max("confidence").alias("confidence"), F.min_by(F.struct("candidate_id", "object"), lead).alias("l"), F.count("*").alias("contributors")
+    )
+    return merged.select("entity", "predicate", F.col("l.object").alias("object"), "confidence", F.col("l.candidate_id").alias("leader"), "contributors")
+
 
+def merge_relations(relations: DataFrame, roots: DataFrame) -> DataFrame:
+    """src, dst, kind, confidence (the greatest), leader (the least id), contributors of staged relations (candidate_id, from_id, to_id,
+    kind, confidence) whose ends are two known entities."""
+    placed = _placed_relations(relations, roots).where("reason IS NULL")
+    return placed.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.min("candidate_id").alias("leader"), F.count("*").alias("contributors"))
 
-def refresh_summaries(summaries: DataFrame, links: DataFrame, facts: DataFrame, hops: int = 8) -> DataFrame:
-    """fact_id, n, text, confidence, valid_from of stale summaries rebuilt from their parents' current facts; n = 0: retract.
 
-    Parents (links: fact_id, parent) are followed along superseded_by; retracted ends drop out.
+def rejected_candidates(facts: DataFrame, relations: DataFrame, roots: DataFrame) -> DataFrame:
+    """candidate_id, kind, reason: facts of no known entity (orphan_entity) or without predicate or object (malformed_fact), and
+    relations without two known and different ends (orphan_relation)."""
+    lost = _placed_facts(facts, roots).select("candidate_id", F.lit("fact").alias("kind"), "reason")
+    return lost.unionByName(_placed_relations(relations, roots).select("candidate_id", F.lit("relation").alias("kind"), "reason")).where("reason IS NOT NULL")
+
+
+def refresh_summaries(summaries: DataFrame, links: DataFrame, facts: DataFrame, hops: int = 8, summary: Callable[[Column], Column] | None = None) -> DataFrame:
+    """fact_id, n, text, confidence, valid_from, valid_until, derived_from of stale summaries rebuilt from their parents' current
+    facts, by start; n = 0: no parent is left, retract.
+
+    Parents (links: fact_id, parent) are followed along superseded_by for `hops` steps at most, as long as the successor exists;
+    retracted ends drop out. Two parents with one current fact count it twice. valid_until is the last one's end, or its start
+    if it is open. summary makes the text of the array of objects; by default they are joined.
     """
-    at = links.join(summaries.select("fact_id"), "fact_id", "left_semi").select("fact_id", F.col("parent").alias("at"))
+    joined = summary or (lambda lines: F.array_join(lines, "; "))
+    at = links.select("fact_id", "parent").distinct().join(summaries.select("fact_id"), "fact_id", "left_semi").select("fact_id", F.col("parent").alias("at"))
     step = facts.where("superseded_by IS NOT NULL").select(F.col("fact_id").alias("__f"), F.col("superseded_by").alias("__n"))
+    step = step.join(facts.select(F.col("fact_id").alias("__n")), "__n", "left_semi")
     for _ in range(hops):
         at = at.join(step, F.col("at") == F.col("__f"), "left").select("fact_id", F.coalesce("__n", "at").alias("at"))
-    live = facts.where("retracted_at IS NULL").select(F.col("fact_id").alias("at"), "object", "confidence", "valid_from")
-    built = at.distinct().join(live, "at").groupBy("fact_id").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("valid_from", "at", "object"))).alias("l"), F.avg("confidence").alias("confidence"), F.min("valid_from").alias("valid_from")
-    ).withColumn("text", F.array_join(F.transform("l", lambda x: x["object"]), "; ")).drop("l")
+    live = facts.where("retracted_at IS NULL").select(F.col("fact_id").alias("at"), "object", "confidence", "valid_from", "valid_until")
+    built = at.join(live, "at").groupBy("fact_id").agg(
+        F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("valid_from", "at", "object", "valid_until"))).alias("l")
+    )
+    last = F.element_at("l", -1)
+    built = built.select(
+        "fact_id", "n", joined(F.transform("l", lambda x: x["object"])).alias("text"), "confidence", F.col("l")[0]["valid_from"].alias("valid_from"),
+        F.coalesce(last["valid_until"], last["valid_from"]).alias("valid_until"), F.transform("l", lambda x: x["at"]).alias("derived_from"),
+    )
     return summaries.select("fact_id").join(built, "fact_id", "left").na.fill({"n": 0})
 
 
+def apply_refresh(facts: DataFrame, refreshed: DataFrame, now: Column) -> DataFrame:
+    """facts (with stale_at) with the summaries of refresh_summaries rewritten and no longer stale, and those without parents retracted."""
+    new = refreshed.select("fact_id", *(F.col(c).alias(f"__{c}") for c in ("n", "text", "confidence", "valid_from", "valid_until")))
+    joined = facts.join(new, "fact_id", "left")
+    made, gone = F.coalesce(F.col("__n") > 0, F.lit(False)), F.coalesce(F.col("__n") == 0, F.lit(False))
+    of = {"object": "text", "confidence": "confidence", "valid_from": "valid_from", "valid_until": "valid_until"}
+    changed = {c: F.when(made, F.col(f"__{n}")).otherwise(F.col(c)) for c, n in of.items()} | {
+        "status": F.when(gone, "retracted").otherwise(F.col("status")), "retracted_at": F.when(gone, F.coalesce("retracted_at", now)).otherwise(F.col("retracted_at")),
+        "stale_at": F.when(~(made | gone), F.col("stale_at")),
+    }
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in facts.columns))
+
+
 def artifact_invalidation(artifacts: DataFrame, changed: DataFrame) -> DataFrame:
     """artifacts (entity_id) with dirty set where a fact of their entity changed."""
     hit = changed.select("entity_id").distinct().withColumn("__hit", F.lit(True))
@@ -314,6 +385,28 @@ def build_artifacts(facts: DataFrame, predicates: list[str]) -> DataFrame:
     return facts.where("status = 'active'").groupBy("entity_id").agg(*(F.array_join(values(p), ", ").alias(p) for p in predicates))
 
 
+def compile_artifacts(facts: DataFrame, entities: DataFrame, templates: dict[str, list[tuple[str, str, str]]]) -> DataFrame:
+    """entity_id, type, text: one page for each entity whose type has a template.
+
+    A template is a list of (title, predicate, form): `latest` shows the newest active object, `list` all of them, newest first,
+    `count` how many there are. A section without facts is left out; a page without sections has an empty text.
+    """
+    objects = lambda p: F.transform(F.sort_array(F.collect_list(F.when(F.col("predicate") == p, F.struct("valid_from", "fact_id", "object"))), asc=False), lambda x: x["object"])
+    used = sorted({p for sections in templates.values() for _, p, _ in sections})
+    held = facts.where("status = 'active'").where(F.col("predicate").isin(*used)).groupBy("entity_id").agg(*(objects(p).alias(f"__{i}") for i, p in enumerate(used)))
+    pages = entities.where(F.col("type").isin(*templates)).select("entity_id", "type").join(held, "entity_id", "left")
+    text = None
+    for kind, sections in templates.items():
+        parts = []
+        for title, predicate, form in sections:
+            said = F.col(f"__{used.index(predicate)}")
+            shown = {"latest": said[0], "list": F.array_join(said, ", "), "count": F.size(said).cast("string")}[form]
+            parts.append(F.when(F.size(said) > 0, F.concat(F.lit(f"{title}: "), shown)))
+        made = F.concat_ws("\n", *parts)
+        text = F.when(F.col("type") == kind, made) if text is None else text.when(F.col("type") == kind, made)
+    return pages.select("entity_id", "type", text.alias("text"))
+
+
 def propositions_to_facts(props: DataFrame, turns: DataFrame) -> DataFrame:
     """fact rows of propositions (prop_id, subject, predicate, object, date_text, turn_indexes) of a session's turns (session_id,
     turn_index, occurred_at, user_id): the stated date if it is one, else the session's; dropped without turns, with a turn

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.joins import union_refs
 from factloom.operators.trust import calibrate
 
 #: Weights by salience 0 to 3; half-life and floor of distance in time; weight of supplementary facts.
@@ -130,16 +131,23 @@ def bucket_entities(scored: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "entity_id").agg(F.max("score").alias("best"), (F.max("score") + DEGREE_WEIGHT * more).alias("rank_score"))
 
 
-def fact_centric(hits: DataFrame, budget: int, limit: int) -> DataFrame:
-    """The best `budget` facts of each query, under at most `limit` entities ordered by their best fact.
+def fact_centric(hits: DataFrame, budget: int, limit: int, priority: DataFrame | None = None) -> DataFrame:
+    """The best `budget` facts of each query, under at most `limit` entities.
 
-    hits: query_id, entity_id, fact_id, score; adds fact_rank and entity_rank.
+    hits: query_id, entity_id, fact_id, score; adds fact_rank and entity_rank. Entities stand in the order that priority
+    (query_id, entity_id, place) gives, if it has them, and behind these by their best fact.
     """
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "fact_id"))
     kept = hits.withColumn("fact_rank", rank).where(F.col("fact_rank") <= budget)
+    if priority is not None:
+        places = priority.groupBy("query_id", "entity_id").agg(F.min("place").alias("__place"))
+        kept = kept.join(places, ["query_id", "entity_id"], "left")
+    else:
+        kept = kept.withColumn("__place", F.lit(None).cast("int"))
     first = F.min("fact_rank").over(W.partitionBy("query_id", "entity_id"))
-    entity = F.dense_rank().over(W.partitionBy("query_id").orderBy("__first"))
-    return kept.withColumn("__first", first).withColumn("entity_rank", entity).where(F.col("entity_rank") <= limit).drop("__first")
+    entity = F.dense_rank().over(W.partitionBy("query_id").orderBy(F.col("__place").asc_nulls_last(), "__first"))
+    ranked = kept.withColumn("__first", first).withColumn("entity_rank", entity).where(F.col("entity_rank") <= limit)
+    return ranked.drop("__first", "__place").select(*hits.columns, "fact_rank", "entity_rank")
 
 
 def keyset_page(df: DataFrame, after: tuple, n: int) -> DataFrame:
@@ -214,10 +222,18 @@ def expansion_terms(hits: DataFrame, queries: DataFrame, names: DataFrame, n: in
 
 
 def assemble_hits(scored: DataFrame, buckets: DataFrame, limit: int, per_entity: int = 5) -> DataFrame:
-    """query_id, entity_rank, entity_id, rank_score, facts: the best entities, each with its best facts in order."""
+    """query_id, entity_rank, entity_id, rank_score, facts: the best entities, each with its best facts in order.
+
+    If facts have refs (a map), refs are those of the facts shown; of a key the best fact's stays.
+    """
+    told = ["refs"] if "refs" in scored.columns else []
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "entity_id"))
     top = buckets.withColumn("entity_rank", rank).where(F.col("entity_rank") <= limit)
     nth = F.row_number().over(W.partitionBy("query_id", "entity_id").orderBy(F.desc("score"), "fact_id"))
     best = scored.withColumn("nth", nth).where(F.col("nth") <= per_entity)
-    facts = best.groupBy("query_id", "entity_id").agg(F.array_sort(F.collect_list(F.struct("nth", "fact_id"))).alias("f"))
-    return top.join(facts, ["query_id", "entity_id"]).select("query_id", "entity_rank", "entity_id", "rank_score", F.transform("f", lambda x: x["fact_id"]).alias("facts"))
+    facts = best.groupBy("query_id", "entity_id").agg(F.array_agg(F.struct("nth", "fact_id", *told)).alias("f"))
+    ordered = F.array_sort("f", lambda a, b: a["nth"] - b["nth"])
+    none = F.create_map().cast("map<string,string>")
+    merged = [F.aggregate(ordered, none, lambda acc, x: union_refs(x["refs"], acc)).alias("refs")] if told else []
+    shown = F.transform(ordered, lambda x: x["fact_id"]).alias("facts")
+    return top.join(facts, ["query_id", "entity_id"]).select("query_id", "entity_rank", "entity_id", "rank_score", shown, *merged)

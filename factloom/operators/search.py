@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators import lexical as X
 from factloom.operators import retrieval as R
 from factloom.operators import similarity as S
 from factloom.operators.filters import lang_backoff, only_atomic, scope_gate, user_scope, world_fence
@@ -34,7 +35,7 @@ def scored_facts(
 
     def ask(queries: DataFrame) -> DataFrame:
         near = S.exact_knn(queries.select("query_id", "q"), pool.where("embedding IS NOT NULL"), k)
-        said = S.bm25_fields(queries.select("query_id", "text"), pool, ["haystack", "object"], k)
+        said = X.bm25_fields(queries.select("query_id", "text"), pool, ["haystack", "object"], k)
         fused = R.fuse(near, said).join(reattribute_merged(pool, entities), "fact_id")
         if lang is not None:
             fused = lang_backoff(fused, lang, k)
@@ -82,7 +83,7 @@ def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, sh
     """query_id, seq, text: for each topic (query_id, text, q) the lines of segments (fact_id, session_key, occurred_at, text, embedding)
     that match by word or are near enough to the topic's nearest; one a session, near-repeats dropped, oldest first."""
     close = within(topics.select("query_id", "q"), segments, floor, share)
-    said = S.any_term_scores(topics.select("query_id", "text"), segments, ["text"])
+    said = X.any_term_scores(topics.select("query_id", "text"), segments, ["text"])
     both = close.select("query_id", "fact_id", "similarity").join(said.select("query_id", "fact_id", F.col("bm25").alias("lexical")), ["query_id", "fact_id"], "full")
     held = best_mention_per_session(both.na.fill(0.0, ["similarity", "lexical"]).join(segments.drop("embedding"), "fact_id"))
     seq = F.row_number().over(W.partitionBy("query_id").orderBy("occurred_at", "fact_id"))
@@ -100,25 +101,30 @@ def query_arcs(topics: DataFrame, facts: DataFrame, floor: float = 0.35, beats:
 
 
 def match_entities(names: DataFrame, entities: DataFrame, min_sim: float = 0.9) -> DataFrame:
-    """name_id, entity_id, how: an entity of the same type with the same folded name (the least id), else the nearest name vector.
+    """name_id, entity_id, how: an entity of the same type with the same folded name, else one with such an alias (of several the
+    least id), else the one with the nearest name vector.
 
-    names: name_id, type, name, q; entities: entity_id, type, canonical_name, embedding.
+    names: name_id, type, name, q; entities: entity_id, type, canonical_name, embedding, perhaps aliases (array). Names and
+    entities without a vector are met by name only.
     """
     fold = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    exact = names.select("name_id", "type", fold("name").alias("k")).join(entities.select("entity_id", "type", fold("canonical_name").alias("k")), ["type", "k"])
-    first = exact.groupBy("name_id").agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("name"))
-    rest = names.join(first, "name_id", "left_anti")
+    called = entities.select("entity_id", "type", fold("canonical_name").alias("k"), F.lit(0).alias("place"))
+    if "aliases" in entities.columns:
+        called = called.unionByName(entities.select("entity_id", "type", F.explode("aliases").alias("k")).select("entity_id", "type", fold("k").alias("k"), F.lit(1).alias("place")))
+    exact = names.select("name_id", "type", fold("name").alias("k")).join(called, ["type", "k"]).groupBy("name_id").agg(F.min(F.struct("place", "entity_id")).alias("m"))
+    first = exact.select("name_id", F.col("m.entity_id").alias("entity_id"), F.when(F.col("m.place") == 0, "name").otherwise("alias").alias("how"))
+    rest = names.where("q IS NOT NULL").join(first, "name_id", "left_anti")
     asked = rest.select(F.col("name_id").alias("query_id"), "type", "q")
-    near = S.exact_knn(asked, entities.select(F.col("entity_id").alias("fact_id"), "type", "embedding"), 1, min_sim, by="type")
-    best = near.select(F.col("query_id").alias("name_id"), F.col("fact_id").alias("entity_id"), F.lit("vector").alias("how"))
+    held = entities.where("embedding IS NOT NULL").select(F.col("entity_id").alias("fact_id"), "type", "embedding")
+    best = S.exact_knn(asked, held, 1, min_sim, by="type").select(F.col("query_id").alias("name_id"), F.col("fact_id").alias("entity_id"), F.lit("vector").alias("how"))
     return first.unionByName(best)
 
 
 def segment_search(queries: DataFrame, segments: DataFrame, user: str | None, k: int) -> DataFrame:
     """query_id, fact_id, rank of segments or turns (fact_id, text, embedding, user_id, pii_class) in scope without classified text."""
     open_ = user_scope(segments, user).where(F.coalesce(F.size("pii_class"), F.lit(0)) <= 0)
-    fused = R.fuse(S.exact_knn(queries.select("query_id", "q"), open_, 4 * k), S.bm25(queries.select("query_id", "text"), open_, 4 * k, key="fact_id"))
-    return S.top_k_per_query(fused, "fused", k).select("query_id", "fact_id", "rank")
+    fused = R.fuse(S.exact_knn(queries.select("query_id", "q"), open_, 4 * k), X.bm25(queries.select("query_id", "text"), open_, 4 * k, key="fact_id"))
+    return X.top_k_per_query(fused, "fused", k).select("query_id", "fact_id", "rank")
 
 
 def insight_search(queries: DataFrame, facts: DataFrame, budget: int = 4) -> DataFrame:

@@ -2,78 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.neighbours import exact_knn
 
-#: BM25's constants; the usual ones.
-K1, B = 1.2, 0.75
-
-
-def top_k_per_query(df: DataFrame, score: str, k: int, tie: str = "fact_id") -> DataFrame:
-    """df with rank (from 1) where it is k at most."""
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), tie))
-    return df.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def tokens(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def term_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, term, tf, length."""
-    rows = docs.select(key, tokens(text).alias("t")).withColumn("length", F.size("t"))
-    return rows.select(key, "length", F.explode("t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_terms(queries: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """query_id, key, term, weight. queries: query_id, text; each query's distinct terms are met.
-
-    Document counts are pre-aggregated by term, and only terms of queries are joined.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    counts = term_counts(docs, text, key)
-    lengths = docs.select(F.size(tokens(text)).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    mine = counts.join(asked.select("term").distinct(), "term", "left_semi")
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    weight = (
-        F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    )
-    return asked.join(df, "term").join(mine, "term").join(F.broadcast(lengths)).select("query_id", key, "term", weight.alias("weight"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """query_id, key, bm25, rank."""
-    scored = bm25_terms(queries, docs, text, key).groupBy("query_id", key).agg(F.sum("weight").alias("bm25"))
-    return top_k_per_query(scored, "bm25", k, key)
-
-
-def bm25_fields(queries: DataFrame, docs: DataFrame, fields: list[str], k: int, key: str = "fact_id") -> DataFrame:
-    """The larger of the scores of several text fields."""
-    out = None
-    for f in fields:
-        one = bm25_terms(queries, docs, f, key).groupBy("query_id", key).agg(F.sum("weight").alias("bm25"))
-        out = one if out is None else out.unionByName(one)
-    return top_k_per_query(out.groupBy("query_id", key).agg(F.max("bm25").alias("bm25")), "bm25", k, key)
-
-
-def any_term_scores(queries: DataFrame, docs: DataFrame, fields: list[str], terms: int = 8, key: str = "fact_id") -> DataFrame:
-    """query_id, key, bm25: the sum over at most `terms` query terms of the better field."""
-    short = queries.select("query_id", F.array_join(F.slice(F.array_distinct(tokens("text")), 1, terms), " ").alias("text"))
-    out = None
-    for f in fields:
-        one = bm25_terms(short, docs, f, key)
-        out = one if out is None else out.unionByName(one)
-    best = out.groupBy("query_id", key, "term").agg(F.max("weight").alias("weight"))
-    return best.groupBy("query_id", key).agg(F.sum("weight").alias("bm25"))
-
-
-def bm25_any_term(queries: DataFrame, docs: DataFrame, fields: list[str], k: int, terms: int = 8, key: str = "fact_id") -> DataFrame:
-    """query_id, key, bm25, rank of the k best any_term_scores."""
-    return top_k_per_query(any_term_scores(queries, docs, fields, terms, key), "bm25", k, key)
+#: Do two columns of texts say the same? A comparison, or a call of the caller's UDF.
+Judge = Callable[[Column, Column], Column]
 
 
 def same_group_pairs(facts: DataFrame, keys: list[str], min_sim: float) -> DataFrame:
@@ -85,13 +23,18 @@ def same_group_pairs(facts: DataFrame, keys: list[str], min_sim: float) -> DataF
     return pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("embedding_b"))).where(F.col("similarity") >= min_sim)
 
 
-def corroboration_pairs(facts: DataFrame, min_sim: float = 0.9, groups: tuple[int, int] = (2, 8)) -> DataFrame:
+def corroboration_pairs(facts: DataFrame, min_sim: float = 0.9, groups: tuple[int, int] = (2, 8), judge: Judge | None = None) -> DataFrame:
     """younger, elder, similarity: of overlapping active facts of one (entity, predicate) from different origins, each
-    younger one's best elder. Groups outside of the sizes are left out, as the job that judges them expects."""
+    younger one's best elder. Groups outside of the sizes are left out, as the job that judges them expects.
+
+    A judge gets both objects as columns and says whether they are the same claim; without one the similarity decides.
+    """
     n = F.count("*").over(W.partitionBy("entity_id", "predicate"))
     some = facts.where("status = 'active'").withColumn("__n", n).where(F.col("__n").between(*groups)).drop("__n")
     order = F.struct("recorded_at", "fact_id") < F.struct("recorded_at_b", "fact_id_b")
     pairs = same_group_pairs(some, ["entity_id", "predicate"], min_sim).where("NOT origin_key <=> origin_key_b").withColumn("first", order)
+    if judge is not None:
+        pairs = pairs.where(judge(F.col("object"), F.col("object_b")))
     sided = pairs.select(
         F.when(F.col("first"), F.col("fact_id_b")).otherwise(F.col("fact_id")).alias("younger"),
         F.when(F.col("first"), F.col("fact_id")).otherwise(F.col("fact_id_b")).alias("elder"), "similarity",
@@ -100,8 +43,15 @@ def corroboration_pairs(facts: DataFrame, min_sim: float = 0.9, groups: tuple[in
     return sided.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
-def near_duplicate_entities(names: DataFrame, linked: DataFrame, min_sim: float = 0.92, neighbours: int = 5) -> DataFrame:
-    """a, b, similarity: entities (entity_id, embedding) whose names are close, each pair once, without linked pairs (a, b)."""
+def near_duplicate_entities(names: DataFrame, linked: DataFrame, min_sim: float = 0.92, neighbours: int = 5, judge: Judge | None = None) -> DataFrame:
+    """a, b, similarity: entities (entity_id, embedding) whose names are close, each pair once, without linked pairs (a, b).
+
+    A judge gets both canonical_name columns and says whether they name one thing; without one the similarity decides.
+    """
     near = exact_knn(names.select(F.col("entity_id").alias("query_id"), F.col("embedding").alias("q")), names.select(F.col("entity_id").alias("fact_id"), "embedding"), neighbours + 1, min_sim)
     pairs = near.where("query_id <> fact_id").select(F.least("query_id", "fact_id").alias("a"), F.greatest("query_id", "fact_id").alias("b"), "similarity")
-    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).join(linked, ["a", "b"], "left_anti")
+    found = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).join(linked, ["a", "b"], "left_anti")
+    if judge is None:
+        return found
+    named = lambda c: names.select(F.col("entity_id").alias(c), F.col("canonical_name").alias(f"name_{c}"))
+    return found.join(named("a"), "a").join(named("b"), "b").where(judge(F.col("name_a"), F.col("name_b"))).select("a", "b", "similarity")

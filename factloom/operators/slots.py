@@ -75,7 +75,7 @@ def follow(rows: Iterable[Fact], now: datetime, cfg, active: Fact | None = None,
     pool: list[tuple[Fact, dict]] = [] if active is None else [(active, {})]
 
     def row(f: Fact, **more) -> dict:
-        blank = dict.fromkeys(("prior_valid_until", "superseded_by", "corroborates", "outcome", "score", "best_opponent", "dominant"))
+        blank = dict.fromkeys(("prior_valid_until", "superseded_by", "corroborates", "outcome", "score", "best_opponent", "dominant", "opponent"))
         return {"fact_id": f.fact_id, "status": "active", "valid_until": f.valid_until} | blank | more
 
     def closed(f: Fact, made: dict, by: str, start: datetime) -> dict:
@@ -105,10 +105,10 @@ def follow(rows: Iterable[Fact], now: datetime, cfg, active: Fact | None = None,
         made = row(x, outcome="INSERTED", score=score)
         if pool:
             age = lambda f: math.exp(-(now - f.recorded_at).total_seconds() / YEAR)
-            scored = ((cfg.confidence * f.confidence, cfg.trust * f.learned_trust, cfg.recency * age(f), cfg.authority * f.authority) for f, _ in pool)
+            scored = [(cfg.confidence * f.confidence, cfg.trust * f.learned_trust, cfg.recency * age(f), cfg.authority * f.authority) for f, _ in pool]
             best = max(scored, key=sum)
             gaps = [abs(a - b) for a, b in zip(parts, best, strict=True)]
-            made |= {"outcome": "SUPERSEDED", "best_opponent": sum(best), "dominant": DIMENSIONS[gaps.index(max(gaps))]}
+            made |= {"outcome": "SUPERSEDED", "best_opponent": sum(best), "dominant": DIMENSIONS[gaps.index(max(gaps))], "opponent": pool[scored.index(best)][0].fact_id}
             yield from (closed(f, old, x.fact_id, x.valid_from) for f, old in pool if old)
         pool = [(x, made)]
     for f, made in pool:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -234,10 +235,31 @@ def gate_pipeline(extra: list[str], features: int = 1 << 15) -> Pipeline:
     ])
 
 
+#: Columns of a text's shape beside its words.
+SHAPE = ["size", "word_length", "variety", "digits", "marks", "lines"]
+
+
+def gate_features(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with words and the columns SHAPE: logarithm of the length, mean length of words, share of distinct ones among them,
+    shares of digits and of marks among the characters, logarithm of the lines. Null texts are empty."""
+    text, words = F.coalesce(F.col(column), F.lit("")), F.col("words")
+    n, size = F.greatest(F.size(words), F.lit(1)), F.greatest(F.char_length(text), F.lit(1))
+    of = lambda rule: F.regexp_count(text, F.lit(rule)) / size
+    return df.withColumn("words", letter_words(text)).withColumns({
+        "size": F.log1p(F.char_length(text)), "word_length": F.char_length(F.array_join(words, "")) / n, "variety": F.size(F.array_distinct(words)) / n,
+        "digits": of(r"\p{N}"), "marks": of(r"[^\p{L}\p{M}\p{N}\s]"), "lines": F.log1p(F.regexp_count(text, F.lit("\n"))),
+    })
+
+
 def train_gate(labelled: DataFrame, extra: list[str]) -> PipelineModel:
     return gate_pipeline(extra).fit(labelled)
 
 
+def gate_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with score, the probability of label 1."""
+    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("pairs", "f1", "f2", "features", "rawPrediction", "probability", "prediction")
+
+
 def _overlapping(sets: DataFrame, share: float) -> DataFrame:
     """early, late: ids of sets (id, query_id, t, place) of one query that share `share` or more of the smaller one's words.
 

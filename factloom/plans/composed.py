@@ -66,12 +66,20 @@ def k12(w: World) -> DataFrame:
     return P.query_arcs(_topics(w), _embedded(w))
 
 
-@query("k15_match_entities")
+@query("k15_match_entities", f"""
+WITH e AS (SELECT c_custkey AS id, c_mktsegment AS type, regexp_replace(lower(trim(c_name)), '\\s+', ' ', 'g') AS name, 'alias ' || c_custkey AS alias, embedding FROM customer LEFT JOIN embeddings ON vec_id = c_custkey),
+n AS (SELECT id AS name_id, type, CASE id % 3 WHEN 0 THEN name WHEN 1 THEN alias ELSE 'other' END AS k, embedding FROM e),
+said AS (SELECT name_id, min(e.id) AS entity_id, 'name' AS how FROM n JOIN e ON n.type = e.type AND n.k = e.name GROUP BY 1),
+also AS (SELECT name_id, min(e.id) AS entity_id, 'alias' AS how FROM n JOIN e ON n.type = e.type AND n.k = e.alias WHERE name_id NOT IN (SELECT name_id FROM said) GROUP BY 1),
+near AS (SELECT a.name_id, b.id AS entity_id, 'vector' AS how FROM n a JOIN e b ON a.type = b.type WHERE a.name_id NOT IN (SELECT name_id FROM said UNION SELECT name_id FROM also) AND {COS} >= 0.9
+ QUALIFY row_number() OVER (PARTITION BY a.name_id ORDER BY round({COS}, 12) DESC, b.id) = 1)
+FROM said UNION ALL FROM also UNION ALL FROM near""")
 def k15(w: World) -> DataFrame:
-    vectors = w.embeddings.select("vec_id", "embedding")
-    entities = w.customer.withColumn("vec_id", F.col("c_custkey")).join(vectors, "vec_id").selectExpr("c_custkey AS entity_id", "c_mktsegment AS type", "c_name AS canonical_name", "embedding")
-    names = entities.selectExpr("entity_id AS name_id", "type", "CASE WHEN entity_id % 2 = 0 THEN concat('  ', upper(canonical_name)) ELSE 'other' END AS name", "embedding AS q")
-    return P.match_entities(names, entities)
+    """Every customer; those beyond the number of vectors have none and are met by name alone."""
+    entities = w.customer.join(w.embeddings.select(F.col("vec_id").alias("c_custkey"), "embedding"), "c_custkey", "left")
+    entities = entities.selectExpr("c_custkey AS entity_id", "c_mktsegment AS type", "c_name AS canonical_name", "embedding", "array(concat('alias ', c_custkey)) AS aliases")
+    called = "CASE entity_id % 3 WHEN 0 THEN concat('  ', upper(canonical_name)) WHEN 1 THEN concat('ALIAS  ', entity_id) ELSE 'other' END AS name"
+    return P.match_entities(entities.selectExpr("entity_id AS name_id", "type", called, "embedding AS q"), entities)
 
 
 @query("k16_segment_search")

@@ -113,15 +113,17 @@ def g7(w: World) -> DataFrame:
 
 
 @query("g8_graph_retrieve", """
-WITH q AS (SELECT n AS query_id, entity_id, 1.0 AS e FROM entities WHERE n % 100 = 1), f AS (SELECT src, dst FROM e2 UNION SELECT dst, src FROM e2),
+WITH ent AS (SELECT entity_id, canonical_name, n FROM entities UNION ALL SELECT concat('s', s_suppkey), s_name, s_suppkey FROM supplier),
+q AS (SELECT a.entity_id AS query_id, b.entity_id, 1.0 AS e FROM ent a JOIN ent b ON lower(a.canonical_name) = lower(b.canonical_name) WHERE a.n % 50 = 0),
+f AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 nodes AS (SELECT query_id, entity_id, max(e) AS e FROM (SELECT * FROM q UNION ALL SELECT q.query_id, f.dst, 0.7 FROM q JOIN f ON q.entity_id = f.src) GROUP BY 1, 2),
 l AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, predicate, object ORDER BY valid_from DESC, fact_id DESC) = 1)
-SELECT query_id, l.entity_id, fact_id, round((e * CASE WHEN predicate = 'phone' THEN 1 ELSE 0.5 END)::DOUBLE, 6) AS score FROM nodes JOIN l USING (entity_id) WHERE e = 1 OR predicate = 'phone'""".replace(
-    "WITH q AS", "WITH e2 AS (SELECT entity_id AS src, concat('c', (n + 13) % 1500) AS dst FROM entities WHERE n % 2 = 1), q AS"), "facts entities")
+SELECT query_id, l.entity_id, fact_id, round((e * CASE WHEN predicate = 'phone' THEN 1 ELSE 0.5 END)::DOUBLE, 6) AS score FROM nodes JOIN l USING (entity_id) WHERE e = 1 OR predicate = 'phone'""", "facts entities edges")
 def g8(w: World) -> DataFrame:
-    edges = w.entities.where("n % 2 = 1").selectExpr("entity_id AS src", "concat('c', (n + 13) % 1500) AS dst")
-    names = w.entities.where("n % 100 = 1").selectExpr("n AS query_id", "upper(canonical_name) AS name")
-    return G.graph_retrieve(names, w.entities, edges, w.facts, ["phone"]).withColumn("score", F.round("score", 6))
+    """Customers and suppliers by name; a supplier's neighbours are its customers, who have the facts."""
+    known = w.entities.select("entity_id", "canonical_name", "n").unionByName(w.supplier.selectExpr("concat('s', s_suppkey) AS entity_id", "s_name AS canonical_name", "s_suppkey AS n"))
+    names = known.where("n % 50 = 0").selectExpr("entity_id AS query_id", "upper(canonical_name) AS name")
+    return G.graph_retrieve(names, known, w.edges, w.facts, ["phone"]).withColumn("score", F.round("score", 6))
 
 
 @query("g10_alias_union", """
@@ -194,7 +196,8 @@ def res5(w: World) -> DataFrame:
 
 @query("res6_explain_conflicts")
 def res6(w: World) -> DataFrame:
-    return R.explain_conflicts(R.resolve_facts(_incoming(w), "1999-06-01")).withColumn("margin", F.round("margin", 6))
+    rows = _incoming(w)
+    return R.explain_conflicts(R.resolve_facts(rows, "1999-06-01"), rows).withColumn("margin", F.round("margin", 6))
 
 
 @query("res7_predict_outcomes")
@@ -229,21 +232,61 @@ def res9(w: World) -> DataFrame:
     return R.apply_corroboration(w.facts, pairs).select("fact_id", "status", "origin_count")
 
 
-@query("res10_merge_candidates", """
-SELECT c_nationkey AS entity, predicate, object, max(confidence) AS confidence, arg_max(fact_id, struct_pack(a := confidence, b := fact_id)) AS leader, count(*) AS contributors FROM facts JOIN customer ON entity_id = concat('c', c_custkey) GROUP BY 1, 2, 3""", "facts")
+#: Candidates of the customers' facts: some of no known customer, some without a predicate or an object, and objects with blanks.
+STAGED = "SELECT fact_id AS candidate_id, CASE WHEN n % 31 = 0 THEN 'nobody' ELSE entity_id END AS subject, CASE WHEN n % 37 = 0 THEN NULL ELSE predicate END AS predicate, CASE WHEN n % 41 = 0 THEN NULL WHEN n % 2 = 0 THEN concat('  ', object, '  x ') ELSE concat(object, ' x') END AS object, confidence FROM facts"
+RELATED = "SELECT concat(src, dst) AS candidate_id, src AS from_id, CASE WHEN weight > 0.9e0 THEN 'c1' ELSE concat('c', CAST(substr(dst, 2) AS INT)) END AS to_id, kind, CAST(weight AS DOUBLE) AS confidence FROM edges"
+ROOTS = "SELECT concat('c', c_custkey) AS candidate_id, c_nationkey AS root FROM customer"
+
+
+@query("res10_merge_candidates", f"""
+WITH s AS ({STAGED}), r AS ({ROOTS}), p AS (SELECT s.*, r.root AS entity, regexp_replace(trim(object), '\\s+', ' ', 'g') AS same FROM s JOIN r ON subject = r.candidate_id WHERE predicate IS NOT NULL AND object IS NOT NULL)
+SELECT entity, predicate, arg_min(object, struct_pack(a := -confidence, b := candidate_id)) AS object, max(confidence) AS confidence, arg_min(candidate_id, struct_pack(a := -confidence, b := candidate_id)) AS leader, count(*) AS contributors
+FROM p GROUP BY entity, predicate, same""", "facts")
 def res10(w: World) -> DataFrame:
-    staged = w.facts.selectExpr("fact_id AS candidate_id", "entity_id AS subject", "predicate", "object", "confidence")
-    return R.merge_candidates(staged, w.customer.selectExpr("concat('c', c_custkey) AS candidate_id", "c_nationkey AS root"))
+    return R.merge_candidates(_staged(w), _roots(w))
+
+
+@query("res10_merge_relations", f"""
+WITH l AS ({RELATED}), r AS ({ROOTS})
+SELECT a.root AS src, b.root AS dst, kind, max(confidence) AS confidence, min(l.candidate_id) AS leader, count(*) AS contributors FROM l JOIN r a ON from_id = a.candidate_id JOIN r b ON to_id = b.candidate_id
+WHERE a.root <> b.root GROUP BY 1, 2, 3""", "edges")
+def res10_relations(w: World) -> DataFrame:
+    return R.merge_relations(_related(w), _roots(w))
+
+
+@query("res10_rejected", f"""
+WITH s AS ({STAGED}), l AS ({RELATED}), r AS ({ROOTS})
+SELECT s.candidate_id, 'fact' AS kind, CASE WHEN r.root IS NULL THEN 'orphan_entity' ELSE 'malformed_fact' END AS reason FROM s LEFT JOIN r ON subject = r.candidate_id WHERE r.root IS NULL OR predicate IS NULL OR object IS NULL
+UNION ALL SELECT l.candidate_id, 'relation', 'orphan_relation' FROM l LEFT JOIN r a ON from_id = a.candidate_id LEFT JOIN r b ON to_id = b.candidate_id WHERE a.root IS NULL OR b.root IS NULL OR a.root = b.root""", "facts edges")
+def res10_rejected(w: World) -> DataFrame:
+    return R.rejected_candidates(_staged(w), _related(w), _roots(w))
+
+
+def _staged(w: World) -> DataFrame:
+    return w.spark.sql(STAGED.replace("FROM facts", "FROM {facts}"), facts=w.facts)
+
+
+def _related(w: World) -> DataFrame:
+    return w.spark.sql(RELATED.replace("FROM edges", "FROM {edges}"), edges=w.edges)
+
+
+def _roots(w: World) -> DataFrame:
+    return w.spark.sql(ROOTS.replace("FROM customer", "FROM {customer}"), customer=w.customer)
 
 
 @query("res11_refresh_summaries", """
-WITH RECURSIVE walk AS (SELECT l.fact_id, l.parent AS at_, 0 AS h FROM links l JOIN facts f ON l.fact_id = f.fact_id WHERE f.n % 8 = 1
- UNION ALL SELECT w.fact_id, f.superseded_by, h + 1 FROM walk w JOIN facts f ON f.fact_id = w.at_ WHERE f.superseded_by IS NOT NULL AND h < 8),
-last_ AS (SELECT fact_id, arg_max(at_, h) AS at_ FROM walk GROUP BY fact_id),
-b AS (SELECT last_.fact_id, count(*) AS n, string_agg(object, '; ' ORDER BY valid_from, at_) AS text FROM last_ JOIN facts p ON p.fact_id = at_ AND p.retracted_at IS NULL GROUP BY 1)
-SELECT s.fact_id, coalesce(b.n, 0) AS n, text FROM facts s LEFT JOIN b ON b.fact_id = s.fact_id WHERE s.n % 8 = 1""", "facts links")
+WITH RECURSIVE lk AS (SELECT fact_id, parent FROM links UNION SELECT fact_id, concat('o', n + 2) FROM facts WHERE n % 16 = 1),
+walk AS (SELECT l.fact_id, l.parent, l.parent AS at_, 0 AS h FROM lk l JOIN facts f ON l.fact_id = f.fact_id WHERE f.n % 8 = 1
+ UNION ALL SELECT w.fact_id, w.parent, f.superseded_by, h + 1 FROM walk w JOIN facts f ON f.fact_id = w.at_ JOIN facts g ON g.fact_id = f.superseded_by WHERE h < 8),
+last_ AS (SELECT fact_id, arg_max(at_, h) AS at_ FROM walk GROUP BY fact_id, parent),
+b AS (SELECT last_.fact_id, count(*) AS n, avg(confidence) AS confidence, string_agg(object, '; ' ORDER BY valid_from, at_) AS text, min(valid_from) AS valid_from, string_agg(at_, ',' ORDER BY valid_from, at_) AS derived_from,
+ arg_max(coalesce(valid_until, valid_from), struct_pack(a := valid_from, b := at_)) AS valid_until FROM last_ JOIN facts p ON p.fact_id = at_ AND p.retracted_at IS NULL GROUP BY 1)
+SELECT s.fact_id, coalesce(b.n, 0) AS n, text, round(b.confidence, 9) AS confidence, CAST(b.valid_from AS VARCHAR) AS valid_from, CAST(b.valid_until AS VARCHAR) AS valid_until, derived_from
+FROM facts s LEFT JOIN b ON b.fact_id = s.fact_id WHERE s.n % 8 = 1""", "facts links")
 def res11(w: World) -> DataFrame:
-    return R.refresh_summaries(w.facts.where("n % 8 = 1"), w.links, w.facts).select("fact_id", "n", "text")
+    links = w.links.unionByName(w.facts.where("n % 16 = 1").selectExpr("fact_id", "concat('o', n + 2) AS parent"))
+    made = R.refresh_summaries(w.facts.where("n % 8 = 1"), links, w.facts)
+    return made.select("fact_id", "n", "text", F.round("confidence", 9).alias("confidence"), F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_until"), F.array_join("derived_from", ",").alias("derived_from"))
 
 
 @query("res12_artifacts", """
@@ -253,6 +296,21 @@ def res12(w: World) -> DataFrame:
     return R.artifact_invalidation(R.build_artifacts(w.facts, ["phone", "order_status"]), w.facts.where("n % 90 = 2"))
 
 
+TEMPLATES = {
+    "building": [("Status", "order_status", "latest"), ("Phones", "phone", "list")],
+    "machinery": [("Orders", "order_status", "count"), ("Phone", "phone", "latest"), ("Notes", "summary_profile", "list")],
+}
+
+
+@query("res12_compile_artifacts", """
+WITH o AS (SELECT entity_id, predicate, string_agg(object, ', ' ORDER BY valid_from DESC, fact_id DESC) AS l, arg_max(object, struct_pack(a := valid_from, b := fact_id)) AS t, count(*) AS c FROM facts WHERE status = 'active' GROUP BY 1, 2)
+SELECT e.entity_id, type, CASE type WHEN 'building' THEN concat_ws(chr(10), 'Status: ' || s.t, 'Phones: ' || p.l) ELSE concat_ws(chr(10), 'Orders: ' || s.c, 'Phone: ' || p.t, 'Notes: ' || n.l) END AS text
+FROM entities e LEFT JOIN o s ON s.entity_id = e.entity_id AND s.predicate = 'order_status' LEFT JOIN o p ON p.entity_id = e.entity_id AND p.predicate = 'phone' LEFT JOIN o n ON n.entity_id = e.entity_id AND n.predicate = 'summary_profile'
+WHERE type IN ('building', 'machinery')""", "facts entities")
+def res12_compile(w: World) -> DataFrame:
+    return R.compile_artifacts(w.facts, w.entities, TEMPLATES)
+
+
 @query("res13_propositions_to_facts", """
 WITH t AS (SELECT user_id AS s, event_id // 37 AS i, min(ts) AS at_, min(user_id % 7) AS u FROM events GROUP BY 1, 2), m AS (SELECT s, min(at_) AS a FROM t GROUP BY 1),
 p AS (SELECT event_id, user_id AS s, event_id // 37 AS i, (event_id * 3) // 111 + event_id % 5 // 4 * 9000 AS j, CASE WHEN event_id % 3 = 0 THEN '2024-02-03' ELSE 'soon' END AS d FROM events WHERE event_id % 20 IN (3, 4))

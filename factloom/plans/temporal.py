@@ -81,9 +81,10 @@ def f9(w: World) -> DataFrame:
     return L.lang_backoff(hits, "de", 8).select("query_id", "fact_id", "pass")
 
 
-@query("f10_attribute_filters", "SELECT fact_id FROM facts WHERE confidence >= 0.6 AND predicate IN ('phone', 'order_status') AND starts_with(predicate, 'ph')", "facts")
+@query("f10_attribute_filters", """
+SELECT fact_id FROM facts WHERE confidence >= 0.6 AND predicate IN ('phone', 'order_status') AND starts_with(predicate, 'ph') AND entity_id IN (SELECT entity_id FROM entities WHERE type IN ('building', 'machinery'))""", "facts entities")
 def f10(w: World) -> DataFrame:
-    return L.attribute_filters(w.facts, 0.6, ["phone", "order_status"], prefix="ph").select("fact_id")
+    return L.attribute_filters(w.facts, 0.6, ["phone", "order_status"], prefix="ph", types=["building", "machinery"], entities=w.entities).select("fact_id")
 
 
 @query("f11_only_atomic", "SELECT predicate, count(*) AS n FROM facts WHERE NOT starts_with(predicate, 'summary_') AND recorder IS DISTINCT FROM 'aggregate-composer-v1' GROUP BY 1", "facts")

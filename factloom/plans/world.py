@@ -22,11 +22,15 @@ EPISODES = "array(concat('t', CAST(n % 997 AS STRING)), concat('t', CAST(n * 7 %
 
 
 @query("j1_reattribute_merged", """
-SELECT coalesce(l.merged_into, f.entity_id) AS entity_id, count(*) AS n, sum(CASE WHEN l.entity_id IS NULL THEN 1 ELSE 2 END)::BIGINT AS refs
-FROM facts f LEFT JOIN entities l ON f.entity_id = l.entity_id AND l.merged_into IS NOT NULL
-LEFT JOIN entities s ON s.entity_id = coalesce(l.merged_into, f.entity_id) WHERE l.entity_id IS NULL OR s.entity_id IS NOT NULL GROUP BY 1""", "facts entities")
+WITH r AS (SELECT coalesce(l.merged_into, f.entity_id) AS entity_id, coalesce(l.external_ref, s.external_ref) AS crm, coalesce(CASE WHEN l.n % 3 = 0 THEN l.type END, CASE WHEN s.n % 3 = 0 THEN s.type END) AS kind
+ FROM facts f LEFT JOIN entities l ON f.entity_id = l.entity_id AND l.merged_into IS NOT NULL
+ LEFT JOIN entities s ON s.entity_id = coalesce(l.merged_into, f.entity_id) WHERE l.entity_id IS NULL OR s.entity_id IS NOT NULL)
+SELECT entity_id, count(*) AS n, min(crm) AS least, max(crm) AS most, count(kind) AS kinds, min(kind) AS kind FROM r GROUP BY 1""", "facts entities")
 def j1(w: World) -> DataFrame:
-    return J.reattribute_merged(w.facts, w.entities).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("refs")).alias("refs"))
+    """Entities with two kinds of references, of which a third have both."""
+    entities = w.entities.withColumn("external_refs", F.create_map(F.lit("crm"), "external_ref", F.lit("kind"), F.expr("CASE WHEN n % 3 = 0 THEN type END")))
+    crm, kind = F.col("refs")["crm"], F.col("refs")["kind"]
+    return J.reattribute_merged(w.facts, entities).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.min(crm).alias("least"), F.max(crm).alias("most"), F.count(kind).alias("kinds"), F.min(kind).alias("kind"))
 
 
 @query("j2_resolve_refs", """
@@ -250,11 +254,14 @@ def a13(w: World) -> DataFrame:
 
 @query("a14_aspect_rollups", """
 WITH one AS (SELECT *, concat(recorder, ' ', object) AS o FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, predicate, concat(recorder, ' ', object) ORDER BY valid_from, fact_id) = 1),
-used AS (SELECT *, sum(length(o) + 1) OVER (PARTITION BY entity_id, predicate ORDER BY valid_from, fact_id) AS u, count(*) OVER (PARTITION BY entity_id, predicate) AS c FROM one)
-SELECT entity_id, predicate, c AS n, count_if(u <= 40) AS shown, coalesce(string_agg(o, chr(10) ORDER BY valid_from, fact_id) FILTER (WHERE u <= 40), '') || CASE WHEN c > count_if(u <= 40) THEN concat(chr(10), '…and ', c - count_if(u <= 40), ' more') ELSE '' END AS text
-FROM used WHERE c >= 3 GROUP BY entity_id, predicate, c""", "facts")
+used AS (SELECT *, sum(length(o) + 1) OVER (PARTITION BY entity_id, predicate ORDER BY valid_from, fact_id) AS u, count(*) OVER (PARTITION BY entity_id, predicate) AS c FROM one),
+eps AS (SELECT entity_id, predicate, string_agg(DISTINCT e, ',' ORDER BY e) AS episodes FROM (SELECT entity_id, predicate, unnest([origin_key, 'e' || n % 7]) AS e FROM used WHERE u <= 40) GROUP BY 1, 2)
+SELECT entity_id, predicate, c AS n, count_if(u <= 40) AS shown, coalesce(string_agg(o, chr(10) ORDER BY valid_from, fact_id) FILTER (WHERE u <= 40), '') || CASE WHEN c > count_if(u <= 40) THEN concat(chr(10), '…and ', c - count_if(u <= 40), ' more') ELSE '' END AS text,
+ coalesce(any_value(episodes), '') AS episodes
+FROM used LEFT JOIN eps USING (entity_id, predicate) WHERE c >= 3 GROUP BY entity_id, predicate, c""", "facts")
 def a14(w: World) -> DataFrame:
-    return A.aspect_rollups(w.facts.withColumn("object", F.concat_ws(" ", "recorder", "object")), 40)
+    rows = w.facts.withColumns({"object": F.concat_ws(" ", "recorder", "object"), "episode_ids": F.array("origin_key", F.expr("concat('e', n % 7)"))})
+    return A.aspect_rollups(rows, 40).withColumn("episodes", F.array_join(F.sort_array("episodes"), ","))
 
 
 @query("a15_densest_entities", "SELECT entity_id, count(*) AS n FROM facts WHERE status = 'active' GROUP BY 1 ORDER BY n DESC, entity_id LIMIT 20", "facts")
@@ -267,6 +274,16 @@ def a16(w: World) -> DataFrame:
     return A.contested_slots(w.facts)
 
 
+@query("a16_evidence_conflicts", r"""
+WITH f AS (SELECT entity_id, predicate, status, concat(CASE n % 5 WHEN 0 THEN 'has not ' WHEN 1 THEN 'never ' WHEN 2 THEN 'nevertheless ' ELSE '' END, object) AS object FROM facts),
+g AS (SELECT entity_id, predicate, count(*) AS n, count(DISTINCT object) AS objects, count_if(status = 'competing') AS competing,
+ count_if(regexp_matches(object, '(?i)\b(?:never|has(?:n''t| not)|have(?:n''t| not)|did(?:n''t| not)|does not|doesn''t)\b')) AS negated FROM f GROUP BY 1, 2)
+SELECT * FROM g WHERE objects >= 2 AND (competing > 0 OR (negated > 0 AND negated < n))""", "facts")
+def a16_conflicts(w: World) -> DataFrame:
+    said = F.concat(F.expr("CASE n % 5 WHEN 0 THEN 'has not ' WHEN 1 THEN 'never ' WHEN 2 THEN 'nevertheless ' ELSE '' END"), "object")
+    return A.evidence_conflicts(w.facts.withColumn("object", said))
+
+
 @query("a17_resolvable_pairs", f"""
 SELECT fact_id FROM (SELECT fact_id, count(*) OVER w AS c, max(recorded_at) OVER w AS m FROM facts WHERE status = 'competing' WINDOW w AS (PARTITION BY entity_id, predicate)) WHERE c = 2 AND m < {NOW}""", "facts")
 def a17(w: World) -> DataFrame:
@@ -315,6 +332,15 @@ def a25(w: World) -> DataFrame:
     return A.source_report(registry, T.refit_source_trust(T.trust_events(w.facts))).withColumn("rate", F.round("rate", 9))
 
 
+@query("a25_source_history", f"""
+WITH {EVENTS_SQL}, h AS (SELECT source_key, domain, rate, samples, row_number() OVER (PARTITION BY source_key ORDER BY samples DESC, domain) AS n FROM trust)
+SELECT source_key, domain, round(rate, 9) AS rate, n FROM h WHERE n <= 2""", "facts")
+def a25_history(w: World) -> DataFrame:
+    """Scoped and global rates as history rows, of which each source's last two by samples are shown."""
+    rows = T.refit_source_trust(T.trust_events(w.facts)).withColumn("recorded_at", F.col("samples"))
+    return A.source_history(rows, 2).select("source_key", "domain", F.round("rate", 9).alias("rate"), "n")
+
+
 @query("a26_rewrite_pattern_counts", "SELECT lower(trim(p_name)) AS pattern, arg_max(p_type, struct_pack(a := p_partkey, b := p_type)) AS replacement, count(*) AS seen FROM part GROUP BY 1")
 def a26(w: World) -> DataFrame:
     return A.rewrite_pattern_counts(w.part.selectExpr("concat(' ', upper(p_name)) AS pattern", "p_type AS replacement", "p_partkey AS at"))

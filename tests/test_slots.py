@@ -73,3 +73,40 @@ def test_hot_slots_are_cut_and_others_are_not(spark, run):
     got = resolve_facts(spark.createDataFrame(rows, SCHEMA), "2024-06-01", Config(), run)
     utc = lambda v: v.astimezone(timezone.utc) if isinstance(v, dt) else v
     assert sorted((tuple(utc(r[c]) for c in OUT) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_conflicts_are_told_with_their_opponent(spark):
+    day = lambda n: DAY0 + timedelta(days=n)
+    base = dict(semantics="single_active", confidence=0.5, declared_trust=0.5, learned_trust=0.5, authority=0.0, embedding=[1.0], valid_until=None, entity_id="e", predicate="p", user_id=None, derived_version="v", stored=False, status=None)
+    made = [dict(fact_id="a", object="x", origin_key="o1", valid_from=day(1), recorded_at=day(1)), dict(fact_id="b", object="y", origin_key="o1", valid_from=day(1), recorded_at=day(2)), dict(fact_id="c", object="y", origin_key="o1", valid_from=day(3), recorded_at=day(3))]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    facts = spark.createDataFrame([tuple((base | m)[c] for c in names) for m in made], SCHEMA)
+    for semantics in ("single_active", "bitemporal"):
+        rows = facts.replace("single_active", semantics, "semantics")
+        found = {r.fact_id: r for r in resolution.conflict_details(resolve_facts(rows, "2024-06-01"), rows).collect()}
+        assert found["b"].opponent == "a" and (found["b"].object_differs, found["b"].start_differs, found["b"].source_differs, found["b"].predicate_differs) == (True, False, False, False)
+        if semantics == "single_active":
+            assert found["c"].opponent == "b" and (found["c"].object_differs, found["c"].start_differs) == (False, True)
+    told = resolution.explain_conflicts(resolve_facts(facts, "2024-06-01"), facts).collect()
+    assert sum(r.n for r in told) == 2 and sum(r.object_differs for r in told) == 1
+
+
+def test_refreshed_summaries_are_written_back(spark):
+    from pyspark.sql import functions as F
+
+    day = lambda n: dt(2024, 1, n)
+    columns = "fact_id string, object string, confidence double, valid_from timestamp, valid_until timestamp, superseded_by string, retracted_at timestamp, status string, stale_at timestamp"
+    facts = spark.createDataFrame([
+        ("s", "old", 0.1, day(1), None, None, None, "active", day(9)), ("t", "old", 0.1, day(1), None, None, None, "active", day(9)), ("u", "other", 0.2, day(2), None, None, None, "active", None),
+        ("a", "first", 0.4, day(3), day(4), "b", None, "superseded", None), ("b", "second", 0.6, day(5), None, "missing", None, "active", None), ("c", "third", 0.8, day(4), day(8), None, None, "active", None), ("d", "gone", 0.8, day(4), None, None, day(6), "retracted", None),
+    ], columns)
+    links = spark.createDataFrame([("s", "a"), ("s", "c"), ("s", "b"), ("t", "d")], "fact_id string, parent string")
+    stale = facts.where("stale_at IS NOT NULL")
+    made = resolution.refresh_summaries(stale, links, facts)
+    got = {r.fact_id: r for r in resolution.apply_refresh(facts, made, F.lit(day(20))).collect()}
+    s, t = got["s"], got["t"]
+    assert (s.object, round(s.confidence, 9), s.valid_from, s.valid_until, s.stale_at, s.status) == ("third; second; second", round(2 / 3, 9), day(4), day(5), None, "active")
+    assert (t.object, t.status, t.retracted_at, t.stale_at) == ("old", "retracted", day(20), None) and got["u"].object == "other"
+    assert [r.derived_from for r in made.where("n > 0").collect()] == [["c", "b", "b"]]
+    upper = resolution.refresh_summaries(stale, links, facts, summary=lambda lines: F.upper(F.array_join(lines, "+"))).where("n > 0").first()
+    assert upper.text == "THIRD+SECOND+SECOND"
