@@ -4,7 +4,7 @@ Texts with equal sets of shingles are one class. Classes whose SimHash fingerpri
 multi-index hashing and linked if their whole sets have a similarity of 0.8 or more. What fingerprints miss is found by
 prefix filtering: two such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any common order of
 shingles. The order puts shingles that are frequent in a sample of the texts last; it decides what the search costs and
-never what it finds. Classes that share a prefix shingle are candidates: first with hubs, of which each is
+never what it finds. Of shingles that the very same classes share one is enough. Classes that share a prefix shingle are candidates: first with hubs, of which each is
 verified with the likest, which joins dense groups of copies by few links; then all pairs that are not yet in one component and that
 sizes, positions and sketches leave possible. Every candidate is verified on the whole sets.
 """
@@ -34,7 +34,7 @@ WORDS_EACH = 5
 SAMPLE, FREQUENT = 8, 100_000
 #: Rounds in which classes meet hubs, the hubs a class is verified with in each, and the sets that a task remembers in order to
 #: give a set's shingles once.
-ROUNDS, TRIED, SEEN = 2, 3, 200_000
+ROUNDS, TRIED, SEEN = 1, 3, 200_000
 #: Ids of sets that are broadcast at most, to pick their rows and texts without a shuffle of all texts.
 FEW = 1_000_000
 #: Longs of a sketch: parities of the numbers of shingles by their low bits. Sets differ in as many shingles at least as their sketches in bits.
@@ -173,6 +173,19 @@ def _shared(sets: DataFrame) -> DataFrame:
     return met.select("key", "pos", "id", "n").unionByName(rows.where("pos >= known").select("key", "pos", "id", "n")).distinct()
 
 
+def _one_of_each(held: DataFrame) -> DataFrame:
+    """held with one shingle, the first in the common order, of those that the very same sets share.
+
+    Copies share most of their prefix, and each of these shingles would give the same pairs. The first shingle that two sets
+    share is the first of its kind: an earlier one that the same sets share would be shared by these two.
+    """
+    hashed = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    kinds = held.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), hashed(1).alias("a"), hashed(2).alias("b"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("pos", "id").alias("at"))
+    firsts = kinds.where("sets > 1").groupBy("sets", "a", "b", "lo", "hi").agg(F.min_by("key", F.struct("at", "key")).alias("key"))
+    rows = held.withColumn("of", F.struct("key"))
+    return rows.join(firsts.select(F.struct("key").alias("of")), "of", "left_semi").select("key", "pos", "id", "n")
+
+
 def _rooted(held: DataFrame, links: DataFrame) -> DataFrame:
     """held with root and size of its class's component so far."""
     roots = components(links)
@@ -195,7 +208,7 @@ def near_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of sets with a similarity of 0.8 or more."""
     classes = sets.select("id", "fp").distinct()
     links = _verified(_possible(_fingerprint_pairs(cut(classes)), sets), docs)
-    held = cut(_shared(sets))
+    held = cut(_one_of_each(cut(_shared(sets))))
     apart = (F.min("root") < F.max("root")).alias("apart")
     for turn in range(ROUNDS):
         rooted = _rooted(held, links)
