@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import encode_documents
-from factloom.llm.common import shared_folder, table
+from factloom.llm.common import removed, shared_folder, table
 from factloom.llm.decontaminate import decontaminate
 from factloom.llm.line_dedup import without_common_lines
 from factloom.llm.quality import keep_good
@@ -71,4 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            removed(spark, f"{folder}/{k - 1}")  # nothing reads the stage before any more
     return docs
