@@ -150,14 +150,26 @@ class ItemAutomaton:
         spans.append([start, end])
 
 
-def _item_groups(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int | None, list[bytes]]], bool]]:
-    """The items in groups of about MAX_CHARS (a single longer item is a group), read one at a time, and whether it is the last."""
-    sized = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+def _item_groups(benchmark: DataFrame) -> list[DataFrame]:
+    """The distinct items (item_id, text) in parts of about MAX_CHARS; a single longer item makes its part larger."""
+    sized = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     total = sized.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // MAX_CHARS))
-    for part in range(parts):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
-        yield [(r["item_id"], word_list(r["text"])) for r in rows.collect()], part + 1 == parts
+    return [sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized for part in range(parts)]
+
+
+class _Shared:
+    """An automaton of some items, broadcast as their words and built once a worker."""
+
+    def __init__(self, items: DataFrame, window: int) -> None:
+        group = [(r["item_id"], word_list(r["text"])) for r in items.collect()]
+        self.sent, self.name, self.window = items.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex, window
+
+    def get(self) -> ItemAutomaton:
+        if self.name not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[self.name] = ItemAutomaton(self.sent.value, self.window)
+        return _AUTOMATA[self.name]
 
 
 FOUND = StructType(
@@ -172,49 +184,81 @@ FOUND = StructType(
 _AUTOMATA: dict[str, ItemAutomaton] = {}
 
 
+BODY = [StructField("a", LongType()), StructField("b", LongType())]
+
+
+def _hits_by_text(docs: DataFrame, groups: list[DataFrame], window: int) -> DataFrame:
+    """a, b (a hash of the text of 128 bits), spans and items of the texts that any of the groups hits.
+
+    The groups are taken one after the other; each reads the texts and writes only what it hits.
+    """
+    texts = docs.select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text")
+    schema = StructType([*BODY, *FOUND.fields[1:]])
+    arrow = to_arrow_schema(schema)
+    out = None
+    for group in groups:
+        shared = _Shared(group, window)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: _Shared = shared) -> Iterator[pa.RecordBatch]:
+            automaton = shared.get()
+            for batch in batches:
+                rows, spans, items = [], [], []
+                for i in range(batch.num_rows):
+                    s, x = automaton.hits(word_list(batch.column(2)[i].as_py()))
+                    if s:
+                        rows.append(i)
+                        spans.append(s)
+                        items.append(sorted(x))
+                hit = batch.take(pa.array(rows, pa.int64())).columns[:2]
+                yield pa.RecordBatch.from_arrays([*hit, pa.array(spans, arrow.field(2).type), pa.array(items, arrow.field(3).type)], schema=arrow)
+
+        found = cut(texts.mapInArrow(run, schema).dropDuplicates(["a", "b"]))
+        shared.sent.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, cutting: bool = False) -> DataFrame:
     """docs' columns as c0, c1, ... in their order, then n_words, spans (disjoint [from, to) word intervals), items (sorted ids).
 
-    With cutting the text comes without its spans. The automaton of about MAX_CHARS of items is broadcast and built once a
-    worker; more items are taken in such parts, each of which adds its spans and items to the rows and is written to the
-    shared folder before the next, so that one automaton at a time is in memory.
+    With cutting the text comes without its spans. Items of about MAX_CHARS make one automaton and one pass. More are taken in
+    such parts, so that one automaton at a time is in memory; what a part hits is kept by text, and met by the documents at last.
     """
     names, at_text = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
-    found = docs.toDF(*names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    schema = found.schema
+    renamed, groups = docs.toDF(*names), _item_groups(benchmark)
+    schema = StructType([*renamed.schema.fields, *FOUND.fields])
     arrow = to_arrow_schema(schema)
-    spark = docs.sparkSession
-    for group, last in _item_groups(benchmark):
-        shared, name = spark.sparkContext.broadcast(group), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, last=last) -> Iterator[pa.RecordBatch]:
-            if name not in _AUTOMATA:
-                _AUTOMATA.clear()
-                _AUTOMATA[name] = ItemAutomaton(shared.value, window)
-            automaton = _AUTOMATA[name]
-            for batch in batches:
-                n_words, spans, items, clean = [], [], [], []
-                text, (_, old, held) = batch.column(at_text), batch.columns[len(names) :]
-                for i in range(batch.num_rows):
-                    mine = text[i].as_py()
-                    words = word_list(mine)
-                    s, x = automaton.hits(words)
-                    n_words.append(len(words))
-                    spans.append(merged(s + (old[i].as_py() or [])) if old[i].is_valid else s)
-                    items.append(sorted(x.union(held[i].as_py() or ())))
-                    if cutting and last:
-                        clean.append(without_spans(mine, spans[-1]) if spans[-1] else mine)
-                kept = batch.columns[: len(names)]
-                if cutting and last:
-                    kept[at_text] = pa.array(clean, kept[at_text].type)
-                made = [pa.array(v, f.type) for v, f in zip((n_words, spans, items), list(arrow)[-3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
-
-        found = found.mapInArrow(run, schema)
-        if not last:
-            found = cut(found)
-            shared.unpersist()
-    return found
+    shared = _Shared(groups[0], window) if len(groups) == 1 else None
+    if shared is None:
+        hits = _hits_by_text(docs, groups, window).select(F.struct("a", "b").alias("of"), "spans", "items")
+        # On a struct, so that a text with very many copies can be split.
+        keyed = renamed.withColumn("of", F.struct(F.xxhash64(names[at_text]).alias("a"), F.xxhash64(F.lit(1), names[at_text]).alias("b")))
+        renamed = keyed.join(hits, "of", "left").select(*names, "spans", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, spans, items, clean = [], [], [], []
+            text = batch.column(at_text)
+            for i in range(batch.num_rows):
+                mine = text[i].as_py()
+                words = word_list(mine)
+                if shared is None:
+                    s, x = (batch.column(len(names) + k)[i].as_py() or [] for k in (0, 1))
+                    s = merged(s)
+                else:
+                    s, x = shared.get().hits(words)
+                n_words.append(len(words))
+                spans.append(s)
+                items.append(sorted(x))
+                if cutting:
+                    clean.append(without_spans(mine, s) if s else mine)
+            kept = batch.columns[: len(names)]
+            if cutting:
+                kept[at_text] = pa.array(clean, kept[at_text].type)
+            made = [pa.array(v, f.type) for v, f in zip((n_words, spans, items), list(arrow)[-3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+
+    return renamed.mapInArrow(run, schema)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:

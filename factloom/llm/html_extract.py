@@ -59,9 +59,14 @@ _BAD_WORDS = frozenset(
     "disclaimer legal".split()
 )
 
+#: Elements that a slash in the start tag closes.
+_FOREIGN = frozenset("svg math".split())
+#: Words of attributes by which an element within a paragraph is an advert.
+_AD_WORDS = frozenset("ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo".split())
+
 #: A quote that is never closed is no quote: then the tag ends at the next >.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -83,11 +88,31 @@ class Node:
             up.parts.append(self)
 
 
+def _words(attributes: str) -> frozenset[str]:
+    """Words in the attributes that name an element."""
+    named = " ".join(m[1].strip("\"'") for m in _ATTRIBUTE.finditer(attributes)) if attributes else ""
+    return frozenset(w.lower() for w in _PIECES.findall(named))
+
+
 def read_page(page: str | None) -> list[Node]:
-    """The block nodes of a page in page order, the root first. Unclosed, stray and cut-off tags are fine."""
+    """The block nodes of a page in page order, the root first. Unclosed, stray and cut-off tags are fine.
+
+    An advert within a paragraph has no text; it ends with its element, or where the next block starts or ends.
+    """
     root = Node("html", None, frozenset())
-    nodes, at, here, raw, link = [root], 0, root, "", 0
+    nodes, at, here, raw, link, advert = [root], 0, root, "", 0, None
+    #: Open elements by name, so that a stray end tag is known without a walk to the root.
+    opened: dict[str, int] = {}
     page = page or ""
+
+    def left(node: Node) -> Node:
+        """Where a page goes on when node has ended."""
+        at = here
+        while at is not node.up:
+            opened[at.tag] -= 1
+            at = at.up
+        return at
+
     while at < len(page):
         if raw:
             end = re.compile(rf"</{raw}\b", re.I).search(page, at)
@@ -95,7 +120,7 @@ def read_page(page: str | None) -> list[Node]:
             continue
         token = _TOKEN.search(page, at)
         text = page[at : token.start() if token else len(page)]
-        if text:
+        if text and not advert:
             text = html.unescape(text)
             here.parts.append(text)
             size = len(text) - text.count(" ")
@@ -107,32 +132,43 @@ def read_page(page: str | None) -> list[Node]:
         close, tag = token[1], (token[2] or "").lower()
         if not tag:
             continue
+        if advert and tag == advert[0]:
+            advert = (tag, advert[1] + (-1 if close else 1))
+            advert = advert if advert[1] else None
+            continue
+        if tag in _BLOCK:
+            advert = None
         if tag == "br":
             here.parts.append(" ")
         elif tag == "a":
             link = 0 if close else 1
         elif close:
             if tag in _BLOCK:
-                up = here
-                while up is not None and up.tag != tag:
-                    up = up.up
-                if up is not None and up.up is not None:
-                    here = up.up
+                if opened.get(tag):
+                    up = here
+                    while up.tag != tag:
+                        up = up.up
+                    here = left(up)
                 link = 0
         elif tag in _RAW or tag == "head":
-            if not token[3].endswith("/") and tag != "head":
+            # A slash closes no such element in HTML; it is taken to where no end tag follows.
+            slash = token[3].endswith("/")
+            if tag != "head" and not (slash and (tag in _FOREIGN or not re.compile(rf"</{tag}\b", re.I).search(page, at))):
                 raw = tag
         elif tag in _BLOCK and tag not in ("html", "body", "hr"):
             closes = _CLOSES.get(tag, ())
-            up = here
-            while up is not None and up.tag not in closes and (up.tag not in _FENCE or up.tag == tag and tag in closes):
-                up = up.up
-            if up is not None and up.tag in closes and up.up is not None:
-                here = up.up
-            named = " ".join(m[1].strip("\"'") for m in _ATTRIBUTE.finditer(token[3])) if token[3] else ""
-            here = Node(tag, here, frozenset(w.lower() for w in _PIECES.findall(named)))
+            if any(opened.get(c) for c in closes):
+                up = here
+                while up is not None and up.tag not in closes and (up.tag not in _FENCE or up.tag == tag and tag in closes):
+                    up = up.up
+                if up is not None and up.tag in closes and up.up is not None:
+                    here = left(up)
+            here = Node(tag, here, _words(token[3]))
+            opened[tag] = opened.get(tag, 0) + 1
             nodes.append(here)
             link = 0
+        elif tag not in _BLOCK and not token[3].endswith("/") and _words(token[3]) & _AD_WORDS:
+            advert = (tag, 1)
     for node in reversed(nodes):
         if node.up:
             node.up.text += node.text
@@ -143,6 +179,19 @@ def read_page(page: str | None) -> list[Node]:
 N_FEATURES, NAMED = 19, 7
 
 
+def _bad(n: Node, inside: bool) -> bool:
+    """Does a node name itself something else than main text? The header of an article is the article's own."""
+    return bool(n.words & _BAD_WORDS) or n.tag in _BAD_TAGS and not (n.tag == "header" and inside)
+
+
+def _in_articles(nodes: list[Node]) -> dict[int, bool]:
+    """Which nodes (by id) stand inside an article."""
+    inside = {id(None): False}
+    for n in nodes:
+        inside[id(n)] = inside[id(n.up)] or n.up is not None and n.up.tag == "article"
+    return inside
+
+
 def node_features(nodes: list[Node]) -> list[list[float]]:
     """Per node: names of roles first (NAMED of them, the last: whether the page names any), then shapes."""
     named = float(any(n.tag in _GOOD_TAGS or n.tag in _BAD_TAGS or n.words & (_GOOD_WORDS | _BAD_WORDS) for n in nodes))
@@ -152,11 +201,11 @@ def node_features(nodes: list[Node]) -> list[list[float]]:
         if n.up:
             below[id(n.up)] += 1 + below[id(n)]
             paragraphs[id(n.up)] += (n.tag == "p") + paragraphs[id(n)]
-    whole = max(1, nodes[0].text)
+    whole, inside = max(1, nodes[0].text), _in_articles(nodes)
     good, bad, out = {id(None): 0.0}, {id(None): 0.0}, []
     for n in nodes:
         own_good = float(n.tag in _GOOD_TAGS or bool(n.words & _GOOD_WORDS))
-        own_bad = float(n.tag in _BAD_TAGS or bool(n.words & _BAD_WORDS))
+        own_bad = float(_bad(n, inside[id(n)]))
         good[id(n)] = max(own_good, good[id(n.up)])
         bad[id(n)] = max(own_bad, bad[id(n.up)])
         own = [p for p in n.parts if isinstance(p, str)]
@@ -168,7 +217,7 @@ def node_features(nodes: list[Node]) -> list[list[float]]:
         out.append(
             [
                 own_good, own_bad, good[id(n)], bad[id(n)],
-                float(n.tag in _BAD_TAGS), float(n.tag in _GOOD_TAGS), named,
+                float(n.tag in _BAD_TAGS and own_bad), float(n.tag in _GOOD_TAGS), named,
                 math.log1p(n.text), n.text / whole, n.link / max(1, n.text),
                 math.log1p(n.text / (1 + below[id(n)])), math.log1p(chars), stops / (10.0 + chars),
                 float(n.depth), math.log1p(len(siblings)), n.place / len(siblings),
@@ -183,9 +232,10 @@ def weak_labels(nodes: list[Node]) -> list[float | None]:
     """1 below a node that names itself main text, 0 below one that names itself something else; the inner name wins
     where both hold, and a bad name inside a good one makes 0. None where nothing is named."""
     out: dict[int, float | None] = {id(None): None}
+    inside = _in_articles(nodes)
     for n in nodes:
         label = out[id(n.up)]
-        if n.tag in _BAD_TAGS or n.words & _BAD_WORDS:
+        if _bad(n, inside[id(n)]):
             label = 0.0
         elif label is None and (n.tag in _GOOD_TAGS or n.words & _GOOD_WORDS):
             label = 1.0
