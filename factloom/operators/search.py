@@ -31,7 +31,7 @@ def scored_facts(
     queries are written to the shared folder in between. factors: as in score_facts.
     """
     k = min(5 * limit, 200)
-    pool = world_fence(user_scope(current_facts(facts, now), user), [None])
+    pool = written(world_fence(user_scope(current_facts(facts, now), user), [None]))  # read by every leg and for every field
 
     def ask(queries: DataFrame) -> DataFrame:
         near = S.exact_knn(queries.select("query_id", "q"), pool.where("embedding IS NOT NULL"), k)
@@ -122,7 +122,7 @@ def match_entities(names: DataFrame, entities: DataFrame, min_sim: float = 0.9)
 
 def segment_search(queries: DataFrame, segments: DataFrame, user: str | None, k: int) -> DataFrame:
     """query_id, fact_id, rank of segments or turns (fact_id, text, embedding, user_id, pii_class) in scope without classified text."""
-    open_ = user_scope(segments, user).where(F.coalesce(F.size("pii_class"), F.lit(0)) <= 0)
+    open_ = written(user_scope(segments, user).where(F.coalesce(F.size("pii_class"), F.lit(0)) <= 0).select("fact_id", "text", "embedding"))
     fused = R.fuse(S.exact_knn(queries.select("query_id", "q"), open_, 4 * k), X.bm25(queries.select("query_id", "text"), open_, 4 * k, key="fact_id"))
     return X.top_k_per_query(fused, "fused", k).select("query_id", "fact_id", "rank")
 

@@ -51,3 +51,22 @@ def test_nothing_near_or_nothing_at_all(spark):
     assert found == exact == {(1, 1)}
     v = spark.createDataFrame([], "fact_id long, embedding array<float>")
     assert inverted.approx_knn(v.withColumnsRenamed({"fact_id": "query_id", "embedding": "q"}), v, 3).count() == 0
+
+
+def test_the_k_best_of_a_part_and_of_all_parts_agree(spark, monkeypatch):
+    """Parts with many equal similarities, fewer columns than k, and groups; ties go to smaller ids."""
+    from factloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "AT_ONCE", 30)
+    held = [(i, i % 2, [float(i * 7 % 5), 1.0]) for i in range(60)]
+    asked = [(i, i % 2, [float(i), 1.0]) for i in range(6)]
+    vectors = spark.createDataFrame(held, "fact_id int, g int, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id int, g int, q array<double>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 12)  # noqa: E731, B905
+    for k in (1, 4, 100):
+        got = sorted((r.query_id, r["rank"], r.fact_id) for r in neighbours.exact_knn(queries, vectors, k, 0.5, by="g").collect())
+        want = []
+        for q, g, v in asked:
+            near = sorted((-cos(v, e), i) for i, h, e in held if h == g and cos(v, e) >= 0.5)[:k]
+            want += [(q, n, i) for n, (_, i) in enumerate(near, 1)]
+        assert got == want

@@ -72,3 +72,15 @@ def test_phrases_and_topics(spark):
     assert {q: sorted(ids) for q, ids in got.items()} == {1: [1, 3, 4], 2: [5, 6], 3: [4], 7: [5, 6]} and got[7][0] == 6
     scores = {(r.query_id, r.fact_id) for r in lexical.any_term_scores(topics, docs, ["a", "b"]).collect()}
     assert scores == {(q, i) for q, ids in got.items() for i in ids}
+
+
+def test_queries_with_the_same_terms_are_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(made(3, 80))), "doc_id int, text string")
+    asked = spark.createDataFrame([(i, ["w1 w0", "W0 w1 w1", "w5"][i % 3]) for i in range(30)], "query_id int, text string")
+    seen, keep = [], lexical.best_sums
+    monkeypatch.setattr(lexical, "best_sums", lambda asked, *more: seen.append(asked.select("query_id").distinct().count()) or keep(asked, *more))
+    got = {}
+    for r in lexical.bm25(asked, docs, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.bm25))
+    assert seen == [2] and len(got) == 30
+    assert all(sorted(got[i]) == sorted(got[0 if i % 3 < 2 else 2]) for i in got)
