@@ -84,3 +84,12 @@ def test_queries_with_the_same_terms_are_scored_once(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.bm25))
     assert seen == [2] and len(got) == 30
     assert all(sorted(got[i]) == sorted(got[0 if i % 3 < 2 else 2]) for i in got)
+
+
+def test_equal_texts_tie_whatever_order_their_weights_are_summed_in(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last bit."""
+    given = [(2, "a", 0.1), (2, "b", 0.2), (2, "c", 0.3), (1, "a", 0.3), (1, "b", 0.2), (1, "c", 0.1)]
+    made_ = spark.createDataFrame(given, "doc_id int, term string, weight double").coalesce(1)
+    asked = spark.createDataFrame([(7, t) for t in "abc"], "query_id int, term string")
+    for rows in (made_, made_.orderBy(F.desc("term"))):
+        assert [(r.doc_id, r.bm25) for r in lexical.best_sums(asked, rows, 1, "doc_id").collect()] == [(1, 0.6)]
