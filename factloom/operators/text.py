@@ -309,7 +309,13 @@ def dedupe_mentions(lines: DataFrame, least: int = 3, share: float = 0.7) -> Dat
 
 
 def prefix_table(names: DataFrame, shortest: int = 2, longest: int = 15, k: int = 10) -> DataFrame:
-    """prefix, rank, entity_id, name: for each prefix the k names with most facts (weight), then by name."""
-    rows = names.withColumn("n", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.char_length("name"))))).where(F.char_length("name") >= shortest)
+    """prefix, rank, entity_id, name: for each prefix the k names with most facts (weight), then by name.
+
+    Names of one length that are equal but for case share all their prefixes, so more than their k best are in none; these are found before
+    names become prefixes.
+    """
+    first = F.row_number().over(W.partitionBy("__low", F.char_length("name")).orderBy(F.desc("weight"), "name", "entity_id"))
+    best = names.select("entity_id", "name", "weight", F.lower("name").alias("__low")).withColumn("__n", first).where(F.col("__n") <= k)
+    rows = best.drop("__low", "__n").withColumn("n", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.char_length("name"))))).where(F.char_length("name") >= shortest)
     rank = F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("weight"), "name", "entity_id"))
     return rows.withColumn("prefix", F.expr("substring(lower(name), 1, n)")).withColumn("rank", rank).where(F.col("rank") <= k).select("prefix", "rank", "entity_id", "name")

@@ -355,3 +355,17 @@ def test_mentions_are_dropped_as_by_a_fold_in_order(spark):
     for parts in (1, 3):
         got = text.dedupe_mentions(spark.createDataFrame(lines, "query_id string, seq int, text string").repartition(parts))
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_names_become_prefixes_after_equal_ones_are_cut(spark, rows):
+    """Of a thousand equal names only the k best are made prefixes, and others keep their places."""
+    from factloom.operators import text
+
+    names = [(i, "Abc" if i % 2 else "abC", i % 7) for i in range(1000)] + [(2000, "abd", 100), (2001, "a", 1), (2002, None, 1)]
+    df = spark.createDataFrame(names, "entity_id int, name string, weight int")
+    got = rows(text.prefix_table(df, k=3).select("prefix", "rank", "entity_id"))
+    low = sorted(((n or "").lower(), -w, n, i) for i, n, w in names if n and len(n) >= 2)
+    want = [(p, r, i) for p in ("ab", "abc", "abd") for r, (_, _, i) in enumerate(sorted(x[1:] for x in low if x[0].startswith(p))[:3], 1)]
+    assert got == sorted(want, key=str)
+    text_plan = text.prefix_table(df, k=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert text_plan.index("Generate") < text_plan.rindex("Window")  # plans are read from the end: a window comes before the prefixes
