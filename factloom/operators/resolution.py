@@ -197,7 +197,8 @@ def resolve_facts(facts: DataFrame, now: str, cfg: Config = Config(), run: int =
         yield from pa.Table.from_batches(some, schema=arrow).combine_chunks().to_batches()
 
     stamps = {c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_until", "recorded_at")}
-    rows = taking_part(facts).select(*SLOT, *NEEDED, "stored", "status").withColumns(stamps)
+    # Read by the count of slots, by chains and by the fold: what made the facts must not be done for each of them.
+    rows = written(taking_part(facts).select(*SLOT, *NEEDED, "stored", "status").withColumns(stamps))
     chained = F.col("semantics").eqNullSafe("single_active")
     if "stored" in facts.columns:
         # A slot with several stored active facts is no chain yet; its next fact makes it one.
@@ -214,7 +215,8 @@ def conflict_details(resolved: DataFrame, facts: DataFrame) -> DataFrame:
     """fact_id, opponent, outcome, dominant, margin, and whether the two differ in predicate, object, valid_from and source, of
     each fact that met an opponent. The source is origin_key; facts may have any further columns."""
     sides = ("predicate", "object", "valid_from", "origin_key")
-    of = lambda key, end: facts.select(F.col("fact_id").alias(key), *(F.col(c).alias(f"{c}_{end}") for c in sides))
+    known = written(facts.select("fact_id", *sides))
+    of = lambda key, end: known.select(F.col("fact_id").alias(key), *(F.col(c).alias(f"{c}_{end}") for c in sides))
     met = resolved.where("opponent IS NOT NULL").select("fact_id", "opponent", "outcome", "dominant", (F.col("score") - F.col("best_opponent")).alias("margin"))
     both = met.join(of("fact_id", "a"), "fact_id").join(of("opponent", "b"), "opponent")
     differ = lambda c, name: (~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))).alias(f"{name}_differs")
@@ -231,12 +233,13 @@ def predict_outcomes(current: DataFrame, candidates: DataFrame, now: str, cfg: C
     """The outcome each candidate alone would meet, nothing written: each meets its own copy of what its slot has open.
 
     current: stored facts as resolve_facts takes them. Without `stored` they are first resolved among themselves, once, so
-    that only facts that are still active or competing are copied, not whole slots.
+    that only facts that are still active or competing are copied, not whole slots. What that leaves is written once.
     """
     if "stored" not in current.columns:
         ended = resolve_facts(current, now, cfg).where("status IN ('active', 'competing')").select("fact_id", "status", F.col("valid_until").alias("__until"))
         plain = current.drop("status", "retracted_at").join(ended, "fact_id")
         current = plain.withColumn("valid_until", F.col("__until").cast(current.schema["valid_until"].dataType)).drop("__until").withColumn("stored", F.lit(True))
+        current = written(current.select(*(c for c in dict.fromkeys([*SLOT, "predicate_alias", *NEEDED, "stored", "status"]) if c in current.columns)))
     stored = taking_part(current)
     asked = taking_part(candidates.drop("stored"))
     copies = asked.select(*(F.col(c).alias(f"__{c}") for c in SLOT), F.col("fact_id").alias("__case"))

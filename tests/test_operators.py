@@ -369,3 +369,23 @@ def test_names_become_prefixes_after_equal_ones_are_cut(spark, rows):
     assert got == sorted(want, key=str)
     text_plan = text.prefix_table(df, k=3)._jdf.queryExecution().optimizedPlan().toString()
     assert text_plan.index("Generate") < text_plan.rindex("Window")  # plans are read from the end: a window comes before the prefixes
+
+
+def test_resolution_reads_its_facts_once(spark):
+    """What makes the facts is done once, not by each part of the resolution."""
+    from pyspark.sql import functions as F
+
+    from factloom.operators import resolution
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double", useArrow=False)
+    def counted(x):
+        seen.add(1)
+        return x
+
+    facts = spark.sql("""SELECT concat('f', id) AS fact_id, concat('e', id % 3) AS entity_id, 'p' AS predicate, CAST(NULL AS STRING) AS user_id, CAST(NULL AS STRING) AS derived_version,
+        concat('o', id % 2) AS object, CASE id % 3 WHEN 0 THEN 'bitemporal' ELSE 'single_active' END AS semantics, 0.5D AS confidence, 0.5D AS declared_trust, 0.5D AS learned_trust, 0.0D AS authority,
+        concat('g', id % 5) AS origin_key, array(1.0D) AS embedding, timestamp_seconds(id * 1000) AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_until, timestamp_seconds(id * 1000) AS recorded_at FROM range(30)""")
+    out = resolution.resolve_facts(facts.withColumn("confidence", counted("confidence")), "1999-06-01")
+    assert out.count() == 30 and len(out.collect()) == 30 and seen.value == 30
