@@ -31,9 +31,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from factloom.llm.common import cut, shared_folder
 
-#: Words of the lexicon; rows whose words are counted for it (all, if there are fewer); words remembered by a worker;
+#: Words of the lexicon, which the driver builds within its memory; words remembered by a worker;
 #: characters whose words are looked up at once; words counted before a part of the counts is handed on.
-LEXICON, SAMPLE, REMEMBERED, AT_ONCE, COUNTED = 250_000, 50_000, 250_000, 1_000_000, 200_000
+LEXICON, REMEMBERED, AT_ONCE, COUNTED = 150_000, 250_000, 1_000_000, 200_000
 #: Words of as many bytes at most are merged together, as rows of a matrix.
 WIDTHS = (8, 16, 32)
 #: The normaliser and pre-tokeniser that Words follows, as vocabulary files state them.
@@ -409,15 +409,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON, sample: int = SAMPLE) -> Lexicon:
+def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON) -> Lexicon:
     """The most frequent words of docs, at most `size`: all those from the lowest eighth of a power of two on that fit.
 
-    They are counted in about `sample` rows, taken by a hash of their id. Which words the lexicon has decides what encoding
+    They are counted in all rows. Which words the lexicon has decides what encoding
     costs and never what it gives. Only the number of words per eighth of a power and the chosen words come to the driver.
     """
     eighth = F.floor(F.log2("n") * 8)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // sample))) == 0)
-    counts = cut(count_words(some).where("n > 1 AND word <> ''").withColumn("eighth", eighth))
+    counts = cut(count_words(docs).where("n > 1 AND word <> ''").withColumn("eighth", eighth))
     least, total = None, 0
     for r in counts.groupBy("eighth").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("eighth")).collect():
         total += r["words"]

@@ -462,3 +462,21 @@ def test_quality_learns_and_hides_held_out_rows(spark):
     wrong = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert {(r.doc_id, round(r.score, 9)) for r in quality.score_quality(table, wrong).collect()} == {(r.doc_id, round(r.score, 9)) for r in out}
     assert {r.score for r in quality.score_quality(table, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_lexicon_counts_words_of_all_rows(spark):
+    """100,000 rows of 5,000 words, each word in 20 rows that stand together."""
+    from factloom.llm import bpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    docs = spark.sql("SELECT id AS doc_id, translate(concat('q', CAST(id DIV 20 AS STRING)), '0123456789', 'abcdefghij') AS text FROM range(100000)")
+    seen, keep = {}, bpe.count_words
+    try:
+        bpe.count_words = lambda rows: seen.setdefault("counts", keep(rows))
+        lexicon = bpe.compile_lexicon(docs, vocabulary)
+    finally:
+        bpe.count_words = keep
+    assert {r.n for r in seen["counts"].collect()} == {20}
+    words = [r.text.encode() for r in docs.select("text").distinct().collect()]
+    assert len(words) == 5000 and (lexicon.numbers(words) >= 0).all()
