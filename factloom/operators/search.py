@@ -111,7 +111,9 @@ def match_entities(names: DataFrame, entities: DataFrame, min_sim: float = 0.9)
     called = entities.select("entity_id", "type", fold("canonical_name").alias("k"), F.lit(0).alias("place"))
     if "aliases" in entities.columns:
         called = called.unionByName(entities.select("entity_id", "type", F.explode("aliases").alias("k")).select("entity_id", "type", fold("k").alias("k"), F.lit(1).alias("place")))
-    exact = names.select("name_id", "type", fold("name").alias("k")).join(called, ["type", "k"]).groupBy("name_id").agg(F.min(F.struct("place", "entity_id")).alias("m"))
+    # Of equal names only the first can be an answer.
+    called = called.groupBy("type", "k").agg(F.min(F.struct("place", "entity_id")).alias("m"))
+    exact = names.select("name_id", "type", fold("name").alias("k")).join(called, ["type", "k"]).groupBy("name_id").agg(F.min("m").alias("m"))
     first = exact.select("name_id", F.col("m.entity_id").alias("entity_id"), F.when(F.col("m.place") == 0, "name").otherwise("alias").alias("how"))
     rest = names.where("q IS NOT NULL").join(first, "name_id", "left_anti")
     asked = rest.select(F.col("name_id").alias("query_id"), "type", "q")
