@@ -16,7 +16,7 @@ from factloom.operators.neighbours import within
 from factloom.operators.policy import apply_policy, policy_meta_union
 from factloom.operators.sessions import best_mention_per_session
 from factloom.operators.temporal import current_facts
-from factloom.operators.text import dedupe_mentions
+from factloom.operators.text import LEAST_WORDS, dedupe_mentions, mention_words
 
 
 def scored_facts(
@@ -81,15 +81,64 @@ def search_facts(queries: DataFrame, facts: DataFrame, entities: DataFrame, regi
 
 def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, share: float = 0.9, most: int = 60) -> DataFrame:
     """query_id, seq, text: for each topic (query_id, text, q) the lines of segments (fact_id, session_key, occurred_at, text, embedding)
-    that match by word or are near enough to the topic's nearest; one a session, near-repeats dropped, oldest first."""
-    close = within(topics.select("query_id", "q"), segments, floor, share)
-    said = X.any_term_scores(topics.select("query_id", "text"), segments, ["text"])
-    both = close.select("query_id", "fact_id", "similarity").join(said.select("query_id", "fact_id", F.col("bm25").alias("lexical")), ["query_id", "fact_id"], "full")
-    held = best_mention_per_session(both.na.fill(0.0, ["similarity", "lexical"]).join(segments.drop("embedding"), "fact_id"))
-    seq = F.row_number().over(W.partitionBy("query_id").orderBy("occurred_at", "fact_id"))
-    lines = dedupe_mentions(held.withColumn("seq", seq).select("query_id", "seq", "text"))
+    that match by word or are near enough to the topic's nearest; one a session, near-repeats dropped, oldest first.
+
+    What matches by word is found, and its best line of each session taken, once for all topics with the same terms. A topic of its own
+    differs from that in the sessions where it has near lines (floor is 0 or more), so only these are gone through topic by topic;
+    of lines with equal words a topic's first one, which can stay, is looked up by its place among them.
+    """
+    if floor < 0:
+        raise ValueError("floor must be 0 or more")
+    asks = written(topics.select("query_id", F.coalesce("text", F.lit("")).alias("text"), "q"))
+    told = X.topic_terms(F.col("text"))
+    form = F.when(F.size(told) > 0, F.concat(F.array(F.lit("any")), F.array_sort(told))).otherwise(F.concat(F.array(F.lit("all")), X.words(F.col("text"))))
+    same, ones = X.one_of_each(asks, form)
+    same = written(same)
+    lines = written(segments.select("fact_id", "session_key", "occurred_at", "text"))
+    said = X.any_term_scores(ones, lines, ["text"]).select(F.col("query_id").alias("asked"), "fact_id", X.settled("bm25").alias("lexical"))
+    said = written(said)
+    close = within(asks.select("query_id", "q"), segments, floor, share).select("query_id", "fact_id", "similarity")
+
+    # One line a session: of what is said, for topics with the same terms; again where a topic has near lines.
+    base = best_mention_per_session(said.withColumnRenamed("asked", "query_id").withColumn("similarity", F.lit(0.0)).join(lines, "fact_id"))
+    words = mention_words(F.col("text"))
+    base = written(base.select(F.col("query_id").alias("asked"), "session_key", "fact_id", "occurred_at", "text", "lexical", words.alias("t")))
+    near = written(close.join(same, "query_id").join(said, ["asked", "fact_id"], "left").na.fill(0.0, ["lexical"]).join(lines, "fact_id"))
+    met = near.select("query_id", "asked", "session_key").distinct()
+    again = met.join(base.select("asked", "session_key", "fact_id", "occurred_at", "text", "lexical"), ["asked", "session_key"]).withColumn("similarity", F.lit(0.0))
+    own = best_mention_per_session(near.unionByName(again)).select("query_id", "asked", "fact_id", "occurred_at", "text", words.alias("t"))
+    own = written(own)
+
+    # Places: among all lines of the same terms, among those with equal words, and among those that never drop out.
+    order, upto = ("occurred_at", "fact_id"), (W.unboundedPreceding, W.currentRow)
+    of_base = base.select("asked", *order, "session_key", "text", "t", F.lit(1).alias("one"), F.lit(None).cast(own.schema["query_id"].dataType).alias("query_id"))
+    of_own = own.select("asked", *order, F.lit(None).cast(base.schema["session_key"].dataType).alias("session_key"), "text", "t", F.lit(0).alias("one"), "query_id")
+    placed = written(of_base.unionByName(of_own).withColumn("p", F.sum("one").over(W.partitionBy("asked").orderBy(*order).rangeBetween(*upto))))
+    few = F.size("t") < LEAST_WORDS
+    alike = F.when(few, F.array().cast("array<string>")).otherwise(F.col("t"))
+    of_base = placed.where("one = 1").select("asked", *order, "session_key", "text", "p", few.alias("few"), alike.alias("t"))
+    of_base = written(of_base.withColumn("r", F.row_number().over(W.partitionBy("asked", "t").orderBy(*order))))
+    gone = written(met.join(of_base.drop("text"), ["asked", "session_key"]))
+
+    # Of lines with equal words the first that the topic has: the first places that are gone without a gap come before it.
+    nth = F.row_number().over(W.partitionBy("query_id", "t").orderBy("r"))
+    lost = gone.where("NOT few").withColumn("nth", nth).where("r = nth").groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("lost"))
+    heads = of_base.where("r = 1 AND NOT few").select("asked", "t").join(same, "asked").join(lost, ["query_id", "t"], "left")
+    first = heads.select("query_id", "asked", "t", (F.coalesce("lost", F.lit(0)) + 1).cast("int").alias("r"))
+    # Of those that never drop out the first `most`, past those that are gone.
+    less = gone.where("few").groupBy("query_id").agg(F.count(F.lit(1)).alias("less"))
+    some = same.join(of_base.where("r = 1 AND few").select("asked"), "asked").join(less, "query_id", "left")
+    some = some.select("query_id", "asked", F.array().cast("array<string>").alias("t"), F.explode(F.sequence(F.lit(1), (most + F.coalesce("less", F.lit(0))).cast("int"))).alias("r"))
+    found = first.unionByName(some).join(of_base.select("asked", "t", "r", *order, "text", "p"), ["asked", "t", "r"])
+    found = found.join(gone.where("few").select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti").select("query_id", *order, "text", "p")
+    mine = found.unionByName(placed.where("one = 0").select("query_id", *order, "text", "p"))
+
+    # A topic's place of a line: that among the same terms, less what is gone until there, and its own lines until there.
+    change = mine.withColumn("change", F.lit(0)).unionByName(gone.select("query_id", *order, F.lit(-1).alias("change")), True).unionByName(own.select("query_id", *order, F.lit(1).alias("change")), True)
+    moved = F.sum("change").over(W.partitionBy("query_id").orderBy(*order).rangeBetween(*upto))
+    held = change.withColumn("seq", (F.col("p") + moved).cast("int")).where("p IS NOT NULL").select("query_id", "seq", "text")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("seq"))
-    return lines.withColumn("n", nth).where(F.col("n") <= most).drop("n")
+    return dedupe_mentions(held, LEAST_WORDS).withColumn("n", nth).where(F.col("n") <= most).drop("n")
 
 
 def query_arcs(topics: DataFrame, facts: DataFrame, floor: float = 0.35, beats: int = 12) -> DataFrame:

@@ -280,15 +280,23 @@ def _overlapping(sets: DataFrame, share: float) -> DataFrame:
     return near.select(F.when(F.col("in_order"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("in_order"), F.col("b")).otherwise(F.col("a")).alias("late"))
 
 
-def dedupe_mentions(lines: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
+#: Lines of fewer words are no repeats.
+LEAST_WORDS = 3
+
+
+def mention_words(text: Column) -> Column:
+    """The sorted distinct words of a line, without what stands before it: a mark in brackets and a name with a colon."""
+    return F.sort_array(F.array_distinct(letter_words(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\[[^\]]*\]\s*", ""), r"^[^:]{0,40}:\s*", ""))))
+
+
+def dedupe_mentions(lines: DataFrame, least: int = LEAST_WORDS, share: float = 0.7) -> DataFrame:
     """lines (query_id, seq, text) without those of whose smaller word set `share` or more is in an earlier kept line's.
 
     Lines of fewer than `least` words stay and drop none. Of lines with equal words only the first can stay. Then pairs of
     overlapping sets are found, and rounds settle lines: one that no unsettled or kept line comes before stays, and drops
     those it overlaps. Lines of one seq stand in order of their text; null texts have no words.
     """
-    tokens = F.array_distinct(letter_words(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\[[^\]]*\]\s*", ""), r"^[^:]{0,40}:\s*", "")))
-    rows = lines.select("query_id", "seq", "text", F.sort_array(tokens).alias("t"))
+    rows = lines.select("query_id", "seq", "text", mention_words(F.col("text")).alias("t"))
     nth = F.row_number().over(W.partitionBy("query_id", "t").orderBy("seq", "text"))
     long = F.size("t") >= least
     ones = rows.where(long).withColumn("n", nth).where("n = 1").drop("n")
