@@ -45,23 +45,25 @@ SELDOM, DECIDING, BODY = ("chore", "style", "ci", "build", "test", "docs"), ("fe
 MONTHS = "january february march april may june july august september october november december".split()
 
 
-#: What masks look for, in order: class, rule, mask. Between digits of one number stand blanks, dots, hyphens and brackets.
+#: What masks look for, in order: class, rule, mask, and a plainer rule that finds something in every text where the first does, by which
+#: most texts are passed over. Between digits of one number stand blanks, dots, hyphens and brackets.
 _GAP = r"[\s().\-]"
 _YEAR = r"(?:19|20)\d\d"
 MASKS = [
-    ("email", r"[\p{Alnum}._%+\-]+@(?:[\p{Alnum}\-]+\.)+\p{Alpha}{2,}", "[EMAIL]"),
+    ("email", r"[\p{Alnum}._%+\-]+@(?:[\p{Alnum}\-]+\.)+\p{Alpha}{2,}", "[EMAIL]", "@"),
     # 9 to 16 digits that no further digit precedes or follows, unless they begin with a date or are years only.
-    ("phone", rf"(?<!\d{_GAP}{{0,8}})(?!{_YEAR}-\d\d-\d\d)(?!{_YEAR}(?:{_GAP}+{_YEAR})+(?!{_GAP}*\d))\+?\d(?:{_GAP}*\d){{8,15}}+(?!{_GAP}*\d)", "[PHONE]"),
-    ("number", r"(?<!\w)\d{9,}(?!\w)", "[NUM]"),
+    ("phone", rf"(?<!\d{_GAP}{{0,8}})(?!{_YEAR}-\d\d-\d\d)(?!{_YEAR}(?:{_GAP}+{_YEAR})+(?!{_GAP}*\d))\+?\d(?:{_GAP}*\d){{8,15}}+(?!{_GAP}*\d)", "[PHONE]", rf"\d(?:{_GAP}*+\d){{8}}"),
+    ("number", r"(?<!\w)\d{9,}(?!\w)", "[NUM]", r"\d{9}"),
 ]
 
 
 def redact_pii(df: DataFrame, column: str = "text") -> DataFrame:
     """df with e-mails, phone- or card-like numbers and long digit runs masked, and pii_classes of what was found."""
     out, found = df, []
-    for name, rule, mask in MASKS:
+    for name, rule, mask, sign in MASKS:
         before, after = column if not found else f"__{len(found)}", f"__{len(found) + 1}"
-        out = out.withColumn(after, F.regexp_replace(before, rule, mask))
+        has = F.contains(F.col(before), F.lit(sign)) if sign == "@" else F.regexp_like(F.col(before), F.lit(sign))
+        out = out.withColumn(after, F.when(has, F.regexp_replace(before, rule, mask)).otherwise(F.col(before)))
         found.append(F.when(F.col(after) != F.col(before), name))
     last = f"__{len(MASKS)}"
     marked = out.withColumn("pii_classes", F.array_compact(F.array(*found))).withColumn(column, F.col(last))
@@ -69,7 +71,9 @@ def redact_pii(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def pii_report(redacted: DataFrame) -> DataFrame:
-    return redacted.select("source", F.explode("pii_classes").alias("pii_class")).groupBy("source", "pii_class").agg(F.count("*").alias("n"))
+    # Outer, for otherwise Spark asks first, below the masks, whether there are classes, which finds them twice.
+    each = redacted.select("source", F.explode_outer("pii_classes").alias("pii_class")).where("pii_class IS NOT NULL")
+    return each.groupBy("source", "pii_class").agg(F.count("*").alias("n"))
 
 
 @pandas_udf(StringType())
