@@ -88,6 +88,39 @@ def test_communities_keep_two_cliques_apart(spark):
     assert len({found[f"a{i}"] for i in range(5)}) == 1 and found["a1"] != found["b1"]
 
 
+def test_communities_as_in_plain_rounds_without_shuffling_edges(spark, monkeypatch):
+    """Labels as by a loop over nodes; a first round deals out labels twice and votes once, and edges never."""
+    rng = random.Random(3)
+    edges = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}", rng.choice([0.0, 0.25, 0.5, 1.0, 2.0])) for _ in range(150)]
+    near = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)) if a != b else ():
+            near.setdefault(x, {})[y] = near.get(x, {}).get(y, 0.0) + (w or 1.0)
+    want = {n: n for n in near}
+    for step in range(1, 11):
+        new = {}
+        for n, to in near.items():
+            votes = {}
+            for m, w in to.items():
+                votes[want[m]] = votes.get(want[m], 0.0) + w
+            best = min((-v, c) for c, v in votes.items())[1]
+            new[n] = best if step % 2 or best < want[n] else want[n]
+        if new == want:
+            break
+        want = new
+    plans, kept = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString() if "old" not in df.columns else df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.node: r.community for r in graph.communities(spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+    turns = [p.split("Initial Plan")[-1] for p in plans if "old#" in p]
+    assert len(turns) > 2 and turns[0].count("Exchange ") <= 3 and all(p.count("Exchange ") <= 4 for p in turns)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
+
+
 def test_closure_survives_cycles(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("b", "c"), ("z", "y")], "fact_id string, parent string")
     assert sorted(r.fact_id for r in graph.derived_closure(links, spark.createDataFrame([("a",)], "fact_id string")).collect()) == ["b", "c"]
