@@ -265,7 +265,7 @@ def gate_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def _overlapping(sets: DataFrame, share: float) -> DataFrame:
-    """early, late: ids of sets (id, query_id, t, place) of one query that share `share` or more of the smaller one's words.
+    """early, late: ids of sets (id, query_id, t) of one query, ids in their order, that share `share` or more of the smaller one's words.
 
     The smaller of two such sets has a shared word among its size - ceil(share * size) + 1 rarest words of the query.
     """
@@ -273,15 +273,15 @@ def _overlapping(sets: DataFrame, share: float) -> DataFrame:
     words = sets.select("query_id", "id", F.explode("t").alias("w"))
     many = words.groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.join(many, ["query_id", "w"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("by_n"))
-    sized = sets.withColumn("s", size).select("id", "query_id", "place", "s").join(ranked, "id")
-    posts = sized.select("query_id", "id", "s", "place", F.posexplode(F.transform("by_n", lambda x: x["w"])).alias("at", "w"))
-    first = posts.where(F.col("at") < F.col("s") - F.ceil(F.lit(share) * F.col("s")) + 1).select("query_id", "w", F.col("id").alias("a"), F.col("s").alias("s_a"), F.col("place").alias("p_a"))
+    sized = sets.withColumn("s", size).select("id", "query_id", "s").join(ranked, "id")
+    posts = sized.select("query_id", "id", "s", F.posexplode(F.transform("by_n", lambda x: x["w"])).alias("at", "w"))
+    first = posts.where(F.col("at") < F.col("s") - F.ceil(F.lit(share) * F.col("s")) + 1).select("query_id", "w", F.col("id").alias("a"), F.col("s").alias("s_a"))
     larger = (F.col("s") > F.col("s_a")) | (F.col("s") == F.col("s_a")) & (F.col("id") > F.col("a"))
-    met = first.join(posts, ["query_id", "w"]).where(larger).select("a", F.col("id").alias("b"), (F.col("p_a") < F.col("place")).alias("in_order")).distinct()
+    met = first.join(posts, ["query_id", "w"]).where(larger).select("a", F.col("id").alias("b")).distinct()
     side = lambda c: sets.select(F.col("id").alias(c), F.col("t").alias(f"t_{c}"))
     shared = F.size(F.array_intersect("t_a", "t_b"))
     near = met.join(side("a"), "a").join(side("b"), "b").where(shared >= share * F.least(F.size("t_a"), F.size("t_b")))
-    return near.select(F.when(F.col("in_order"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("in_order"), F.col("b")).otherwise(F.col("a")).alias("late"))
+    return near.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
 
 
 #: Lines of fewer words are no repeats.
@@ -304,7 +304,8 @@ def dedupe_mentions(lines: DataFrame, least: int = LEAST_WORDS, share: float = 0
     nth = F.row_number().over(W.partitionBy("query_id", "t").orderBy("seq", "text"))
     long = F.size("t") >= least
     ones = rows.where(long).withColumn("n", nth).where("n = 1").drop("n")
-    sets = written(ones.withColumns({"id": F.monotonically_increasing_id(), "place": F.struct("seq", "text")}))
+    # Ids in the order of the lines stand for their texts from here on.
+    sets = written(ones.orderBy("query_id", "seq", "text").withColumn("id", F.monotonically_increasing_id()))
     pairs, dropped = written(_overlapping(sets, share)), []
     while not pairs.isEmpty():
         waiting = pairs.select(F.col("late").alias("early")).distinct()

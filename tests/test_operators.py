@@ -390,6 +390,17 @@ def test_mentions_are_dropped_as_by_a_fold_in_order(spark):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_words_of_mentions_meet_without_the_texts(spark, monkeypatch):
+    """What is shuffled for each word of a line are numbers and the word, not the whole line."""
+    plans, kept = [], text.written
+    monkeypatch.setattr(text, "written", lambda df: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), kept(df))[1])
+    lines = [("q", 2, "b c d e"), ("q", 1, "a b c d"), ("q", 1, "a b c d x"), ("r", 1, "a b c d"), ("q", 3, None)]
+    got = text.dedupe_mentions(spark.createDataFrame(lines, "query_id string, seq int, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [lines[1], lines[3], lines[4]]))
+    plan = next(p for columns, p in plans if columns == ["early", "late"])
+    assert "text" not in plan
+
+
 def test_names_become_prefixes_after_equal_ones_are_cut(spark, rows):
     """Of a thousand equal names only the k best are made prefixes, and others keep their places."""
     from factloom.operators import text
