@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -232,10 +232,10 @@ def classify_commits(commits: DataFrame) -> DataFrame:
 
 
 def gate_pipeline(extra: list[str], features: int = 1 << 15) -> Pipeline:
-    """Hashed words and word pairs with further columns into an L2 logistic model. Needs words (array) and label."""
+    """Hashed words and word pairs with further columns as one vector. Needs words (array)."""
     return Pipeline(stages=[
         NGram(n=2, inputCol="words", outputCol="pairs"), HashingTF(numFeatures=features, inputCol="words", outputCol="f1", binary=True), HashingTF(numFeatures=features, inputCol="pairs", outputCol="f2", binary=True),
-        VectorAssembler(inputCols=["f1", "f2", *extra], outputCol="features"), LogisticRegression(maxIter=20, regParam=0.01),
+        VectorAssembler(inputCols=["f1", "f2", *extra], outputCol="features"),
     ])
 
 
@@ -255,13 +255,20 @@ def gate_features(df: DataFrame, column: str = "text") -> DataFrame:
     })
 
 
-def train_gate(labelled: DataFrame, extra: list[str]) -> PipelineModel:
-    return gate_pipeline(extra).fit(labelled)
+def gate_vectors(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """rows with features instead of words, as a table: training reads them twice and scoring once more, but they are made once."""
+    made = gate_pipeline(extra).fit(rows).transform(rows)
+    return written(made.drop("words", "pairs", "f1", "f2"))
 
 
-def gate_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with score, the probability of label 1."""
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("pairs", "f1", "f2", "features", "rawPrediction", "probability", "prediction")
+def train_gate(labelled: DataFrame) -> LogisticRegressionModel:
+    """An L2 logistic model of features and label."""
+    return LogisticRegression(maxIter=20, regParam=0.01).fit(labelled)
+
+
+def gate_score(model: LogisticRegressionModel, vectors: DataFrame) -> DataFrame:
+    """vectors with score, the probability of label 1."""
+    return model.transform(vectors).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def _overlapping(sets: DataFrame, share: float) -> DataFrame:

@@ -116,10 +116,10 @@ def x7(w: World) -> DataFrame:
 @query("x8_train_gate")
 def x8(w: World) -> DataFrame:
     """A gate learnt from labelled documents, a fifth of which is held out, scores all documents."""
-    rows = X.gate_features(w.documents, "text")
+    rows = X.gate_vectors(X.gate_features(w.documents.select("doc_id", "text"), "text").drop("text"), X.SHAPE)
     labelled = rows.join(w.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    scored = X.gate_score(X.train_gate(labelled.where(~held_out), X.SHAPE), rows)
+    scored = X.gate_score(X.train_gate(labelled.where(~held_out)), rows)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).alias("passed"))
 
 

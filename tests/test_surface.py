@@ -84,3 +84,18 @@ def test_the_gate_tells_held_out_documents_apart(spark):
     assert evaluation.auc(scored.where("held_out").join(labels, "doc_id")).first().auc > 0.75  # few labels
     empty = text.gate_features(spark.createDataFrame([(None,), ("",)], "text string"))
     assert empty.select(*text.SHAPE).distinct().count() == 1
+
+
+def test_the_gate_makes_its_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def counted(x):
+        seen.add(1)
+        return x
+
+    docs = spark.createDataFrame([(i, f"good words number {i}" if i % 2 else "bad") for i in range(20)], "doc_id int, text string").withColumn("text", counted("text"))
+    rows = text.gate_vectors(text.gate_features(docs).drop("text"), text.SHAPE)
+    model = text.train_gate(rows.where("doc_id < 16").selectExpr("*", "CAST(doc_id % 2 AS DOUBLE) AS label"))
+    scored = text.gate_score(model, rows).collect()
+    assert seen.value == 20 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored)
