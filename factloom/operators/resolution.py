@@ -262,15 +262,20 @@ def retract(facts: DataFrame, ids: DataFrame, links: DataFrame, now: Column, rea
     """
     open_ = facts.where("retracted_at IS NULL").select("fact_id")
     hit = written(ids.select("fact_id").distinct().join(open_, "fact_id", "left_semi"))
-    below = derived_closure(links.select("fact_id", "parent").join(open_, "fact_id", "left_semi"), hit)
-    flag = lambda df, name: df.select(F.col("fact_id").alias(f"__{name}_id"), F.lit(True).alias(f"__{name}"))
-    marked = facts.join(flag(hit, "hit"), F.col("fact_id") == F.col("__hit_id"), "left").join(flag(below, "low"), F.col("fact_id") == F.col("__low_id"), "left")
-    marked = marked.join(flag(hit, "by"), F.col("superseded_by") == F.col("__by_id"), "left")
-    root, low, by = (F.coalesce(f"__{n}", F.lit(False)) for n in ("hit", "low", "by"))
-    back = by & (F.col("status") == "superseded") & ~root & ~low
+    below = derived_closure(written(links.select("fact_id", "parent").join(open_, "fact_id", "left_semi")), hit)
     old_reason = F.col("retraction_reason") if "retraction_reason" in facts.columns else F.lit(None).cast("string")
+    may = F.col("status") == "superseded"
     if "retraction_reason" in facts.columns:
-        back = back & F.coalesce(old_reason == "superseded", F.lit(False))
+        may = may & F.coalesce(old_reason == "superseded", F.lit(False))
+    # A narrow row for each fact that changes: whole facts meet them by one key, and by none that is often null.
+    freed = facts.where(may).select("fact_id", F.col("superseded_by").alias("by")).join(hit.select(F.col("fact_id").alias("by")), "by", "left_semi")
+    mark = lambda df, hit, low, by: df.select("fact_id", F.lit(hit).alias("hit"), F.lit(low).alias("low"), by.alias("by"))
+    none = F.lit(None).cast(facts.schema["superseded_by"].dataType)
+    marks = mark(hit, True, False, none).union(mark(below, False, True, none)).union(mark(freed, False, False, F.col("by")))
+    marks = marks.groupBy(F.col("fact_id").alias("__id")).agg(F.max("hit").alias("__hit"), F.max("low").alias("__low"), F.collect_set("by").alias("__by"))
+    marked = facts.join(marks, F.col("fact_id").eqNullSafe(F.col("__id")), "left")
+    root, low = (F.coalesce(f"__{n}", F.lit(False)) for n in ("hit", "low"))
+    back = may & F.coalesce(F.array_contains("__by", F.col("superseded_by")), F.lit(False)) & ~root & ~low
     end = F.when(root, F.coalesce("valid_until", now)).when(low, now).when(back, F.col("prior_valid_until")).otherwise(F.col("valid_until"))
     made = {
         "status": F.when(root | low, "retracted").when(back, "active").otherwise(F.col("status")),

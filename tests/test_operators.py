@@ -126,6 +126,33 @@ def test_closure_survives_cycles(spark):
     assert sorted(r.fact_id for r in graph.derived_closure(links, spark.createDataFrame([("a",)], "fact_id string")).collect()) == ["b", "c"]
 
 
+def test_closure_rounds_shuffle_no_links(spark, monkeypatch):
+    """A shared child, a cycle and a chain; links are not dealt out again in each round, neither of few new facts nor of many."""
+    from pyspark.sql import DataFrameWriter
+
+    pairs = [(f"f{2 * i + k}", f"f{i}") for i in range(1, 40) for k in (0, 1)] + [("f3", "f70"), ("f9", "f5"), (None, "f2"), ("x", None), ("loop", "loop")]
+    links = spark.createDataFrame(pairs, "fact_id string, parent string")
+    want, new = set(), {"f2", "loop"}
+    while new:
+        new = {a for a, b in pairs if b in new and a} - want - {"f2", "loop"}
+        want |= new
+    plans, kept = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), kept(self, *a, **k))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, few in ((2, None), (3, 0)):
+            if few is not None:
+                monkeypatch.setattr(graph, "FEW", few)
+            plans.clear()
+            got = graph.derived_closure(links, spark.createDataFrame([("f2",), ("loop",), ("f2",), (None,)], "fact_id string"))
+            assert sorted(r.fact_id for r in got.where("fact_id IS NOT NULL").collect()) == sorted(want)
+            rounds = [p for p in plans if "parent" in p]
+            assert len(rounds) > 3 and all(p.count("Exchange hashpartitioning") <= most for p in rounds)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("links_")]
+
+
 def slot_row(i, start, **kw):
     base = {"fact_id": f"f{i}", "object": "x", "semantics": "bitemporal", "confidence": 0.9, "declared_trust": 0.9, "learned_trust": 0.5, "authority": 0.0, "origin_key": f"o{i}", "embedding": [1.0, 0.0],
             "valid_from": start, "valid_until": None, "recorded_at": dt(2024, 3, 1, 0, i)}
@@ -352,6 +379,29 @@ def test_retraction_goes_down_and_brings_back(spark):
         assert (got["root"].retraction_reason, got["child"].retraction_reason) == ("wrong", "parent retracted: wrong")
 
 
+def test_retraction_of_odd_rows_meets_whole_facts_once(spark):
+    """Ids that are missing or repeated with other successors; facts are not dealt out by a successor that most of them lack."""
+    from factloom.operators.resolution import retract
+
+    day = lambda n: dt(2024, 1, n)
+    old = lambda i, by, n: fact(i, day(1), day(4), status="superseded", superseded_by=by, prior_valid_until=day(n))
+    rows = [fact("root", day(1)), fact("kept", day(1)), old(None, "root", 20), old(None, "kept", 21), old("twice", "root", 22), old("twice", "kept", 23), old("twice", "other", 24), fact("other", day(2)), old("root", "other", 25)]
+    ids = spark.createDataFrame([("root",), ("other",), (None,), ("missing",)], "fact_id string")
+    links = spark.createDataFrame([("kept", "missing")], "fact_id string, parent string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = retract(spark.createDataFrame(rows, FACT), ids, links, F.lit(day(15)), "wrong")
+        got = sorted(((r.fact_id or "", r.status, r.valid_until, r.superseded_by) for r in out.collect()), key=str)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    back = [("", "active", day(20), None), ("twice", "active", day(22), None), ("twice", "active", day(24), None)]
+    same = [("", "superseded", day(4), "kept"), ("twice", "superseded", day(4), "kept"), ("kept", "active", None, None)]
+    gone = [("root", "retracted", day(15), None), ("root", "retracted", day(4), "other"), ("other", "retracted", day(15), None)]
+    assert got == sorted(back + same + gone, key=str)
+    assert plan.count("LeftOuter") == 1
+
+
 def test_spans_in_scripts_with_and_without_blanks(spark):
     cases = [
         ("私は東京大学に行く", "東京", True), ("私は大学", "東京", False), ("very active now", "act", False), ("an act, now", "act", True), ("active act", "ACT", True), ("Москва-река", "москв", False),
