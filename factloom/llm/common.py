@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task hands to Python at once within lean().
+ROWS_AT_ONCE = 1_000
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Settings for a job of many steps whose results are all written: shuffles go once their step is written, instead of when the
+    driver happens to collect its garbage, and tasks hand whole texts to Python a few at a time. The session's own settings come back."""
+    rows, drop = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = {key: spark.conf.get(key) for key in (rows, drop)}
+    most = int(own[rows])
+    spark.conf.set(rows, min(most, ROWS_AT_ONCE) if most > 0 else ROWS_AT_ONCE)
+    spark.conf.set(drop, True)
+    try:
+        yield
+    finally:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table of its own in the shared folder, and the table's path for removed().
 

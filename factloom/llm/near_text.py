@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from factloom.llm import simhash
-from factloom.llm.common import cut, per_row
+from factloom.llm.common import cut, lean, per_row
 from factloom.llm.components import components
 
 SEED = 42
@@ -238,12 +238,14 @@ def near_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def _led(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, body, who for every row of docs with a doc_id, and who, leader: the least (doc_id, body) of the group of set `who`."""
     docs = docs.where("doc_id IS NOT NULL")
-    sets = cut(_sets(docs))
-    roots = components(near_links(sets, docs)).select(F.struct(F.col("node").alias("id")).alias("who"), "root")
-    firsts = sets.groupBy("id").agg(F.min(F.struct("doc_id", "body")).alias("first")).withColumn("who", F.struct("id"))
-    placed = firsts.join(roots, "who", "left").select("who", "first", F.struct(F.coalesce("root", "id").alias("r")).alias("of"))
-    leaders = placed.groupBy("of").agg(F.min("first").alias("leader"))
-    return sets.select("doc_id", "body", F.struct("id").alias("who")), cut(placed.join(leaders, "of").select("who", "leader"))
+    with lean(docs.sparkSession):
+        sets = cut(_sets(docs))
+        roots = components(near_links(sets, docs)).select(F.struct(F.col("node").alias("id")).alias("who"), "root")
+        firsts = sets.groupBy("id").agg(F.min(F.struct("doc_id", "body")).alias("first")).withColumn("who", F.struct("id"))
+        placed = firsts.join(roots, "who", "left").select("who", "first", F.struct(F.coalesce("root", "id").alias("r")).alias("of"))
+        leaders = placed.groupBy("of").agg(F.min("first").alias("leader"))
+        led = cut(placed.join(leaders, "of").select("who", "leader"))
+    return sets.select("doc_id", "body", F.struct("id").alias("who")), led
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -187,9 +186,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """docs (its columns) without the rejected rows; each row is judged by its own text, with or without an id."""
     model = fit_quality(_statistics_of(docs), labels)
 
-    @pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        scores = [model.score(np.array([statistics(t)]))[0] for t in texts]
-        return pd.Series([s >= threshold for s in scores], dtype=bool)
+    @arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        scores = [model.score(np.array([statistics(t.as_py())]))[0] for t in texts]
+        return pa.array([bool(s >= threshold) for s in scores], pa.bool_())
 
     return docs.where(good("text"))

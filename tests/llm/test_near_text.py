@@ -66,3 +66,24 @@ def test_texts_that_share_an_id_are_not_lost(spark):
         kept = near_text.keep_one(spark.createDataFrame(order, "doc_id long, text string").repartition(2)).collect()
         texts = [r.text for r in kept]
         assert sorted(r.doc_id for r in kept) == [4, 7, 8] and a in texts and b in texts and sum(t in near for t in texts) == 1
+
+
+def test_steps_leave_no_shuffles_and_hand_few_texts_to_python(spark, monkeypatch, tmp_path):
+    """Within the search a shuffle is gone once its step is written, Python gets few rows at once, and the session's settings come back."""
+    from factloom.llm import common
+
+    rows, drop = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, kept = (spark.conf.get(rows), spark.conf.get(drop)), [], near_text.near_links
+    monkeypatch.setattr(near_text, "near_links", lambda *a: (seen.append((spark.conf.get(rows), spark.conf.get(drop))), kept(*a))[1])
+    docs = spark.createDataFrame([(i, f"word {i % 7} and some more of the same text here") for i in range(60)], "doc_id long, text string")
+    got = near_text.near_groups(docs).groupBy("group_id").count().collect()
+    assert sorted((r.group_id, r["count"]) for r in got)[0] == (0, 9) and sum(r["count"] for r in got) == 60
+    assert seen == [("1000", "true")] and (spark.conf.get(rows), spark.conf.get(drop)) == before
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    files = lambda: sum(1 for d in manager.diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in d)
+    was = files()
+    with common.lean(spark):
+        common.cut(docs.repartition(3, "doc_id"))
+        assert files() <= was
+    common.cut(docs.repartition(3, "doc_id"))
+    assert files() > was
