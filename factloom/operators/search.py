@@ -21,22 +21,27 @@ from factloom.operators.text import LEAST_WORDS, dedupe_mentions, mention_words
 
 def scored_facts(
     queries: DataFrame, facts: DataFrame, entities: DataFrame, registry: DataFrame, now: Column, user: str | None = None, scopes: tuple[str, ...] = (), sets: tuple[dict, ...] = (),
-    limit: int = 10, lang: str | None = None, docs: DataFrame | None = None, expand: bool = False, **factors,
+    limit: int = 10, lang: str | None = None, docs: DataFrame | None = None, expand: bool = False, vectors: DataFrame | None = None, **factors,
 ) -> DataFrame:
     """The facts that answer queries (query_id, text, q), with score: the pipeline of search() up to ranking.
 
     lang: facts in that language or none come first, others only where these are fewer than half of what is asked for. docs
     (origin_key and what policies look at): facts with a document that a policy denies drop out. expand: queries are asked
     again with the names of their best entities, and the better facts that this finds are merged in; the first results and the new
-    queries are written to the shared folder in between. factors: as in score_facts.
+    queries are written to the shared folder in between. vectors (vec_id, embedding): those of facts, which have vec_id in place of
+    embedding; one that many facts share is scored once. factors: as in score_facts.
     """
     k = min(5 * limit, 200)
     pool = written(world_fence(user_scope(current_facts(facts, now), user), [None]))  # read by every leg and for every field
+    asks = queries.select("query_id", "q")
+    near = S.exact_knn(asks, pool.where("embedding IS NOT NULL"), k) if vectors is None else S.shared_knn(asks, pool.select("fact_id", "vec_id"), vectors, k)
+    if expand:
+        near = written(near)  # the same for the new queries, whose vectors stay
 
     def ask(queries: DataFrame) -> DataFrame:
-        near = S.exact_knn(queries.select("query_id", "q"), pool.where("embedding IS NOT NULL"), k)
         said = X.bm25_fields(queries.select("query_id", "text"), pool, ["haystack", "object"], k)
-        fused = R.fuse(near, said).join(reattribute_merged(pool, entities), "fact_id")
+        # Written, so that what was found is known to be little beside all facts.
+        fused = reattribute_merged(written(R.fuse(near, said)).join(pool, "fact_id"), entities)
         if lang is not None:
             fused = lang_backoff(fused, lang, k)
         allowed = apply_policy(scope_gate(fused, registry, list(scopes)), list(sets)).where("decision <> 'deny'")

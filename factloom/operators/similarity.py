@@ -8,12 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import written
+from factloom.operators.lexical import spread
 from factloom.operators.neighbours import exact_knn
 
 #: Do two columns of texts say the same? A comparison, or a call of the caller's UDF.
 Judge = Callable[[Column, Column], Column]
 
 
+def shared_knn(queries: DataFrame, rows: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """exact_knn of rows (fact_id, vec_id) that share vectors (vec_id, embedding): each vector is scored once. Rows without one have no part."""
+    held = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("copies"))
+    held = written(held.join(vectors.where("embedding IS NOT NULL").select("vec_id"), "vec_id", "left_semi"))
+    best = exact_knn(queries, held.join(vectors.select("vec_id", "embedding"), "vec_id"), k).join(held, "fact_id")
+    return spread(best.withColumnRenamed("vec_id", "of"), rows.withColumnRenamed("vec_id", "of"), "similarity", k)
+
+
 def same_group_pairs(facts: DataFrame, keys: list[str], min_sim: float) -> DataFrame:
     """Pairs (fact_id < fact_id_b) with equal keys, overlapping intervals and a cosine of min_sim or more."""
     from factloom.functions.vectors import cosine

@@ -16,13 +16,18 @@ from factloom.plans.catalog import NOW, World, query
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-def _embedded(w: World) -> DataFrame:
-    """Facts of the view with one of the vectors each, and words to find them by."""
+def _numbered(w: World) -> DataFrame:
+    """Facts of the view with the number of one of the vectors each, and words to find them by."""
     n = w.embeddings.count()
-    rows = w.facts.withColumn("vec_id", F.col("n") % n).join(w.embeddings.select("vec_id", "embedding"), "vec_id")
+    rows = w.facts.withColumn("vec_id", F.col("n") % n).join(w.embeddings.select("vec_id"), "vec_id", "left_semi")
     return rows.withColumn("haystack", F.concat_ws(" ", "predicate", "recorder", "object"))
 
 
+def _embedded(w: World) -> DataFrame:
+    """These with the vectors themselves."""
+    return _numbered(w).join(w.embeddings.select("vec_id", "embedding"), "vec_id")
+
+
 def _topics(w: World) -> DataFrame:
     words = "element_at(array('urgent phone', 'order status high', 'medium profile', 'low'), CAST(vec_id % 4 + 1 AS INT))"
     return w.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.expr(words).alias("text"), F.col("embedding").alias("q"))
@@ -45,7 +50,8 @@ def k10b(w: World) -> DataFrame:
     """Facts first, in German where there are enough, asked twice, without what a policy denies for a fact or its document."""
     sets = ({"name": "no-low", "mode": "enforce", "default": "allow", "rules": [{"id": "low", "effect": "deny", "when": [("recorder", "eq", "5-LOW")]}]},)
     origins = w.facts.select("origin_key").distinct().withColumn("recorder", F.when(F.xxhash64("origin_key") % 10 == 3, "5-LOW"))
-    hits = P.search_facts(_topics(w), _embedded(w), w.entities, w.registry, F.expr(NOW), scopes=("pii:read",), sets=sets, lang="de", expand=True, docs=origins)
+    more = {"sets": sets, "lang": "de", "expand": True, "docs": origins, "vectors": w.embeddings.select("vec_id", "embedding")}
+    hits = P.search_facts(_topics(w), _numbered(w), w.entities, w.registry, F.expr(NOW), scopes=("pii:read",), **more)
     return hits.select("query_id", "fact_rank", "fact_id", "entity_rank", "entity_id", F.round("score", 6).alias("score"))
 
 
