@@ -84,13 +84,28 @@ def search_facts(queries: DataFrame, facts: DataFrame, entities: DataFrame, regi
     return R.fact_centric(scored, budget, limit).select("query_id", "fact_rank", "fact_id", "entity_rank", "entity_id", "score")
 
 
-def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, share: float = 0.9, most: int = 60) -> DataFrame:
+def running_sum(rows: DataFrame, by: str, order: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows of the same `by` up to their place, and rows at the same place.
+
+    Rows go to tasks in ranges of their order, so that those of one `by` are summed by many.
+    """
+    spark = rows.sparkSession
+    dealt = written(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, *order).withColumn("__part", F.spark_partition_id()))
+    part = dealt.groupBy(by, "__part").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(W.partitionBy(by, "__part").orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    whole = dealt.withColumn("__in", inside).join(F.broadcast(part.select(by, "__part", before.alias("__before"))), [by, "__part"])
+    return whole.withColumn(name, F.col("__before") + F.col("__in")).select(*rows.columns, name)
+
+
+def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, share: float = 0.9, most: int = 60, vectors: DataFrame | None = None) -> DataFrame:
     """query_id, seq, text: for each topic (query_id, text, q) the lines of segments (fact_id, session_key, occurred_at, text, embedding)
     that match by word or are near enough to the topic's nearest; one a session, near-repeats dropped, oldest first.
 
     What matches by word is found, and its best line of each session taken, once for all topics with the same terms. A topic of its own
     differs from that in the sessions where it has near lines (floor is 0 or more), so only these are gone through topic by topic;
-    of lines with equal words a topic's first one, which can stay, is looked up by its place among them.
+    of lines with equal words a topic's first one, which can stay, is looked up by its place among them. vectors (vec_id, embedding):
+    those of segments, which have vec_id in place of embedding. A text or a vector that many lines share is scored once.
     """
     if floor < 0:
         raise ValueError("floor must be 0 or more")
@@ -99,26 +114,32 @@ def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, sh
     form = F.when(F.size(told) > 0, F.concat(F.array(F.lit("any")), F.array_sort(told))).otherwise(F.concat(F.array(F.lit("all")), X.words(F.col("text"))))
     same, ones = X.one_of_each(asks, form)
     same = written(same)
-    lines = written(segments.select("fact_id", "session_key", "occurred_at", "text"))
-    said = X.any_term_scores(ones, lines, ["text"]).select(F.col("query_id").alias("asked"), "fact_id", X.settled("bm25").alias("lexical"))
-    said = written(said)
-    close = within(asks.select("query_id", "q"), segments, floor, share).select("query_id", "fact_id", "similarity")
+    lines = written(segments.select("fact_id", "session_key", "occurred_at", "text", *([] if vectors is None else ["vec_id"])))
+    words = mention_words(F.col("text"))
+    texts = written(lines.groupBy("text").agg(F.count("*").alias("copies")).withColumn("fact_id", F.monotonically_increasing_id()))
+    said = X.any_term_scores(ones, texts, ["text"]).select(F.col("query_id").alias("asked"), "fact_id", X.settled("bm25").alias("lexical"))
+    said = written(said.join(texts, "fact_id").select("asked", "text", "lexical", words.alias("t")))
+    if vectors is None:
+        close = within(asks.select("query_id", "q"), segments, floor, share).join(lines, "fact_id")
+    else:
+        held = written(vectors.join(lines.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("fact_id"), "embedding"))
+        close = written(within(asks.select("query_id", "q"), held, floor, share).withColumnRenamed("fact_id", "vec_id")).join(lines, "vec_id")
+    close = close.select("query_id", "similarity", "fact_id", "session_key", "occurred_at", "text")
 
     # One line a session: of what is said, for topics with the same terms; again where a topic has near lines.
-    base = best_mention_per_session(said.withColumnRenamed("asked", "query_id").withColumn("similarity", F.lit(0.0)).join(lines, "fact_id"))
-    words = mention_words(F.col("text"))
-    base = written(base.select(F.col("query_id").alias("asked"), "session_key", "fact_id", "occurred_at", "text", "lexical", words.alias("t")))
-    near = written(close.join(same, "query_id").join(said, ["asked", "fact_id"], "left").na.fill(0.0, ["lexical"]).join(lines, "fact_id"))
+    base = best_mention_per_session(lines.join(said.withColumnRenamed("asked", "query_id"), "text").withColumn("similarity", F.lit(0.0)))
+    base = written(base.select(F.col("query_id").alias("asked"), "session_key", "fact_id", "occurred_at", "text", "lexical", "t"))
+    near = written(close.join(same, "query_id").join(said.drop("t"), ["asked", "text"], "left").na.fill(0.0, ["lexical"]))
     met = near.select("query_id", "asked", "session_key").distinct()
     again = met.join(base.select("asked", "session_key", "fact_id", "occurred_at", "text", "lexical"), ["asked", "session_key"]).withColumn("similarity", F.lit(0.0))
-    own = best_mention_per_session(near.unionByName(again)).select("query_id", "asked", "fact_id", "occurred_at", "text", words.alias("t"))
+    own = best_mention_per_session(near.unionByName(again)).select("query_id", "asked", "fact_id", "occurred_at", "text")
     own = written(own)
 
     # Places: among all lines of the same terms, among those with equal words, and among those that never drop out.
     order, upto = ("occurred_at", "fact_id"), (W.unboundedPreceding, W.currentRow)
     of_base = base.select("asked", *order, "session_key", "text", "t", F.lit(1).alias("one"), F.lit(None).cast(own.schema["query_id"].dataType).alias("query_id"))
-    of_own = own.select("asked", *order, F.lit(None).cast(base.schema["session_key"].dataType).alias("session_key"), "text", "t", F.lit(0).alias("one"), "query_id")
-    placed = written(of_base.unionByName(of_own).withColumn("p", F.sum("one").over(W.partitionBy("asked").orderBy(*order).rangeBetween(*upto))))
+    of_own = own.select("asked", *order, F.lit(None).cast(base.schema["session_key"].dataType).alias("session_key"), "text", F.lit(None).cast(base.schema["t"].dataType).alias("t"), F.lit(0).alias("one"), "query_id")
+    placed = written(running_sum(of_base.unionByName(of_own), "asked", order, "one", "p"))
     few = F.size("t") < LEAST_WORDS
     alike = F.when(few, F.array().cast("array<string>")).otherwise(F.col("t"))
     of_base = placed.where("one = 1").select("asked", *order, "session_key", "text", "p", few.alias("few"), alike.alias("t"))
@@ -134,9 +155,13 @@ def mention_scan(topics: DataFrame, segments: DataFrame, floor: float = 0.35, sh
     less = gone.where("few").groupBy("query_id").agg(F.count(F.lit(1)).alias("less"))
     some = same.join(of_base.where("r = 1 AND few").select("asked"), "asked").join(less, "query_id", "left")
     some = some.select("query_id", "asked", F.array().cast("array<string>").alias("t"), F.explode(F.sequence(F.lit(1), (most + F.coalesce("less", F.lit(0))).cast("int"))).alias("r"))
-    found = first.unionByName(some).join(of_base.select("asked", "t", "r", *order, "text", "p"), ["asked", "t", "r"])
+    found = written(first.unionByName(some)).join(of_base.select("asked", "t", "r", *order, "text", "p"), ["asked", "t", "r"])
     found = found.join(gone.where("few").select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti").select("query_id", *order, "text", "p")
-    mine = found.unionByName(placed.where("one = 0").select("query_id", *order, "text", "p"))
+    # Of a topic's own lines with equal words only the first can stay, too.
+    kept = placed.where("one = 0").select("query_id", *order, "text", "p").withColumn("t", words)
+    nth = F.row_number().over(W.partitionBy("query_id", "t").orderBy(*order))
+    kept = kept.where(few).unionByName(kept.where(~few).withColumn("r", nth).where(F.col("r") == 1).drop("r")).drop("t")
+    mine = written(found.unionByName(kept))
 
     # A topic's place of a line: that among the same terms, less what is gone until there, and its own lines until there.
     change = mine.withColumn("change", F.lit(0)).unionByName(gone.select("query_id", *order, F.lit(-1).alias("change")), True).unionByName(own.select("query_id", *order, F.lit(1).alias("change")), True)

@@ -11,6 +11,7 @@ from factloom.operators import resolution as Z
 from factloom.operators import retrieval as R
 from factloom.operators import search as P
 from factloom.operators import trust as T
+from factloom.operators.graph import written
 from factloom.plans.catalog import NOW, World, query
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -19,7 +20,8 @@ COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 def _numbered(w: World) -> DataFrame:
     """Facts of the view with the number of one of the vectors each, and words to find them by."""
     n = w.embeddings.count()
-    rows = w.facts.withColumn("vec_id", F.col("n") % n).join(w.embeddings.select("vec_id"), "vec_id", "left_semi")
+    held = written(w.embeddings.select("vec_id"))  # its size is that of the numbers
+    rows = w.facts.withColumn("vec_id", F.col("n") % n).join(held, "vec_id", "left_semi")
     return rows.withColumn("haystack", F.concat_ws(" ", "predicate", "recorder", "object"))
 
 
@@ -55,13 +57,17 @@ def k10b(w: World) -> DataFrame:
     return hits.select("query_id", "fact_rank", "fact_id", "entity_rank", "entity_id", F.round("score", 6).alias("score"))
 
 
+def _lines(facts: DataFrame, *vector: str) -> DataFrame:
+    return facts.select("fact_id", F.col("entity_id").alias("session_key"), F.col("valid_from").alias("occurred_at"), F.col("haystack").alias("text"), *vector, "user_id", F.array().cast("array<string>").alias("pii_class"))
+
+
 def _segments(w: World) -> DataFrame:
-    return _embedded(w).select("fact_id", F.col("entity_id").alias("session_key"), F.col("valid_from").alias("occurred_at"), F.col("haystack").alias("text"), "embedding", "user_id", F.array().cast("array<string>").alias("pii_class"))
+    return _lines(_embedded(w), "embedding")
 
 
 @query("k11_mention_scan")
 def k11(w: World) -> DataFrame:
-    return P.mention_scan(_topics(w), _segments(w))
+    return P.mention_scan(_topics(w), _lines(_numbered(w), "vec_id"), vectors=w.embeddings.select("vec_id", "embedding"))
 
 
 @query("k12_query_arcs", f"""
